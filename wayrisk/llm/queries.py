@@ -15,7 +15,27 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayrisk.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wayrisk.llm.token_count import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_count": op7_token_count,
+}
 
 ORACLES = {
     "op6_exact_dedup": """
