@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayrisk.llm._shared import checkpoint
+
 #: The summary finds each digest that has over this share of all rows, and names at most 1 / SUPPORT.
 SUPPORT = 1 / 1000
 
@@ -33,7 +35,7 @@ def _winners(digested: DataFrame, doc_id: str, support: float) -> tuple[DataFram
     count = [F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")]
     slim = slim.withColumn("__key", F.xxhash64("__digest"))  # eight bytes for each of the summary's counters
     frequent = slim.freqItems(["__key"], support).select(F.explode("__key_freqItems").alias("__key"))
-    frequent = F.broadcast(frequent)
+    frequent = F.broadcast(checkpoint(frequent))  # fixed once: the summary depends on the order in which parts arrive
     heavy = slim.join(frequent, "__key", "left_semi").groupBy("__digest").agg(*count)
     light = slim.join(frequent, "__key", "left_anti").groupBy("__digest").agg(*count)
     return heavy, light
@@ -41,8 +43,6 @@ def _winners(digested: DataFrame, doc_id: str, support: float) -> tuple[DataFram
 
 def mark_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: float = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    from wayrisk.llm._shared import checkpoint
-
     digested = _digested(docs.select(doc_id, text), text).drop(text)
     heavy, light = _winners(digested, doc_id, support)
     heavy = F.broadcast(checkpoint(heavy))  # 1 / support rows at most
@@ -62,8 +62,6 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sup
 
     Of rows that repeat both id and text, all stay: they are one document.
     """
-    from wayrisk.llm._shared import checkpoint
-
     digested = _digested(docs, text)
     heavy, light = _winners(digested, doc_id, support)
     heavy = F.broadcast(checkpoint(heavy))
