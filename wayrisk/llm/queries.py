@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.near_dedup import group
+
+    return group(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayrisk.llm.exact_dedup import mark_copies
 
@@ -33,6 +39,7 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_near_dedup": op3_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_count": op7_token_count,
 }
