@@ -15,6 +15,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayrisk.llm.exact_dedup import mark_copies
 
@@ -37,11 +43,26 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_near_dedup": op3_near_dedup,
+    "op4_quality": op4_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_count": op7_token_count,
+    "op8_language": op8_language,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
