@@ -55,6 +55,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op3_near_dedup": op3_near_dedup,
@@ -63,6 +69,7 @@ QUERIES = {
     "op7_token_count": op7_token_count,
     "op8_language": op8_language,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
