@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wayrisk.llm import license_scan, url_filter
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,12 +23,28 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+# The rules by which pages are judged first.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayrisk.llm.exact_dedup import mark_copies
 
     return mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.license_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,9 +80,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
     "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
+    "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_count": op7_token_count,
     "op8_language": op8_language,
@@ -73,6 +93,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": license_scan.oracle(),
+    "op5_url_filter": url_filter.oracle(URL_RULES),
     "op6_exact_dedup": """
 WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
 SELECT d.doc_id, g.keep_id, g.group_size, coalesce(d.doc_id = g.keep_id, false) AS kept, sha256(g.t) AS text_sha256
