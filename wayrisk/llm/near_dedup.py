@@ -1,22 +1,26 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's set holds its distinct shingles of five words (words are runs of anything but ASCII white
-space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 36 symbols of 32 bits,
+space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 64 symbols of 32 bits,
 each the minimum of the set under another hash, so that two documents differ in a symbol with
-probability 1 - similarity. The signature has three blocks of 12 symbols, and a block is split into
-three chunks of four. By pigeonhole, two blocks with at most 8 differing symbols have a chunk with at
-most two, so that enumerating the allowed errors of each chunk (its six pairs of other symbols) as
-keys guarantees that all such pairs share one of 18 keys. At a similarity of 0.75 a block has more than
-8 errors with probability 4e-4, and two whole signatures more than 20 with probability 2e-5.
+probability 1 - similarity. Candidates are joined on two indexes over signatures:
+
+* The first 12 symbols are split into three chunks of four. By pigeonhole, two documents with at most 8
+  differing symbols have a chunk with at most two, so that enumerating the allowed errors of
+  each chunk (its six pairs of other symbols) as keys guarantees that all such pairs share one of 18
+  keys. At a similarity of 0.75 there are more than 8 errors with probability 4e-4.
+* For documents that merely share a passage with many, those keys are crowded. They are joined on
+  their rarest symbols: in one order of all symbols, signatures that agree in 36 of 64 have one in
+  common among the first 29 of both, by pigeonhole again. At a similarity of 0.75, 28 errors are
+  exceeded with probability 3e-4.
 
 No bucket's pairs are ever all emitted:
 
 1. Documents with the same words form one class, of which only one member goes on.
 2. Each member of a bucket is compared with the bucket's smallest one only; verified links give components.
-3. Only buckets that still hold several components go on. Those with over ``SMALL`` members are split
-   by the keys of the second and then the third block (the same guarantee again), which parts
-   documents that merely share a passage. Then members of different components that are near in
-   signature are paired, so that a link between components is not lost.
+3. Only buckets that still hold several components go on, those with over ``SMALL`` members by their
+   members' rarest symbols. There, members of different components are paired if their signatures
+   are near, so that no link between components is lost.
 
 Every link is confirmed on the full sets, and components come from label propagation with pointer
 jumping over DataFrames; no links or labels are collected.
@@ -43,17 +47,15 @@ from wayrisk.llm._shared import WordHash, checkpoint, window_hashes, word_array
 
 WORDS = 5
 PERCENT = 75
-BLOCKS, CHUNKS, CHUNK = 3, 3, 4
-BLOCK = CHUNKS * CHUNK
-SYMBOLS = BLOCKS * BLOCK
+#: Symbols of the block whose chunks give keys, and of a chunk.
+BLOCK, CHUNK = 12, 4
+SYMBOLS = 64
 #: Symbols of two in a chunk that must agree, after at most two errors.
 AGREE = 2
-#: Equal symbols of 36 that a pair must have to be verified.
-NEAR = 16
-#: Buckets of more members are split by further blocks before members are paired.
+#: Equal symbols of 64 that a pair must have to be verified.
+NEAR = 36
+#: Members of larger buckets are paired by their rarest symbols.
 SMALL = 64
-#: Words that go through numpy at once.
-BATCH_WORDS = 1_000_000
 _MEMO = WordHash()
 _rng = np.random.default_rng(20240131)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -94,15 +96,28 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "sig"])
 
 
-def _keys(block: int, sig: str = "sig") -> Column:
-    """The 18 keys of a block: each pair of symbols of each chunk."""
+def _keys(sig: str = "sig") -> Column:
+    """The 18 keys of the first block: each pair of symbols of each chunk."""
     out = []
-    for c in range(CHUNKS):
-        first = block * BLOCK + c * CHUNK
+    for first in range(0, BLOCK, CHUNK):
         out += [F.xxhash64(F.lit(first + i), F.lit(first + j), F.col(sig)[first + i], F.col(sig)[first + j]) for i, j in combinations(range(CHUNK), AGREE)]
     return F.array(*out)
 
 
+def _rarest(members: DataFrame) -> DataFrame:
+    """(key, id, label) of the symbols of each member that come first by rarity among all members.
+
+    In one order of all symbols, two signatures that agree in NEAR symbols have one among the first
+    SYMBOLS - NEAR + 1 of both.
+    """
+    symbols = F.array(*(F.xxhash64(F.lit(k), F.col("sig")[k]) for k in range(SYMBOLS)))
+    each = members.select("id", "label", F.explode(symbols).alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    ordered = each.join(often, "key").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("s"))
+    first = F.filter(F.slice("s", 1, SYMBOLS - NEAR + 1), lambda x: x.often > 1)
+    return ordered.select("id", "label", F.explode(first).alias("x")).select(F.col("x.key").alias("key"), "id", "label")
+
+
 def _alike(a: str, b: str) -> Column:
     """Near in signature, and sizes that allow the similarity."""
     equal = sum((F.col(a + "sig")[k] == F.col(b + "sig")[k]).cast("int") for k in range(SYMBOLS))
@@ -169,7 +184,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     classes = checkpoint(classes)
 
     # Every member of a bucket against its smallest.
-    keyed = classes.select("id", F.explode(_keys(0)).alias("key"))
+    keyed = classes.select("id", F.explode(_keys()).alias("key"))
     stars = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     star = keyed.join(stars, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     of = lambda p: classes.select(F.col("id").alias(p), F.col("n").alias(p + "n"), F.col("sig").alias(p + "sig"))
@@ -180,19 +195,12 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     # Buckets that still hold several components.
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = checkpoint(named)
-    small, large = None, named.select("id", "label", F.explode(_keys(0)).alias("key"))
-    for block in range(BLOCKS):
-        found = checkpoint(_open_buckets(large))
-        last = block == BLOCKS - 1
-        pairable = found if last else found.where(F.col("size") <= SMALL)
-        pairable = pairable.select("key", "id")
-        small = pairable if small is None else small.union(pairable)
-        if last:
-            break
-        large = found.where(F.col("size") > SMALL).select("key", "id").distinct()
-        large = large.join(named, "id").select("id", "label", "key", F.explode(_keys(block + 1)).alias("sub"))
-        large = large.select("id", "label", F.xxhash64("key", "sub").alias("key"))
-    full = small.distinct().join(named, "id")
+    found = checkpoint(_open_buckets(named.select("id", "label", F.explode(_keys()).alias("key"))).select("key", "id", "size"))
+    small = found.where(F.col("size") <= SMALL).select("key", "id")
+    crowd = checkpoint(found.where(F.col("size") > SMALL).select("id").distinct().join(named, "id"))
+    rare = _open_buckets(_rarest(crowd))
+    small = checkpoint(small.union(rare.select("key", "id")))
+    full = small.join(named, "id")
     side = lambda p: full.select("key", *(F.col(c).alias(p + c) for c in ("id", "label", "n", "sig")))
     cross = side("a").join(side("b"), "key").where("aid < bid and alabel <> blabel").where(_alike("a", "b"))
     cross = cross.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
