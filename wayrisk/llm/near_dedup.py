@@ -5,10 +5,10 @@ space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 6
 each the minimum of the set under another hash, so that two documents differ in a symbol with
 probability 1 - similarity. Candidates are joined on two indexes over signatures:
 
-* The first 12 symbols are split into three chunks of four. By pigeonhole, two documents with at most 8
-  differing symbols have a chunk with at most two, so that enumerating the allowed errors of
-  each chunk (its six pairs of other symbols) as keys guarantees that all such pairs share one of 18
-  keys. At a similarity of 0.75 there are more than 8 errors with probability 4e-4.
+* The first 24 symbols are split into six chunks of four. By pigeonhole, two documents with at most 11
+  differing symbols have a chunk with at most one, so that enumerating the allowed errors of
+  each chunk (its four sets of three other symbols) as keys guarantees that all such pairs share one of
+  24 keys. At a similarity of 0.75 no chunk is that near with probability 0.26 ** 6 = 3e-4.
 * For documents that merely share a passage with many, those keys are crowded. They are joined on
   their rarest symbols: in one order of all symbols, signatures that agree in 36 of 64 have one in
   common among the first 29 of both, by pigeonhole again. At a similarity of 0.75, 28 errors are
@@ -48,10 +48,10 @@ from wayrisk.llm._shared import WordHash, checkpoint, window_hashes, word_array
 WORDS = 5
 PERCENT = 75
 #: Symbols of the block whose chunks give keys, and of a chunk.
-BLOCK, CHUNK = 12, 4
+BLOCK, CHUNK = 24, 4
 SYMBOLS = 64
-#: Symbols of two in a chunk that must agree, after at most two errors.
-AGREE = 2
+#: Symbols of a chunk that must agree, after at most one error.
+AGREE = 3
 #: Equal symbols of 64 that a pair must have to be verified.
 NEAR = 36
 #: Members of larger buckets are paired by their rarest symbols.
@@ -97,10 +97,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(sig: str = "sig") -> Column:
-    """The 18 keys of the first block: each pair of symbols of each chunk."""
+    """The 24 keys of the first block: each three symbols of each chunk."""
     out = []
     for first in range(0, BLOCK, CHUNK):
-        out += [F.xxhash64(F.lit(first + i), F.lit(first + j), F.col(sig)[first + i], F.col(sig)[first + j]) for i, j in combinations(range(CHUNK), AGREE)]
+        out += [F.xxhash64(*(F.lit(first + i) for i in some), *(F.col(sig)[first + i] for i in some)) for some in combinations(range(CHUNK), AGREE)]
     return F.array(*out)
 
 
@@ -200,10 +200,13 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     crowd = checkpoint(found.where(F.col("size") > SMALL).select("id").distinct().join(named, "id"))
     rare = _open_buckets(_rarest(crowd))
     small = checkpoint(small.union(rare.select("key", "id")))
-    full = small.join(named, "id")
-    side = lambda p: full.select("key", *(F.col(c).alias(p + c) for c in ("id", "label", "n", "sig")))
-    cross = side("a").join(side("b"), "key").where("aid < bid and alabel <> blabel").where(_alike("a", "b"))
-    cross = cross.select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    # each pair once: at the first key that both have
+    own = small.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")).join(named, "id")
+    full = own.select("*", F.explode("keys").alias("key"))
+    side = lambda p: full.select("key", *(F.col(c).alias(p + c) for c in ("id", "label", "n", "sig", "keys")))
+    first = F.element_at(F.array_intersect("akeys", "bkeys"), 1) == F.col("key")
+    cross = side("a").join(side("b"), "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b") & first)
+    cross = cross.select(F.col("aid").alias("a"), F.col("bid").alias("b")).join(star, ["a", "b"], "left_anti")
     cross = checkpoint(cross)
     if cross.limit(1).count():
         more = checkpoint(_verified(cross, texts))
