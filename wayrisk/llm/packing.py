@@ -45,10 +45,41 @@ _BLANK = re.compile(r"[ \n\t\r]+")
 _READY: dict[str, WordIds] = {}
 
 
+#: Characters whose normal form, lower case and kind the fast path knows: printable ASCII and Latin letters.
+_KNOWN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]+")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff\u0153"
+#: The tokenizer's own pre-tokens, over those characters.
+_PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte: itself, or the next one over 255."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Pretokens(dict):
+    """The ids of each pre-token, as little-endian unsigned 32-bit integers, straight from the merges."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, pretoken: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        text = pretoken if pretoken.isascii() else "".join(map(self.letters.__getitem__, pretoken.encode()))
+        ids = [t.id for t in self.model.tokenize(text)]
+        out = self[pretoken] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
 class WordIds(dict):
-    """The ids of each pre-token between ASCII blanks, as little-endian unsigned 32-bit integers.
+    """The ids of each word between ASCII blanks, as little-endian unsigned 32-bit integers.
 
-    Exact only for a tokenizer that never joins across white space, which ``check`` makes sure of.
+    Exact only for a tokenizer that never joins across white space, lower-cases and splits words as ``_PRETOKEN`` does;
+    ``check`` makes sure of it. Words of other characters, or with a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,18 +87,27 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        for text in ("a b", " a\tb\n", "x's  'S <|endoftext|> y\r\n!? .", "é ́a"):
+        self.pretokens = Pretokens(self.tokenizer.model)
+        self.check()
+
+    def check(self) -> None:
+        known = "".join(map(chr, (*range(33, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100), 0x152, 0x153)))
+        for text in ("a b", " a\tb\n", "x's  'S <|endoftext|> y\r\n!? .", "é ́a", known, " ".join(known), "Don't we'LL 12ab!!?? œuvre's ÀÉß&&&"):
             if self.ids(text) != self.whole(text):
-                raise ValueError("this tokenizer joins or marks white space: its words can't be encoded apart")
+                raise ValueError("this tokenizer joins or marks white space, or splits words otherwise: its words can't be encoded apart")
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= 2 * MEMO:
             self.clear()
-        out = self[word] = self.whole(word)
+        if _KNOWN.fullmatch(word) and "<|" not in word:
+            out = b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(word.lower())))
+        else:
+            out = self.whole(word)
+        self[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
