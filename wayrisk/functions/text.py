@@ -13,38 +13,44 @@ from wayrisk.sources.dimensions import ACCEPT, GEO_TAGS, PUBLISHERS, REJECT, STO
 _I = "(?iuU)"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def classify(text: Column) -> Column:
     """struct<label, confidence, scores map>: the label whose keywords weigh most (F1).
 
     A keyword counts where it begins a word. Score: 0.30 + 0.65 times the mean of count and weight, each over three and
     at most 1, and at most 0.95. Ties go to the label that comes first; without a keyword the label is safe at 0.5.
     """
+    rows = keyword_rows()
+    labels = list(dict.fromkeys(label for _, label, _, _ in rows))
     low = F.lower(F.coalesce(text, F.lit("")))
-    labels: dict[str, list[tuple[str, float]]] = {}
-    for _, label, word, weight in keyword_rows():
-        labels.setdefault(label, []).append((word, weight))
-    scores, best, most = {}, F.lit("safe"), F.lit(0.0)
-    for label, words in labels.items():
-        # one pass per label: the distinct keywords found, as a sum of indicator columns
-        hits = [(low.rlike(r"\b" + re.escape(w)), x) for w, x in words]
-        count = sum((h.cast("int") for h, _ in hits), F.lit(0))
-        weight = sum((F.when(h, x).otherwise(0.0) for h, x in hits), F.lit(0.0))
-        half = lambda v: F.least(v / 3.0, F.lit(1.0))
-        scores[label] = F.when(count > 0, F.round(F.least(0.30 + 0.65 * (half(count) + half(weight)) / 2, F.lit(0.95)), 4)).otherwise(0.0)
-    return _best(scores)
-
-
-def _best(scores: dict[str, Column]) -> Column:
-    names = list(scores)
-    # an array of (score, -order), so that the largest is the first of the best
-    ranked = F.array(*(F.struct(scores[n].alias("s"), F.lit(-i).alias("o"), F.lit(n).alias("l")) for i, n in enumerate(names)))
-    top = F.array_max(ranked)
-    found = top["s"] > 0
-    return F.struct(
-        F.when(found, top["l"]).otherwise("safe").alias("label"),
-        F.when(found, top["s"]).otherwise(0.5).alias("confidence"),
-        F.map_from_entries(F.concat(F.transform(ranked, lambda r: F.struct(r["l"].alias("key"), r["s"].alias("value"))), F.array(F.struct(F.lit("safe").alias("key"), F.when(found, 0.0).otherwise(0.5).alias("value"))))).alias("scores"),
-    )
+    # a plain search first; the pattern is tried only where the word is there
+    found = F.array(*(F.when(low.contains(w), low.rlike(r"\b" + re.escape(w))).otherwise(False) for _, _, w, _ in rows))
+
+    def scored(hits: Column) -> Column:
+        each = []
+        for i, label in enumerate(labels):
+            mine = [(hits[k], x) for k, (_, name, _, x) in enumerate(rows) if name == label]
+            count = sum((h.cast("int") for h, _ in mine), F.lit(0))
+            weight = sum((F.when(h, x).otherwise(0.0) for h, x in mine), F.lit(0.0))
+            half = lambda v: F.least(v / 3.0, F.lit(1.0))
+            score = F.when(count > 0, F.round(F.least(0.30 + 0.65 * (half(count) + half(weight)) / 2, F.lit(0.95)), 4)).otherwise(0.0)
+            each.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("l")))
+        return F.array(*each)
+
+    def chosen(ranked: Column) -> Column:
+        top = F.array_max(ranked)
+        safe = F.array(F.struct(F.lit("safe").alias("key"), F.when(top["s"] > 0, 0.0).otherwise(0.5).alias("value")))
+        return F.struct(
+            F.when(top["s"] > 0, top["l"]).otherwise("safe").alias("label"),
+            F.when(top["s"] > 0, top["s"]).otherwise(0.5).alias("confidence"),
+            F.map_from_entries(F.concat(F.transform(ranked, lambda r: F.struct(r["l"].alias("key"), r["s"].alias("value"))), safe)).alias("scores"),
+        )
+
+    return _let(_let(found, scored), chosen)
 
 
 def relevant(text: Column) -> Column:
@@ -124,8 +130,7 @@ def geo_tags(text: Column) -> Column:
 def resolve(lat: Column, lon: Column, text: Column, place_lat: Column, place_lon: Column) -> Column:
     """struct<lat, lon>: the feed's coordinates if valid, else the text's place, else the gazetteer's."""
     feed = F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
-    tag = geo_tag(text)
-    tagged = F.when(tag.isNotNull(), F.struct(tag["lat"].alias("lat"), tag["lon"].alias("lon")))
+    tagged = _let(geo_tag(text), lambda t: F.when(t.isNotNull(), F.struct(t["lat"].alias("lat"), t["lon"].alias("lon"))))
     known = F.when(place_lat.isNotNull(), F.struct(place_lat.alias("lat"), place_lon.alias("lon")))
     return F.coalesce(feed, tagged, known)
 

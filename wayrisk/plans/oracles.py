@@ -177,7 +177,7 @@ ORACLES = {
     "single_mode_risk": _multi(True, False, "'sea'") + " SELECT * FROM multi",
     "recommended_mode": f"{_multi(True, False)} SELECT route_id, arg_max(mode, (safety_score, CASE mode WHEN 'air' THEN 0 WHEN 'sea' THEN -1 ELSE -2 END)) AS recommended_mode FROM multi GROUP BY route_id",
     "single_route_risk": f"WITH RECURSIVE {_EV}, {_routes(10)}, {_SAMPLED}, {_NEAR}, ne AS (SELECT near.route_id, near.mode, near.distance_km, ev.* FROM near JOIN ev USING (event_id) WHERE mode = 'air'), {_weights('ne')}, {_RISK} SELECT rt.route_id, rt.km AS route_km, coalesce(event_risk, 0.0) AS event_risk, coalesce(event_band, 'LOW') AS event_band, coalesce(event_count, 0) AS event_count, coalesce(dominant_label, 'none') AS dominant_label FROM rt LEFT JOIN risk ON rt.route_id = risk.route_id AND rt.mode = risk.mode WHERE rt.mode = 'air'",
-    "evidence_top5": f"WITH RECURSIVE {_EV}, {_routes()}, {_SAMPLED}, {_NEAR}, ne AS (SELECT near.route_id, near.mode, near.distance_km, ev.* FROM near JOIN ev USING (event_id) WHERE source <> 'seed') SELECT * FROM (SELECT route_id, mode, CAST(row_number() OVER (PARTITION BY route_id, mode ORDER BY intensity_score * (1.0::DOUBLE / greatest(coalesce(distance_km, 1.0), 0.1)) DESC, ord) AS INTEGER) AS rank, event_id, trim(raw_text[1:150]) || CASE WHEN length(raw_text) > 150 THEN '…' ELSE '' END AS headline, round(intensity_score, 4) AS intensity, distance_km FROM ne) WHERE rank <= 5",
+    "evidence_top5": f"WITH RECURSIVE {_EV}, {_routes()}, {_SAMPLED}, {_NEAR}, ne AS (SELECT near.route_id, near.mode, near.distance_km, ev.* FROM near JOIN ev USING (event_id) WHERE source <> 'seed') SELECT * FROM (SELECT route_id, mode, CAST(row_number() OVER (PARTITION BY route_id, mode ORDER BY intensity_score * (1.0::DOUBLE / greatest(coalesce(distance_km, 1.0), 0.1)) DESC, ord) AS INTEGER) AS rank, event_id, trim(raw_text[1:150]) || CASE WHEN length(raw_text) > 150 THEN '…' ELSE '' END AS headline, round(label_confidence, 4) AS confidence, distance_km FROM ne) WHERE rank <= 5",
     "source_credibility": _credibility(),
     "raw_validity": f"WITH {_EV} SELECT event_id FROM ev WHERE length(trim(raw_text)) >= 20 AND regexp_matches(source_url, '^https?://') AND epoch_us({_NOW}) - epoch_us(published_at) <= 72 * 3600000000",
     "relevance_filter": f"WITH {_TX} SELECT doc_id FROM tx WHERE length(text) >= 20 AND ({' OR '.join(f'regexp_matches(text, {_text(f"(?i)\\b({p})\\b")})' for p in D.ACCEPT)} OR NOT ({' OR '.join(f'regexp_matches(text, {_text(f"(?i)\\b({p})\\b")})' for p in D.REJECT)}))",

@@ -157,7 +157,7 @@ def recommended_mode(s: SparkSession, d: str) -> DataFrame:
 @query
 def evidence_top5(s: SparkSession, d: str) -> DataFrame:
     near = analysis.near_events(routes(domain.requests(s, d)), domain.events(s, d), analysis.Settings())
-    return analysis.evidence(near).select(*ROUTE, "rank", "event_id", "headline", "intensity", "distance_km")
+    return analysis.evidence(near).select(*ROUTE, "rank", "event_id", "headline", "confidence", "distance_km")
 
 
 @query
