@@ -53,7 +53,9 @@ class PieceCounts(dict):
         cut_proof([self.model.id_to_piece(i) for i in range(self.model.get_piece_size())])
         if [self.model.id_to_piece(i) for i in self.model.encode("  a")] != [SPACE * 2, SPACE + "a"]:
             raise ValueError("this model's spaces aren't kept as they are with one put in front")
-        self.proven = dict.fromkeys(shortcut(self.model), 1)
+        if self.model.is_unknown(self.model.piece_to_id(SPACE)):
+            raise ValueError("this model has no piece for a space")
+        self.proven = dict.fromkeys(shortcut(self.model), 1) | {" ": 1}
         super().__init__(self.proven)
 
     def __missing__(self, pretoken: str) -> int:
