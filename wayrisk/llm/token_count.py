@@ -69,7 +69,8 @@ class PieceCounts(dict):
     def count(self, text: str) -> int:
         if not text:
             return 0
-        return sum(map(self.__getitem__, _PRETOKEN.findall(" " + text)))
+        # the library writes spaces as space marks, so that a mark in a text is like a space
+        return sum(map(self.__getitem__, _PRETOKEN.findall(" " + text.replace(SPACE, " "))))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
