@@ -41,9 +41,8 @@ def test_near(docs, rows):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
-def test_near_crowded(spark, monkeypatch):
-    """Crowded buckets go by their rarest symbols, and chains of links by components."""
-    monkeypatch.setattr(near_dedup, "SMALL", 3)
+def test_near_chains(spark):
+    """Chains of links, in which the first and the last text aren't linked, in one component."""
     base = [f"w{i}" for i in range(200)]
     rows = [(k, " ".join([*(f"n{k}x{i}" for i in range(18 * (k % 8))), *base[18 * (k % 8) :]])) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -1,26 +1,23 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's set holds its distinct shingles of five words (words are runs of anything but ASCII white
-space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 64 symbols of 32 bits,
+space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 48 symbols of 32 bits,
 each the minimum of the set under another hash, so that two documents differ in a symbol with
-probability 1 - similarity. Candidates are joined on two indexes over signatures:
+probability 1 - similarity. Pairs of signatures with at most 22 differing symbols are candidates; at a
+similarity of 0.75 that is exceeded with probability 3e-4.
 
-* The first 24 symbols are split into six chunks of four. By pigeonhole, two documents with at most 11
-  differing symbols have a chunk with at most one, so that enumerating the allowed errors of
-  each chunk (its four sets of three other symbols) as keys guarantees that all such pairs share one of
-  24 keys. At a similarity of 0.75 no chunk is that near with probability 0.26 ** 6 = 3e-4.
-* For documents that merely share a passage with many, those keys are crowded. They are joined on
-  their rarest symbols: in one order of all symbols, signatures that agree in 36 of 64 have one in
-  common among the first 29 of both, by pigeonhole again. At a similarity of 0.75, 28 errors are
-  exceeded with probability 3e-4.
+The signature is split into 48 chunks, one symbol each. By pigeonhole, two signatures with at most 22
+errors agree in at least one of any 23 chunks that are chosen alike for both; with so many chunks the allowed
+errors of a chosen one are none, so its symbol is the key. Chosen are the 23 that are rarest in one
+order of all symbols of the corpus: what many documents share, such as a common passage, then makes no
+bucket unless it makes up most of a document, and all pairs under the threshold are still found.
 
 No bucket's pairs are ever all emitted:
 
 1. Documents with the same words form one class, of which only one member goes on.
 2. Each member of a bucket is compared with the bucket's smallest one only; verified links give components.
-3. Only buckets that still hold several components go on, those with over ``SMALL`` members by their
-   members' rarest symbols. There, members of different components are paired if their signatures
-   are near, so that no link between components is lost.
+3. In buckets that still hold several components, members of different ones are paired, once for each
+   pair, if their signatures are near, so that no link between components is lost.
 
 Every link is confirmed on the full sets, and components come from label propagation with pointer
 jumping over DataFrames; no links or labels are collected.
@@ -35,7 +32,6 @@ result; other columns, whatever their names, pass through ``keep_one``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,15 +43,10 @@ from wayrisk.llm._shared import WordHash, checkpoint, window_hashes, word_array
 
 WORDS = 5
 PERCENT = 75
-#: Symbols of the block whose chunks give keys, and of a chunk.
-BLOCK, CHUNK = 24, 4
-SYMBOLS = 64
-#: Symbols of a chunk that must agree, after at most one error.
-AGREE = 3
-#: Equal symbols of 64 that a pair must have to be verified.
-NEAR = 36
-#: Members of larger buckets are paired by their rarest symbols.
-SMALL = 64
+SYMBOLS = 48
+#: Equal symbols that a pair must have to be verified, and symbols of each that are keys.
+NEAR = 26
+KEYS = SYMBOLS - NEAR + 1
 _MEMO = WordHash()
 _rng = np.random.default_rng(20240131)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
@@ -96,26 +87,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "sig"])
 
 
-def _keys(sig: str = "sig") -> Column:
-    """The 24 keys of the first block: each three symbols of each chunk."""
-    out = []
-    for first in range(0, BLOCK, CHUNK):
-        out += [F.xxhash64(*(F.lit(first + i) for i in some), *(F.col(sig)[first + i] for i in some)) for some in combinations(range(CHUNK), AGREE)]
-    return F.array(*out)
-
-
 def _rarest(members: DataFrame) -> DataFrame:
-    """(key, id, label) of the symbols of each member that come first by rarity among all members.
-
-    In one order of all symbols, two signatures that agree in NEAR symbols have one among the first
-    SYMBOLS - NEAR + 1 of both.
-    """
+    """(id, key): of the ``KEYS`` symbols of each member that come first by rarity, those that others have too."""
     symbols = F.array(*(F.xxhash64(F.lit(k), F.col("sig")[k]) for k in range(SYMBOLS)))
-    each = members.select("id", "label", F.explode(symbols).alias("key"))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    ordered = each.join(often, "key").groupBy("id", "label").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("s"))
-    first = F.filter(F.slice("s", 1, SYMBOLS - NEAR + 1), lambda x: x.often > 1)
-    return ordered.select("id", "label", F.explode(first).alias("x")).select(F.col("x.key").alias("key"), "id", "label")
+    each = members.select("id", F.explode(symbols).alias("key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = each.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
+    # a member's own symbols are its rarest: they take their places among the first
+    first = F.slice("s", 1, F.greatest(F.lit(0), KEYS - (SYMBOLS - F.size("s"))))
+    return shared.select("id", F.explode(F.transform(first, lambda x: x["key"])).alias("key"))
 
 
 def _alike(a: str, b: str) -> Column:
@@ -166,9 +146,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
-    """Members (key, id, label, ...) of the keys that hold several labels, with the key's ``size``."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return members.join(sizes.where("lo <> hi").select("key", "size"), "key")
+    """Members (key, id, label) of the keys that hold several labels."""
+    labels = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return members.join(labels.where("lo <> hi").select("key"), "key")
 
 
 def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -184,25 +164,19 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     classes = checkpoint(classes)
 
     # Every member of a bucket against its smallest.
-    keyed = classes.select("id", F.explode(_keys()).alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    keyed = checkpoint(_rarest(classes))
+    stars = keyed.groupBy("key").agg(F.min("id").alias("a"))
     star = keyed.join(stars, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
     of = lambda p: classes.select(F.col("id").alias(p), F.col("n").alias(p + "n"), F.col("sig").alias(p + "sig"))
     star = checkpoint(star.join(of("a"), "a").join(of("b"), "b").where(_alike("a", "b")).select("a", "b"))
     links = checkpoint(_verified(star, texts))
     labels = components(links)
 
-    # Buckets that still hold several components.
+    # Buckets that still hold several components: each pair once, at the first key that both have.
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = checkpoint(named)
-    found = checkpoint(_open_buckets(named.select("id", "label", F.explode(_keys()).alias("key"))).select("key", "id", "size"))
-    small = found.where(F.col("size") <= SMALL).select("key", "id")
-    crowd = checkpoint(found.where(F.col("size") > SMALL).select("id").distinct().join(named, "id"))
-    rare = _open_buckets(_rarest(crowd))
-    small = checkpoint(small.union(rare.select("key", "id")))
-    # each pair once: at the first key that both have
-    own = small.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")).join(named, "id")
-    full = own.select("*", F.explode("keys").alias("key"))
+    opened = _open_buckets(keyed.join(named.select("id", "label"), "id"))
+    own = opened.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys")).join(named, "id")
+    full = checkpoint(own.select("*", F.explode("keys").alias("key")))
     side = lambda p: full.select("key", *(F.col(c).alias(p + c) for c in ("id", "label", "n", "sig", "keys")))
     first = F.element_at(F.array_intersect("akeys", "bkeys"), 1) == F.col("key")
     cross = side("a").join(side("b"), "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b") & first)
