@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from wayrisk.functions import risk as R
 from wayrisk.operators import aggregates as agg
 
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
 def one(spark, *columns):
@@ -21,7 +22,7 @@ def ago(seconds):
 
 @pytest.mark.parametrize(("age", "low", "high"), [(300, 0.99, 1.0), (86400, 0.49, 0.51), (365 * 86400, 0.01, 0.01), (-3600, 1.0, 1.0)])
 def test_recency(spark, age, low, high):
-    assert low <= one(spark, R.recency(ago(age), NOW))[0] <= high
+    assert low <= one(spark, R.recency(ago(age), now()))[0] <= high
 
 
 @pytest.mark.parametrize(("km", "low", "high"), [(0, 1, 1), (50, 0.49, 0.51), (10_000, 0, 0.01), (-1, 1, 1)])
@@ -46,8 +47,8 @@ def test_band(spark, score, band):
 
 def risk_of(spark, events):
     rows = [(1, "air", str(i), label, intensity, km) for i, (label, intensity, km) in enumerate(events)]
-    df = spark.createDataFrame(rows, "route_id int, mode string, event_id string, label string, intensity_score double, distance_km double").withColumn("published_at", NOW)
-    return agg.route_risk(agg.features(df, NOW)).collect()
+    df = spark.createDataFrame(rows, "route_id int, mode string, event_id string, label string, intensity_score double, distance_km double").withColumn("published_at", now())
+    return agg.route_risk(agg.features(df, now())).collect()
 
 
 def test_single_conflict(spark):

@@ -11,33 +11,34 @@ from wayrisk.sources import dimensions, feeds, sinks
 from wayrisk.streaming.ingest import ingest, landed, needs_fetch
 from wayrisk.streaming.state import track
 
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
 def test_gdelt(spark, tmp_path):
     articles = [{"url": "http://a/1", "title": "A title that is long enough", "seendate": "20240130T101500Z", "domain": "a"}, {"url": "http://a/2", "title": "short"}, {"url": "http://a/3", "title": "Another title that is long", "seendate": "bad"}]
     (tmp_path / "x.json").write_text(json.dumps({"articles": articles}))
-    got = feeds.gdelt(spark, str(tmp_path), NOW).orderBy("source_url").collect()
+    got = feeds.gdelt(spark, str(tmp_path), now()).orderBy("source_url").collect()
     assert [r.published_at for r in got] == [dt.datetime(2024, 1, 30, 10, 15), dt.datetime(2024, 1, 31)] and got[0].event_id.startswith("gdelt-")
 
 
 def test_rss_and_news(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<rss><item><title><![CDATA[One]]></title><link>http://x/1</link><description>About <b>one</b></description></item><item><title>One again</title><link>http://x/1</link></item><item></item></rss>")
-    got = feeds.rss(spark, str(tmp_path / "feed.xml"), NOW).collect()
+    got = feeds.rss(spark, str(tmp_path / "feed.xml"), now()).collect()
     assert [(r.text, r.publisher) for r in got] == [("One. About one", "feed")]
     (tmp_path / "n.json").write_text(json.dumps({"articles": [{"url": "http://n/1", "title": "T", "description": "D", "source": {"name": "N"}}]}))
-    got = feeds.news(spark, str(tmp_path / "n.json"), "newsapi", NOW, 25).first()
+    got = feeds.news(spark, str(tmp_path / "n.json"), "newsapi", now(), 25).first()
     assert (got.text, got.publisher, got.source) == ("T. D", "N", "newsapi")
 
 
 def test_store(spark, tmp_path):
     path = str(tmp_path / "store")
-    a = spark.createDataFrame([("1", "a"), ("1", "b")], "event_id string, source string").withColumn("ingested_at", NOW)
+    a = spark.createDataFrame([("1", "a"), ("1", "b")], "event_id string, source string").withColumn("ingested_at", now())
     sinks.insert_absent(a, path)
-    sinks.insert_absent(spark.createDataFrame([("1", "c"), ("2", "seed")], "event_id string, source string").withColumn("ingested_at", NOW), path)
+    sinks.insert_absent(spark.createDataFrame([("1", "c"), ("2", "seed")], "event_id string, source string").withColumn("ingested_at", now()), path)
     got = feeds.store(spark, path)
-    assert got.count() == 2 and sinks.without_source(got).count() == 1 and sinks.live(got, NOW).count() == 2
-    assert sinks.from_document(sinks.to_document(got)).columns == got.columns and needs_fetch(spark, path, NOW) and needs_fetch(spark, path + "-none", NOW)
+    assert got.count() == 2 and sinks.without_source(got).count() == 1 and sinks.live(got, now()).count() == 2
+    assert sinks.from_document(sinks.to_document(got)).columns == got.columns and needs_fetch(spark, path, now()) and needs_fetch(spark, path + "-none", now())
 
 
 def log(spark, rows):
@@ -65,7 +66,7 @@ def test_streams(spark, tmp_path):
     rows = [(f"e{i}", "Houthi drone strike damages cargo ship in the Red Sea", "rss", f"http://x/{i}", f"p{i}", None, None, dt.datetime(2024, 1, 30), None, None) for i in range(3)]
     spark.createDataFrame(rows + rows[:1], feeds.RAW_EVENT).write.parquet(str(tmp_path / "in"))
     for _ in range(2):
-        ingest(landed(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c"), once=True, now=NOW).awaitTermination()
+        ingest(landed(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c"), once=True, now=now()).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "store")).collect()
     assert len(got) == 1 and got[0].corroboration_count == 3 and "Red Sea / Bab el-Mandeb" in got[0].zones
     log(spark, [(0, "fail"), (10, "fail"), (20, "fail"), (30, "ok")]).write.parquet(str(tmp_path / "log"))

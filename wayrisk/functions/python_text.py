@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from wayrisk.sources.dimensions import ABBREVIATIONS, NO_PLACE, PLACES
 
@@ -35,7 +36,7 @@ def titled(names: list[str]) -> list[str]:
     return list(dict.fromkeys(n.strip().title() for n in names if n and n.strip()))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def unique_places(found: pd.Series) -> pd.Series:
     return found.map(lambda names: titled(list(names)) if names is not None else [])
 
@@ -58,12 +59,12 @@ def normal_place(raw: str | None) -> str | None:
     return text.title() if (text.isupper() and len(text) > 3) or not text[0].isupper() else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_place(raw: pd.Series) -> pd.Series:
     return raw.map(normal_place, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def normalize_places(raw: pd.Series) -> pd.Series:
     """Normal forms, each once whatever its case."""
 
@@ -84,6 +85,6 @@ def similar(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a.lower().strip()[:200], b.lower().strip()[:200]).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def headline_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
