@@ -42,7 +42,7 @@ SHINGLE = 5
 #: Passages start so many words apart, or so many as the longest item has, and are twice as long.
 STRIDE = 64
 #: Items in a block of a posting list.
-BLOCK = 8
+BLOCK = 4
 K1, B = 1.2, 0.75
 #: Bytes of item texts that one index may hold.
 INDEX_BYTES = 16_000_000
@@ -111,7 +111,7 @@ class Index:
         for t in sorted(range(len(self.docs)), key=lambda t: -len(self.docs[t])):
             if len(self.docs[t]) < 3:
                 break
-            if all(share[d] + x < 0.9 * self.threshold for d, x in zip(self.docs[t], self.impacts[t], strict=True)):
+            if all(share[d] + x < 0.5 * self.threshold for d, x in zip(self.docs[t], self.impacts[t], strict=True)):
                 share[self.docs[t]] += self.impacts[t]
                 common[t] = True
         self.common_in_block = np.array([share[b * BLOCK : (b + 1) * BLOCK].max() for b in range(self.n_blocks)]) if n else np.zeros(0)
@@ -122,7 +122,7 @@ class Index:
                 most += by.values()
             start.append(len(blocks))
         self.flat_blocks, self.flat_most, self.flat_start = np.array(blocks, np.int64), np.array(most), np.array(start)
-        self.lookup = {w: (t if not common[t] else -1) for w, t in self.term.items()}
+        self.rare = {w: t for w, t in self.term.items() if not common[t]}
 
     def retrieve(self, terms: set[int]) -> list[tuple[int, float]]:
         """(item, score) of all items that score at least the threshold against distinct ``terms``: block-max WAND."""
@@ -167,8 +167,8 @@ class Index:
 
     def passages(self, words: list[str]) -> np.ndarray:
         """Starts of the passages that could reach the threshold for some block of items."""
-        lookup = self.lookup
-        found = [(i, t) for i, t in ((i, lookup.get(w, -1)) for i, w in enumerate(words)) if t >= 0]
+        rare = self.rare
+        found = [(i, rare[w]) for i, w in enumerate(words) if w in rare]
         if not found:
             return np.zeros(0, np.int64)
         at, term = np.array(found, np.int64).T
