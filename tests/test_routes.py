@@ -52,7 +52,7 @@ def test_zone_points(spark, lat, lon, want):
 
 
 def test_coinciding_ends_and_short_routes(spark):
-    r = spark.createDataFrame([(1, 10.0, 10.0, 10.0, 10.0), (2, 0.0, 0.0, 0.0, 1.0)], "route_id int, olat double, olon double, dlat double, dlon double")
+    r = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0, 1.0)], "route_id int, olat double, olon double, dlat double, dlon double")
     got = {x.route_id: x for x in base_routes(r).collect()}
     assert len(got[1].points) == 2 and got[1].km == 0 and len(got[2].points) == 10 and got[2].km == 111.2
 
