@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -26,20 +27,21 @@ def classify(text: Column) -> Column:
     """
     rows = keyword_rows()
     labels = list(dict.fromkeys(label for _, label, _, _ in rows))
+    # the rules as one constant, which keeps the expression small
+    rules = F.from_json(F.lit(json.dumps([{"o": o, "w": w, "p": r"\b" + re.escape(w), "x": x} for o, _, w, x in rows])), "array<struct<o:int,w:string,p:string,x:double>>")
     low = F.lower(F.coalesce(text, F.lit("")))
     # a plain search first; the pattern is tried only where the word is there
-    found = F.array(*(F.when(low.contains(w), low.rlike(r"\b" + re.escape(w))).otherwise(False) for _, _, w, _ in rows))
+    found = F.filter(rules, lambda r: F.when(F.contains(low, r["w"]), F.rlike(low, r["p"])).otherwise(False))
 
     def scored(hits: Column) -> Column:
-        each = []
-        for i, label in enumerate(labels):
-            mine = [(hits[k], x) for k, (_, name, _, x) in enumerate(rows) if name == label]
-            count = sum((h.cast("int") for h, _ in mine), F.lit(0))
-            weight = sum((F.when(h, x).otherwise(0.0) for h, x in mine), F.lit(0.0))
+        def score(label: Column, i: Column) -> Column:
+            mine = F.filter(hits, lambda h: h["o"] == i)
             half = lambda v: F.least(v / 3.0, F.lit(1.0))
-            score = F.when(count > 0, F.round(F.least(0.30 + 0.65 * (half(count) + half(weight)) / 2, F.lit(0.95)), 4)).otherwise(0.0)
-            each.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(label).alias("l")))
-        return F.array(*each)
+            weight = F.aggregate(mine, F.lit(0.0), lambda a, h: a + h["x"])
+            value = F.when(F.size(mine) > 0, F.round(F.least(0.30 + 0.65 * (half(F.size(mine)) + half(weight)) / 2, F.lit(0.95)), 4)).otherwise(0.0)
+            return F.struct(value.alias("s"), (-i).alias("o"), label.alias("l"))
+
+        return F.transform(F.array(*map(F.lit, labels)), score)
 
     def chosen(ranked: Column) -> Column:
         top = F.array_max(ranked)

@@ -26,7 +26,8 @@ def enrich(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str]
     """Valid, verified, relevant, annotated, located and zoned events (L2; P1, F12, P2, L1, P3, R10, P6, J2)."""
     e = raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now) & T.relevant(F.col("text")))
     e = e.withColumn("v", T.verify(F.col("source_url"), F.col("publisher")))
-    e = annotate(e, "text", places).where(T.still_relevant(F.col("label"), F.col("label_confidence")))
+    # used twice below, and by each step of the clustering: annotated once
+    e = annotate(e, "text", places).persist().where(T.still_relevant(F.col("label"), F.col("label_confidence")))
     # the first of up to three normalised names that the gazetteer knows
     names = e.select("event_id", F.posexplode(F.slice(normalize_places("location_names"), 1, 3)).alias("i", "name"))
     known = geocode(names, gazetteer).where("glat is not null").groupBy("event_id").agg(F.min_by(F.struct("glat", "glon"), "i").alias("g"))
@@ -39,6 +40,6 @@ def cycle(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] =
     """Incidents of one cycle of raw events, ready to be stored."""
     e = enrich(raw, now, gazetteer, places)
     # a cycle is one fetch of bounded size; its order decides which report heads an incident
-    e = e.withColumn("ord", F.row_number().over(Window.orderBy("source", "event_id")).cast("long")).withColumnRenamed("text", "raw_text")
+    e = e.withColumn("ord", F.row_number().over(Window.orderBy("source", "event_id")).cast("long")).withColumnRenamed("text", "raw_text").persist()
     out = event_zones(cluster_incidents(e.select("ord", "raw_text", "label", "lat", "lon", "published_at", "publisher", "source_url", "image_url", "source", "intensity_score", "credibility_score")))
     return out.withColumns({"event_id": F.col("canonical_event_id"), "ingested_at": now, "schema_version": F.lit("2")}).drop("cluster")
