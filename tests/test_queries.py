@@ -31,7 +31,7 @@ def test_sql(spark, tables, name):
     assert len(a) == len(b) and all(((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all() for c in columns)
 
 
-@pytest.mark.parametrize("name", ["regex_ner", "unique_locations", "entity_normalize", "headline_similarities", "incident_clusters", "ingest_cycle", "can_fetch_state", "intensity_model", "json_response"])
+@pytest.mark.parametrize("name", ["regex_ner", "unique_locations", "entity_normalize", "headline_similarities", "can_fetch_state", "intensity_model"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
