@@ -100,6 +100,20 @@ def test_templates_reject(spark):
     assert {got[i] for i in range(60)} == {"block"} and {got[100 + i] for i in range(60)} == {"allow"}
 
 
+def test_templates_many_branches(spark):
+    """How many different children a node has changes no verdict, and unlabelled pages don't share the labelled ones' template."""
+    kinds = [f"{a}{b}" for a in "abcde" for b in "ghijkl"]
+    for n in (17, 18, 30):
+        paths = [f"{s}/p{k}" for s in ("es", "fr") for k in range(8)] + [f"{s}/p{k}" for s in ("en", "de", *kinds[:n]) for k in range(3)]
+        rows = list(enumerate(f"http://x.net/{p}" for p in paths))
+        got = {r.page_id: (r.verdict, r.template) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+        assert {got[i] for i in range(16)} == {("block", "/{blocked}/{blocked}")}
+        assert {got[i][0] for i in range(16, len(rows))} == {"allow"} and {got[i][1] for i in range(16, 22)} == {"/en/{n}", "/de/{n}"}
+    slugs = [f"http://x.net/{a}{b}{c}" for a in "abcd" for b in "efgh" for c in "ijkl"] + [f"http://x.net/es/{k}" for k in range(8)]
+    got = [(r.verdict, r.template) for r in url_filter.judge(spark.createDataFrame(list(enumerate(slugs)), "page_id long, url string"), queries.URL_RULES).orderBy("page_id").collect()]
+    assert got == [("allow", "/{*}")] * 64 + [("block", "/{blocked}/{blocked}")] * 8
+
+
 def test_licenses(spark, docs, empty):
     rows = [(1, "x " * 40 + "Licensed under the Apache License, Version 2.0." + " y" * 40), (2, "LICENSED under CC BY-NC 4.0"), (3, "a license without more words here"), (4, None), (5, ""), (6, "released under the MIT license. Released under the MIT License.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as w", "3 as c")

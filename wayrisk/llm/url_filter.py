@@ -4,9 +4,11 @@ Explicit rules come first. URLs that a rule settles are also the labelled data o
 
 1. Pages are aggregated by host and path segments, in which a segment with a digit is already a wildcard
    ``{n}``, so the tree works on distinct paths with their counts, not on pages.
-2. Level by level, a node with more than ``BRANCHES`` different children makes them a wildcard ``{*}``.
-3. Siblings are merged where labels don't tell them apart: those whose Wilson intervals of the share
-   of blocked pages lie wholly above one half, wholly below it, or across it. Siblings without labels stay.
+2. Level by level, siblings are merged where labels don't tell them apart: those whose Wilson intervals of
+   the share of blocked pages lie wholly above one half, wholly below it, or across it.
+3. Siblings without labels become a wildcard ``{*}``, among themselves only, where their segment is variable:
+   where pages that are alone with their segment are over half of the node's (Wilson interval at ``SURE``; by
+   Good and Turing that is the chance that one more page brings a new segment). Else they stay.
 4. A template's purity is its share of blocked pages, smoothed with ``PRIOR`` pages at one half; templates
    over ``REJECT`` are rejected, and with them the pages that no rule settles.
 
@@ -23,9 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayrisk.llm._shared import checkpoint
+
 DEPTH = 4
+#: Of ``oracle`` only: its tree makes a wildcard where a node has more children than this.
 BRANCHES = 20
 Z = 1.96
+#: For variable segments: every node is tested, and at 1.96 four pages with different segments are enough.
+SURE = 3.29
 PRIOR = 4.0
 REJECT = 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,19 +60,26 @@ def _segments(path: Column) -> Column:
     return F.array_join(F.slice(parts, 1, DEPTH), "/")
 
 
+def _above_half(part: Column, whole: Column, z: float = Z) -> Column:
+    """Whether the Wilson interval of ``part`` / ``whole``, whole > 0, lies wholly above one half."""
+    p, n = part / whole, whole
+    middle, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    return middle - spread > 0.5 * (1 + z * z / n)
+
+
 def _templates(paths: DataFrame) -> DataFrame:
-    """(host, segments, template, labelled, blocked) of the distinct paths (host, segments, labelled, blocked)."""
-    tree = paths.withColumn("template", F.lit(""))
+    """(host, segments, template, labelled, blocked) of the distinct paths (host, segments, labelled, blocked, pages)."""
+    tree = checkpoint(paths.withColumn("template", F.lit("")))
     for level in range(DEPTH):
         here = tree.withColumn("s", F.coalesce(F.get(F.split("segments", "/"), F.lit(level)), F.lit("")))
-        nodes = here.groupBy("host", "template", "s").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        wide = nodes.where("s not in ('', '{n}')").groupBy("host", "template").agg((F.count(F.lit(1)) > BRANCHES).alias("wide"))
-        p, n = F.col("b") / F.col("l"), F.col("l")
-        middle, spread = p + Z * Z / (2 * n), Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
-        side = F.when(middle - spread > 0.5 * (1 + Z * Z / n), "{blocked}").when(middle + spread < 0.5 * (1 + Z * Z / n), "{allowed}").otherwise("{mixed}")
-        name = F.when(F.coalesce("wide", F.lit(False)) & (F.col("s") != "{n}"), F.lit("{*}")).when(F.col("l") > 0, side).otherwise(F.col("s"))
+        nodes = here.groupBy("host", "template", "s").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("pages").alias("n"))
+        once, seen = F.coalesce(F.sum(F.when(F.col("n") == 1, 1)), F.lit(0)), F.sum("n")
+        wide = nodes.where("s not in ('', '{n}')").groupBy("host", "template").agg(_above_half(once, seen, SURE).alias("wide"))
+        l, b = F.col("l"), F.col("b")
+        side = F.when(_above_half(b, l), "{blocked}").when(_above_half(l - b, l), "{allowed}").otherwise("{mixed}")
+        name = F.when(l > 0, side).when(F.coalesce("wide", F.lit(False)) & (F.col("s") != "{n}"), F.lit("{*}")).otherwise(F.col("s"))
         named = nodes.join(wide, ["host", "template"], "left").select("host", "template", "s", F.when(F.col("s") == "", F.lit("")).otherwise(F.concat(F.lit("/"), name)).alias("step"))
-        tree = here.join(named, ["host", "template", "s"]).withColumn("template", F.concat("template", "step")).drop("s", "step")
+        tree = checkpoint(here.join(named, ["host", "template", "s"]).withColumn("template", F.concat("template", "step")).drop("s", "step"))
     return tree
 
 
@@ -75,7 +89,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", page
     parsed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(rules, F.col("host"), F.col("path"))
     parsed = parsed.select("*", rule.alias("rule"), verdict.alias("ruled"), _segments(F.col("path")).alias("segments"))
-    paths = parsed.groupBy("host", "segments").agg(F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
+    paths = parsed.groupBy("host", "segments").agg(F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"), F.count(F.lit(1)).alias("pages"))
     tree = _templates(paths)
     purity = (F.sum("blocked") + PRIOR / 2) / (F.sum("labelled") + PRIOR)
     purity = tree.groupBy("host", "template").agg(F.round(purity, 6).alias("purity"))
@@ -85,7 +99,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", page
 
 
 def oracle(rules: list[tuple[str, str]]) -> str:
-    """DuckDB SQL for ``judge`` over ``pages``."""
+    """DuckDB SQL for ``judge`` over ``pages``, where no node has over ``BRANCHES`` children without a digit or a variable segment."""
     rule = verdict = "NULL"
     for what, name in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         own, slash, rest = name.partition("/")
