@@ -114,6 +114,16 @@ def test_templates_many_branches(spark):
     assert got == [("allow", "/{*}")] * 64 + [("block", "/{blocked}/{blocked}")] * 8
 
 
+def test_templates_deep(spark):
+    """Pages under a rule of seven segments don't decide for others that share six."""
+    deep = "x.net/a/b/c/d/e/f"
+    rows = list(enumerate([f"http://{deep}/g/p{k}" for k in range(20)] + [f"http://{deep}/h/p{k}" for k in range(3)] + ["http://x.net/a/b/o/n/l/y/z"]))
+    got = [(r.verdict, r.template) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", f"{deep}/g/")]).orderBy("page_id").collect()]
+    top = "/{blocked}" * 6
+    assert got[:20] == [("block", f"{top}/{{blocked}}/{{blocked}}")] * 20 and got[20:23] == [("allow", f"{top}/h/{{n}}")] * 3
+    assert got[23] == ("allow", "/{blocked}/{blocked}/o/n/l/y/z")
+
+
 def test_licenses(spark, docs, empty):
     rows = [(1, "x " * 40 + "Licensed under the Apache License, Version 2.0." + " y" * 40), (2, "LICENSED under CC BY-NC 4.0"), (3, "a license without more words here"), (4, None), (5, ""), (6, "released under the MIT license. Released under the MIT License.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as w", "3 as c")

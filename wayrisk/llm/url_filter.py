@@ -16,19 +16,21 @@ Aggregates combine map-side, so a host with a third of all pages meets no single
 back to their template on host and path, which are spread as widely as the templates.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is allowed; repeated
-rows repeat their result; an empty table gives an empty result; other columns are not read. Paths deeper
-than ``DEPTH`` share a template with those that agree on the first ``DEPTH`` segments.
+rows repeat their result; an empty table gives an empty result; other columns are not read. The tree goes
+down as far as paths share a template; below that, a path is settled in one step.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayrisk.llm._shared import checkpoint
 
+#: Of ``oracle`` only: its tree has so many levels, and a wildcard where a node has more children than this.
 DEPTH = 4
-#: Of ``oracle`` only: its tree makes a wildcard where a node has more children than this.
 BRANCHES = 20
 Z = 1.96
 #: For variable segments: every node is tested, and at 1.96 four pages with different segments are enough.
@@ -57,7 +59,7 @@ def rule_of(rules: list[tuple[str, str]], host: Column, path: Column) -> tuple[C
 def _segments(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     parts = F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), F.lit("{n}")).otherwise(s))
-    return F.array_join(F.slice(parts, 1, DEPTH), "/")
+    return F.array_join(parts, "/")
 
 
 def _above_half(part: Column, whole: Column, z: float = Z) -> Column:
@@ -69,18 +71,29 @@ def _above_half(part: Column, whole: Column, z: float = Z) -> Column:
 
 def _templates(paths: DataFrame) -> DataFrame:
     """(host, segments, template, labelled, blocked) of the distinct paths (host, segments, labelled, blocked, pages)."""
-    tree = checkpoint(paths.withColumn("template", F.lit("")))
-    for level in range(DEPTH):
-        here = tree.withColumn("s", F.coalesce(F.get(F.split("segments", "/"), F.lit(level)), F.lit("")))
-        nodes = here.groupBy("host", "template", "s").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("pages").alias("n"))
-        once, seen = F.coalesce(F.sum(F.when(F.col("n") == 1, 1)), F.lit(0)), F.sum("n")
-        wide = nodes.where("s not in ('', '{n}')").groupBy("host", "template").agg(_above_half(once, seen, SURE).alias("wide"))
-        l, b = F.col("l"), F.col("b")
-        side = F.when(_above_half(b, l), "{blocked}").when(_above_half(l - b, l), "{allowed}").otherwise("{mixed}")
-        name = F.when(l > 0, side).when(F.coalesce("wide", F.lit(False)) & (F.col("s") != "{n}"), F.lit("{*}")).otherwise(F.col("s"))
-        named = nodes.join(wide, ["host", "template"], "left").select("host", "template", "s", F.when(F.col("s") == "", F.lit("")).otherwise(F.concat(F.lit("/"), name)).alias("step"))
-        tree = checkpoint(here.join(named, ["host", "template", "s"]).withColumn("template", F.concat("template", "step")).drop("s", "step"))
-    return tree
+    l, b = F.col("l"), F.col("b")
+    side = F.when(_above_half(b, l), "{blocked}").when(_above_half(l - b, l), "{allowed}").otherwise("{mixed}")
+    columns = ["host", "segments", "template", "labelled", "blocked", "pages"]
+    parts = F.when(F.col("segments") == "", F.array().cast("array<string>")).otherwise(F.split("segments", "/"))
+    tree = checkpoint(paths.withColumn("template", F.lit("")).select(*columns, (F.size(parts) == 0).alias("ended")))
+    settled, level = [tree.where("ended")], 0
+    live = tree.where("not ended")
+    while not live.isEmpty():
+        here = live.withColumn("s", F.get(parts, F.lit(level)))
+        nodes = here.groupBy("host", "template", "s").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.sum("pages").alias("n"), F.count(F.lit(1)).alias("k"))
+        branch = F.col("s") != "{n}"
+        once, seen = F.sum(F.when(branch & (F.col("n") == 1), 1).otherwise(0)), F.sum(F.when(branch, F.col("n")))
+        wide = nodes.groupBy("host", "template").agg(F.when(seen > 0, _above_half(once, seen, SURE)).otherwise(False).alias("wide"), (F.sum("k") == 1).alias("alone"))
+        name = F.when(l > 0, side).when(F.col("wide") & branch, F.lit("{*}")).otherwise(F.col("s"))
+        named = nodes.join(wide, ["host", "template"]).select("host", "template", "s", "alone", F.when(l > 0, side).alias("side"), F.concat(F.lit("/"), name).alias("step"))
+        # a path that is alone at its node is alone below it too, so its steps repeat or are its segments
+        below = F.array_join(F.transform(F.slice(parts, level + 2, F.greatest(F.size(parts), F.lit(1))), lambda s: F.concat(F.lit("/"), F.coalesce("side", s))), "")
+        template = F.concat("template", "step", F.when(F.col("alone"), below).otherwise(F.lit("")))
+        tree = here.join(named, ["host", "template", "s"]).withColumn("template", template).withColumn("ended", F.col("alone") | (F.size(parts) == level + 1))
+        tree = checkpoint(tree.select(*columns, "ended"))
+        settled.append(tree.where("ended"))
+        live, level = tree.where("not ended"), level + 1
+    return reduce(DataFrame.unionByName, settled).drop("pages", "ended")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -99,7 +112,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", page
 
 
 def oracle(rules: list[tuple[str, str]]) -> str:
-    """DuckDB SQL for ``judge`` over ``pages``, where no node has over ``BRANCHES`` children without a digit or a variable segment."""
+    """DuckDB SQL for ``judge`` over ``pages``, where no path is deeper than ``DEPTH`` and no node has
+    over ``BRANCHES`` children without a digit or a variable segment."""
     rule = verdict = "NULL"
     for what, name in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         own, slash, rest = name.partition("/")
