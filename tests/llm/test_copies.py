@@ -30,6 +30,19 @@ def test_exact(docs, rows, support):
     assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {max(g) for g in groups.values()}
 
 
+@pytest.mark.parametrize("support", [0.001, 0.3])
+def test_one_row_for_each_text(spark, support):
+    """Null ids survive once, repeated rows collapse, in the exact and the near stage."""
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, "a", 1), (None, "a", 1), (None, "b", 1), (3, "c", 1), (3, "c", 1), (3, "c", 2), (None, "c", 9), (None, None, 1), (None, "", 1), (5, long, 1), (None, long + " x", 1), (None, f"y {long} x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    kept = exact_dedup.drop_copies(df, support=support)
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(None, "a"), (None, "b"), (3, "c"), (None, ""), (5, long), (None, long + " x"), (None, f"y {long} x")], key=str)
+    near = [(r.doc_id, r.text or "") for r in near_dedup.keep_one(kept).collect()]
+    assert sorted(near, key=str) == sorted([(None, "a"), (None, "b"), (3, "c"), (None, ""), (5, long)], key=str)
+
+
 def test_near(docs, rows):
     want = components_of(rows)
     got = near_dedup.group(docs).collect()

@@ -8,9 +8,9 @@ map-side, without a shuffle. All other digests go through an ordinary shuffle: a
 aggregate for the winners, joined back on the digest (which adaptive execution can split).
 
 Defined results: a null text counts as the empty text, and empty texts equal each other. Of a group
-the row with the largest ``doc_id`` stays; null ids lose to any other and a group of null ids only
-keeps none by id (``keep_id`` null, ``kept`` false). Rows that repeat both id and text are one
-document and share its verdict. An empty table gives an empty result. Other columns, whatever
+the row with the largest ``doc_id`` stays; null ids lose to any other. ``mark_copies`` names rows by id:
+a group of null ids only keeps none (``keep_id`` null, ``kept`` false), and rows that repeat both id and
+text share their verdict. ``drop_copies`` keeps exactly one row of every group. An empty table gives an empty result. Other columns, whatever
 their names, pass through ``drop_copies`` untouched.
 """
 
@@ -58,15 +58,18 @@ def mark_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sup
 
 
 def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: float = SUPPORT) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each text, with all their columns.
+    """Exactly one row of ``docs`` for each text, with all its columns.
 
-    Of rows that repeat both id and text, all stay: they are one document.
+    It is the one with the largest id, null ids last; among rows of that id the hash of the whole row
+    decides (without columns that hold maps, which have no hash), and of equal rows any one stays.
     """
-    digested = _digested(docs, text)
-    heavy, light = _winners(digested, doc_id, support)
-    heavy = F.broadcast(checkpoint(heavy))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    mine = F.col(doc_id) == F.col("__keep")
-    settled = digested.join(heavy, "__digest").where(mine).select(*columns)
-    rest = digested.join(heavy, "__digest", "left_anti").join(light.drop("__size").hint("merge"), "__digest").where(mine).select(*columns)
-    return settled.unionByName(rest)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    digested = _digested(docs.withColumn("__rank", F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*hashed).alias("row"))), text)
+    heavy, light = _winners(digested, "__rank", support)
+    heavy = F.broadcast(checkpoint(heavy))
+    mine = F.col("__rank") == F.col("__keep")
+    once = lambda rows: rows.where(mine).dropDuplicates(["__digest"]).select(*columns)
+    settled = digested.join(heavy, "__digest")
+    rest = digested.join(heavy, "__digest", "left_anti").join(light.drop("__size").hint("merge"), "__digest")
+    return once(settled).unionByName(once(rest))

@@ -24,7 +24,7 @@ jumping over DataFrames; no links or labels are collected.
 
 Defined results: null and empty texts and texts without words have an empty set and no links; shorter
 texts have their whole sequence of words as their only shingle; rows with a null id have no links and
-aren't kept; rows that repeat id and text get the same result (an id should name one text:
+aren't kept (``keep_one`` names them by their text instead); rows that repeat id and text get the same result (an id should name one text:
 of several, one stands for the id in links); an empty table gives an empty
 result; other columns, whatever their names, pass through ``keep_one``.
 """
@@ -199,6 +199,15 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``group`` keeps, with all their columns."""
-    kept = group(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{doc_id}`") == F.col("__kept"), "left_semi")
+    """The rows of ``docs`` that ``group`` keeps, with all their columns.
+
+    Rows without an id are named by their text here, after all ids, so that they have links and one of a group stays.
+    """
+    own = F.col(f"`{doc_id}`")
+    if docs.where(own.isNull()).isEmpty():
+        kept = group(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+        return docs.join(kept, own == F.col("__kept"), "left_semi")
+    name = F.struct(own.isNull().alias("none"), own.alias("id"), F.when(own.isNull(), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)).alias("sha"))
+    named = docs.select(name.alias("__name"), F.col(f"`{text}`").alias("__text"))
+    kept = group(named, "__text", "__name").where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, name == F.col("__kept"), "left_semi")
