@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 import pytest
@@ -54,6 +55,12 @@ def test_near(docs, rows):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
+def test_near_recall_as_stated():
+    n, near = near_dedup.SYMBOLS, near_dedup.NEAR
+    missed = sum(math.comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(near))
+    assert f"probability {missed * 1e4:.2f}e-4" in near_dedup.__doc__
+
+
 def test_near_chains(spark):
     """Chains of links, in which the first and the last text aren't linked, in one component."""
     base = [f"w{i}" for i in range(200)]

@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of five words (words are runs of an
 space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 48 symbols of 32 bits,
 each the minimum of the set under another hash, so that two documents differ in a symbol with
 probability 1 - similarity. Pairs of signatures with at most 22 differing symbols are candidates; at a
-similarity of 0.75 that is exceeded with probability 3e-4.
+similarity of 0.75 that is exceeded with probability 4.98e-4.
 
 The signature is split into 48 chunks, one symbol each. By pigeonhole, two signatures with at most 22
 errors agree in at least one of any 23 chunks that are chosen alike for both; with so many chunks the allowed
