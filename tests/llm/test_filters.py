@@ -57,6 +57,14 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_ties(spark):
+    """Words with one count that the limit cuts are from all of the alphabet."""
+    rows = [(i, " ".join(f"{chr(0x4E00 + 50 * i + k)}{chr(0x4E00 + k)}" for k in range(50)), "zh") for i in range(100)]
+    texts = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=600)
+    first = [ord(w[0]) for w in texts["zh"].split()]
+    assert len(first) == 600 and sum(c > 0x4E00 + 2500 for c in first) > 150
+
+
 def test_automaton():
     rng = random.Random(1)
     text = "".join(rng.choices("abc ", k=200))
