@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,11 +58,62 @@ def test_near(docs, rows):
 
 
 def test_near_recall_as_stated():
-    n, near = near_dedup.SYMBOLS, near_dedup.NEAR
-    missed = sum(math.comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(near))
+    n, most = near_dedup.SYMBOLS, near_dedup.APART
+    missed = sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(most + 1, n + 1))
     assert f"probability {missed * 1e4:.2f}e-4" in near_dedup.__doc__
 
 
+def test_near_keys(spark):
+    """Signatures with the allowed errors share a key however the errors lie, and the first one is found from the signatures."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        a = [rng.randrange(2**31) for _ in range(near_dedup.SYMBOLS)]
+        b = a[:]
+        for k in rng.sample(range(near_dedup.SYMBOLS), near_dedup.APART if i % 2 else 40):
+            b[k] += 1
+        rows.append((i, a, b))
+    df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>")
+    keys = lambda c: near_dedup._keys(F.col(c)).alias("k" + c)
+    for r in df.select("i", keys("a"), keys("b"), near_dedup._agreed_key(F.col("a"), F.col("b")).alias("first")).collect():
+        same = [k for k, (x, y) in enumerate(zip(r.ka, r.kb, strict=True)) if x == y]
+        assert (same or r.i % 2 == 0) and r.first == (same[0] if same else None)
+
+
+def test_near_bitmaps():
+    """Bitmaps differ in no more bits than sets in shingles, and signatures of many sets are those of each."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 5, 300, 40_000, 70_000, 9)]
+    for a in sets:
+        for b in sets:
+            bits = int(np.bitwise_count((near_dedup.bitmap(a) ^ near_dedup.bitmap(b)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+    together = near_dedup.signatures(sets)
+    assert all((near_dedup.signatures([s])[0] == together[i]).all() for i, s in enumerate(sets))
+
+
+def test_near_family(spark):
+    """Hundreds of texts about one passage, of which few are linked: the links are those of brute force, and few pairs come out."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = base[:]
+        for k in rng.sample(range(120), rng.choice([0, 1, 4, 5, 6, 8, 10])):
+            words[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_of(rows)
+    assert 50 < len({c for _, c in want.values()}) < 350
+    made, between = [], near_dedup._between
+    near_dedup._between = lambda *a: made.append(between(*a)) or made[-1]
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.group(df).collect()}
+    finally:
+        near_dedup._between = between
+    assert got == want and made[0].count() < 4_000
+
+
 def test_near_chains(spark):
     """Chains of links, in which the first and the last text aren't linked, in one component."""
     base = [f"w{i}" for i in range(200)]
@@ -73,6 +126,8 @@ def test_near_chains(spark):
 def test_keep_one_and_empty(docs, empty):
     got = near_dedup.keep_one(docs)
     assert got.columns == docs.columns and got.where("text = 'One'").count() == 0
+    clashing = docs.selectExpr("*", "7 as `kept_`", "8 as name", "9 as none", "10 as __kept", "11 as `a.b`")
+    assert near_dedup.keep_one(clashing).select(docs.columns).exceptAll(got).count() == 0
     assert near_dedup.group(empty).count() == 0 and exact_dedup.mark_copies(empty).count() == 0 and substring_dedup.remove_repeats(empty).count() == 0
 
 

@@ -1,26 +1,29 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's set holds its distinct shingles of five words (words are runs of anything but ASCII white
-space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 48 symbols of 32 bits,
+space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 48 symbols of b = 32 bits,
 each the minimum of the set under another hash, so that two documents differ in a symbol with
 probability 1 - similarity. Pairs of signatures with at most 22 differing symbols are candidates; at a
 similarity of 0.75 that is exceeded with probability 4.98e-4.
 
-The signature is split into 48 chunks, one symbol each. By pigeonhole, two signatures with at most 22
-errors agree in at least one of any 23 chunks that are chosen alike for both; with so many chunks the allowed
-errors of a chosen one are none, so its symbol is the key. Chosen are the 23 that are rarest in one
-order of all symbols of the corpus: what many documents share, such as a common passage, then makes no
-bucket unless it makes up most of a document, and all pairs under the threshold are still found.
+The signature is split into 12 chunks of 4 symbols. By pigeonhole, two signatures with at most 22 errors
+have at most ``22 // 12`` = 1 error in some chunk. The allowed errors of a chunk are enumerated: each of its 4
+symbols is left out once, and the other 3 are a key. So every pair under the threshold shares one of 48 keys.
 
-No bucket's pairs are ever all emitted:
+No bucket's pairs are all emitted:
 
 1. Documents with the same words form one class, of which only one member goes on.
-2. Each member of a bucket is compared with the bucket's smallest one only; verified links give components.
-3. In buckets that still hold several components, members of different ones are paired, once for each
-   pair, if their signatures are near, so that no link between components is lost.
-
-Every link is confirmed on the full sets, and components come from label propagation with pointer
-jumping over DataFrames; no links or labels are collected.
+2. Each member of a bucket is compared with the bucket's representative only, the member that shares most keys
+   with others; verified links give components.
+3. In buckets that still hold several components, members of different ones are held against each other, once for
+   each pair, by an exact bound that needs no text: each class has a bitmap of its shingles, and two sets differ
+   in at least as many shingles as their bitmaps in bits. Only pairs that the bound leaves and that are near in signature
+   come out. A pair that is no link comes out only if its similarity is close to the limit, so a family of
+   texts about one passage doesn't emit its pairs, and no link between components is lost.
+
+Every link is confirmed on the full sets. Those are made once for each class that shares a key; pairs are
+joined to them on either side, which adaptive execution splits where a representative has many pairs.
+Components come from label propagation with pointer jumping over DataFrames; no links or labels are collected.
 
 Defined results: null and empty texts and texts without words have an empty set and no links; shorter
 texts have their whole sequence of words as their only shingle; rows with a null id have no links and
@@ -39,15 +42,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import WordHash, checkpoint, window_hashes, word_array
+from wayrisk.llm._shared import WordHash, checkpoint, fresh, window_hashes, word_array
 
 WORDS = 5
 PERCENT = 75
-SYMBOLS = 48
-#: Equal symbols that a pair must have to be verified, and symbols of each that are keys.
-NEAR = 26
-KEYS = SYMBOLS - NEAR + 1
+SYMBOLS, CHUNK = 48, 4
+#: Symbols in which two signatures may differ, and errors that some chunk then has at most.
+APART = 22
+ERRORS = APART // (SYMBOLS // CHUNK)
+#: 64-bit words of a class's bitmap.
+MAP_WORDS = 32
 _MEMO = WordHash()
+#: Shingles that are hashed at once.
+_PART = 32_768
 _rng = np.random.default_rng(20240131)
 _A = _rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -58,74 +65,98 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the set of ``text``."""
-    w = word_array(words_of(text), _MEMO)
-    return np.unique(window_hashes(w, min(words, len(w)))) if len(w) else np.zeros(0, np.uint64)
+def _set_of(words: list[bytes]) -> np.ndarray:
+    return np.unique(window_hashes(word_array(words, _MEMO), min(WORDS, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    out = np.empty(SYMBOLS, np.uint32)
-    for k in range(SYMBOLS):
-        out[k] = (hashes * _A[k] + _B[k]).min() >> np.uint64(32)
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the set of ``text``."""
+    return _set_of(words_of(text))
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of symbols for each of ``sets``, none of them empty."""
+    out = np.empty((len(sets), SYMBOLS), np.uint32)
+    first = 0
+    while first < len(sets):
+        end, size = first + 1, len(sets[first])
+        while end < len(sets) and size + len(sets[end]) <= _PART:
+            size += len(sets[end])
+            end += 1
+        h = np.concatenate(sets[first:end])
+        starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[first : end - 1]], dtype=np.int64)))
+        for k in range(SYMBOLS):
+            out[first:end, k] = np.minimum.reduceat(h * _A[k] + _B[k], starts) >> np.uint64(32)
+        first = end
     return out
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each place modulo its size that some hash falls on."""
+    bits = np.zeros(64 * MAP_WORDS, np.uint8)
+    bits[hashes % np.uint64(64 * MAP_WORDS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        n, digest, sig = [], [], []
+        n, digest, sets = [], [], []
         for t in b.column(1).to_pylist():
             w = words_of(t)
-            if not w:
-                n.append(0), digest.append(None), sig.append(None)
-                continue
-            h = word_array(w, _MEMO)
-            h = np.unique(window_hashes(h, min(WORDS, len(h))))
-            n.append(len(h))
-            digest.append(xxhash.xxh3_128_digest(b" ".join(w)))
-            sig.append(signature(h).view(np.int32).tolist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n", "digest", "sig"])
-
-
-def _rarest(members: DataFrame) -> DataFrame:
-    """(id, key): of the ``KEYS`` symbols of each member that come first by rarity, those that others have too."""
-    symbols = F.array(*(F.xxhash64(F.lit(k), F.col("sig")[k]) for k in range(SYMBOLS)))
-    each = members.select("id", F.explode(symbols).alias("key"))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = each.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
-    # a member's own symbols are its rarest: they take their places among the first
-    first = F.slice("s", 1, F.greatest(F.lit(0), KEYS - (SYMBOLS - F.size("s"))))
-    return shared.select("id", F.explode(F.transform(first, lambda x: x["key"])).alias("key"))
+            sets.append(_set_of(w))
+            n.append(len(sets[-1]))
+            digest.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
+        some = [s for s in sets if len(s)]
+        symbols = iter(signatures(some).view(np.int32).tolist())
+        sig = [next(symbols) if len(s) else None for s in sets]
+        bits = [bitmap(s).tolist() if len(s) else None for s in sets]
+        arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "sig", "bits"])
+
+
+def _keys(sig: Column) -> Column:
+    """The keys of a signature: of each chunk, what is left when one symbol after the other is an error."""
+    chunks = [range(c, c + CHUNK) for c in range(0, SYMBOLS, CHUNK)]
+    return F.array(*(F.xxhash64(F.lit(k), *(sig[i] for i in c if i != k)) for c in chunks for k in c))
+
+
+def _agreed_key(a: Column, b: Column) -> Column:
+    """The first place among the keys of two signatures that they share."""
+    chunk = lambda j: F.sequence(j - j % CHUNK, j - j % CHUNK + (CHUNK - 1))
+    same = lambda j: F.forall(chunk(j), lambda i: (i == j) | (F.get(a, i) == F.get(b, i)))
+    return F.array_min(F.filter(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), same))
 
 
 def _alike(a: str, b: str) -> Column:
-    """Near in signature, and sizes that allow the similarity."""
-    equal = sum((F.col(a + "sig")[k] == F.col(b + "sig")[k]).cast("int") for k in range(SYMBOLS))
+    """Sets that may be similar, by size and bitmap, and signatures within ``APART``.
+
+    Two sets are similar if they differ in at most (100 - P) / (100 + P) of their sizes' sum, and differ at least as their bitmaps do.
+    """
+    differ = lambda words: sum((F.bit_count(F.col(a + "bits")[i].bitwiseXOR(F.col(b + "bits")[i])) for i in words), F.lit(0))
+    most = (F.col(a + "n") + F.col(b + "n")) * (100 - PERCENT)
     sizes = F.least(a + "n", b + "n") * 100 >= F.greatest(a + "n", b + "n") * PERCENT
-    return sizes & (equal >= NEAR)
+    half = differ(range(0, MAP_WORDS, 2)) * (100 + PERCENT) <= most
+    whole = differ(range(MAP_WORDS)) * (100 + PERCENT) <= most
+    errors = F.size(F.filter(F.zip_with(a + "sig", b + "sig", lambda x, y: x != y), lambda e: e))
+    return sizes & half & whole & (errors <= APART)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (a, b, text of a, text of b), the pairs whose full sets are similar."""
-    last_text, last = None, None
+    """Of (a, b, set of a, set of b), the pairs that are similar."""
     for batch in batches:
-        a, b = [], []
-        for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if s != last_text:
-                last_text, last = s, shingles(s)
-            other = shingles(t)
-            both = len(np.intersect1d(last, other, assume_unique=True))
-            if both and 100 * both >= PERCENT * (len(last) + len(other) - both):
-                a.append(x), b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type), pa.array(b, batch.column(1).type)], names=["a", "b"])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        keep = []
+        for s, t in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b), each confirmed on the full sets."""
     kind = pairs.schema["a"].dataType.simpleString()
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_linked, f"a {kind}, b {kind}").distinct()
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_linked, f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -145,50 +176,70 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _open_buckets(members: DataFrame) -> DataFrame:
-    """Members (key, id, label) of the keys that hold several labels."""
-    labels = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return members.join(labels.where("lo <> hi").select("key"), "key")
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """(key, at, id): the keys that several classes have; ``at`` is the key's place."""
+    each = classes.select("id", F.posexplode(_keys(F.col("sig"))).alias("at", "key"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    return checkpoint(each.join(often.select("key"), "key").select("key", "at", "id"))
+
+
+def _stars(keyed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's representative and each other member."""
+    typical = keyed.groupBy("id").agg(F.count(F.lit(1)).alias("keys"))
+    heads = keyed.join(typical, "id").groupBy("key").agg(F.min(F.struct(-F.col("keys"), "id")).alias("head"))
+    star = keyed.join(heads, "key").select(F.col("head.id").alias("h"), "id").where("h <> id")
+    return star.select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")).distinct()
+
+
+def _between(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are alike, of different components in a bucket, each once; ``named`` has id, label, n, sig, bits."""
+    members = keyed.join(named.select("id", "label"), "id")
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    full = checkpoint(members.drop("label").join(mixed, "key").join(named, "id"))
+    side = lambda p: full.select("key", "at", *(F.col(c).alias(p + c) for c in ("id", "label", "n", "sig", "bits")))
+    pairs = side("a").join(side("b").drop("at"), "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b"))
+    first = pairs.where(_agreed_key(F.col("asig"), F.col("bsig")) == F.col("at"))
+    return checkpoint(first.select(F.col("aid").alias("a"), F.col("bid").alias("b")))
 
 
 def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    signed = checkpoint(source.mapInArrow(_signed, f"doc_id {kind}, n bigint, digest binary, sig array<int>"))
-    texts = source.where("doc_id is not null")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    signed = checkpoint(source.mapInArrow(_signed, f"doc_id {kind}, n bigint, digest binary, sig array<int>, bits array<bigint>"))
 
     members = signed.where("digest is not null and doc_id is not null")
     ids = members.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = members.join(ids, (members.digest == ids.digest) & (members.doc_id == ids.id)).select("id", "n", "sig").dropDuplicates(["id"])
-    classes = checkpoint(classes)
-
-    # Every member of a bucket against its smallest.
-    keyed = checkpoint(_rarest(classes))
-    stars = keyed.groupBy("key").agg(F.min("id").alias("a"))
-    star = keyed.join(stars, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    of = lambda p: classes.select(F.col("id").alias(p), F.col("n").alias(p + "n"), F.col("sig").alias(p + "sig"))
-    star = checkpoint(star.join(of("a"), "a").join(of("b"), "b").where(_alike("a", "b")).select("a", "b"))
-    links = checkpoint(_verified(star, texts))
+    classes = checkpoint(members.withColumnRenamed("doc_id", "id").join(ids, ["digest", "id"], "left_semi").dropDuplicates(["id"]))
+    keyed = _shared_keys(classes)
+    classes = checkpoint(classes.join(keyed.select("id").distinct(), "id", "left_semi"))
+
+    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t) for t in b.column(1).to_pylist()]
+            arrays = [b.column(0), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([_set_of(w).tobytes() for w in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "set"])
+
+    sets = source.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(full_sets, f"id {kind}, digest binary, set binary")
+    sets = checkpoint(sets.join(classes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "set"))
+
+    # Every member of a bucket against its representative.
+    of = lambda p: classes.select(F.col("id").alias(p), *(F.col(c).alias(p + c) for c in ("n", "sig", "bits")))
+    star = _stars(keyed).join(of("a"), "a").join(of("b"), "b").where(_alike("a", "b")).select("a", "b")
+    links = checkpoint(_verified(star, sets))
     labels = components(links)
 
-    # Buckets that still hold several components: each pair once, at the first key that both have.
-    named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    opened = _open_buckets(keyed.join(named.select("id", "label"), "id"))
-    own = opened.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys")).join(named, "id")
-    full = checkpoint(own.select("*", F.explode("keys").alias("key")))
-    side = lambda p: full.select("key", *(F.col(c).alias(p + c) for c in ("id", "label", "n", "sig", "keys")))
-    first = F.element_at(F.array_intersect("akeys", "bkeys"), 1) == F.col("key")
-    cross = side("a").join(side("b"), "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b") & first)
-    cross = cross.select(F.col("aid").alias("a"), F.col("bid").alias("b")).join(star, ["a", "b"], "left_anti")
-    cross = checkpoint(cross)
-    if cross.limit(1).count():
-        more = checkpoint(_verified(cross, texts))
-        labels = components(links.union(more))
+    # Buckets that still hold several components.
+    named = classes.drop("digest").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    between = _between(keyed, checkpoint(named))
+    if not between.isEmpty():
+        more = checkpoint(_verified(between, sets))
+        if not more.isEmpty():
+            labels = components(links.union(more))
 
     by_digest = ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     # Two texts of one id belong to that id's smallest component.
-    out = signed.drop("sig").join(by_digest, "digest", "left")
+    out = signed.drop("sig", "bits").join(by_digest, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
         "doc_id",
@@ -203,11 +254,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Rows without an id are named by their text here, after all ids, so that they have links and one of a group stays.
     """
-    own = F.col(f"`{doc_id}`")
-    if docs.where(own.isNull()).isEmpty():
-        kept = group(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-        return docs.join(kept, own == F.col("__kept"), "left_semi")
-    name = F.struct(own.isNull().alias("none"), own.alias("id"), F.when(own.isNull(), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)).alias("sha"))
-    named = docs.select(name.alias("__name"), F.col(f"`{text}`").alias("__text"))
-    kept = group(named, "__text", "__name").where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, name == F.col("__kept"), "left_semi")
+    own, mine = F.col(f"`{doc_id}`"), fresh(docs, "kept")
+    name = own
+    if not docs.where(own.isNull()).isEmpty():
+        name = F.struct(own.isNull().alias("none"), own.alias("id"), F.when(own.isNull(), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)).alias("sha"))
+    kept = group(docs.select(name.alias("name"), F.col(f"`{text}`").alias("text")), "text", "name").where("kept").select(F.col("doc_id").alias(mine)).distinct()
+    return docs.join(kept, name == F.col(mine), "left_semi")
