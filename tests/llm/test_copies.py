@@ -126,8 +126,14 @@ def test_near_chains(spark):
 def test_keep_one_and_empty(docs, empty):
     got = near_dedup.keep_one(docs)
     assert got.columns == docs.columns and got.where("text = 'One'").count() == 0
-    clashing = docs.selectExpr("*", "7 as `kept_`", "8 as name", "9 as none", "10 as __kept", "11 as `a.b`")
-    assert near_dedup.keep_one(clashing).select(docs.columns).exceptAll(got).count() == 0
+    for names in (["__keep", "__size", "__digest", "__kept"], ["keep", "size", "digest_", "rank", "kept_", "a.b"]):
+        odd = docs.selectExpr("*", *(f"{k} as `{x}`" for k, x in enumerate(names)))
+        for f in (exact_dedup.drop_copies, near_dedup.keep_one):
+            mine = f(odd)
+            assert mine.columns == odd.columns
+            rows = mine.select("doc_id", "text", *(f"`{x}`" for x in names)).collect()
+            assert sorted((r[:2] for r in rows), key=str) == sorted(map(tuple, f(docs).select("doc_id", "text").collect()), key=str)
+            assert {tuple(r[2:]) for r in rows} == {tuple(range(len(names)))}
     assert near_dedup.group(empty).count() == 0 and exact_dedup.mark_copies(empty).count() == 0 and substring_dedup.remove_repeats(empty).count() == 0
 
 

@@ -5,7 +5,8 @@ partitions) names at most ``1 / SUPPORT`` digests that may be frequent. An exact
 those digests, reduced map-side to one row each, verifies them and finds their winners. The verified
 winners, at most ``1 / SUPPORT`` rows whatever the input's size, are broadcast and settle their copies
 map-side, without a shuffle. All other digests go through an ordinary shuffle: a map-side combined
-aggregate for the winners, joined back on the digest (which adaptive execution can split).
+aggregate for the winners, joined back on the digest (which adaptive execution can split). Digests are computed once,
+into a checkpointed table of ids and digests that all of this reads instead of the texts.
 
 Defined results: a null text counts as the empty text, and empty texts equal each other. Of a group
 the row with the largest ``doc_id`` stays; null ids lose to any other. ``mark_copies`` names rows by id:
@@ -16,44 +17,42 @@ their names, pass through ``drop_copies`` untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import checkpoint
+from wayrisk.llm._shared import checkpoint, fresh
 
 #: The summary finds each digest that has over this share of all rows, and names at most 1 / SUPPORT.
 SUPPORT = 1 / 1000
 
 
-def _digested(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
 
 
-def _winners(digested: DataFrame, doc_id: str, support: float) -> tuple[DataFrame, DataFrame]:
-    """(heavy, light): digest, keep_id, group_size of the frequent and of all other digests."""
-    slim = digested.select("__digest", F.col(doc_id).alias("__id"))
-    count = [F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size")]
-    slim = slim.withColumn("__key", F.xxhash64("__digest"))  # eight bytes for each of the summary's counters
-    frequent = slim.freqItems(["__key"], support).select(F.explode("__key_freqItems").alias("__key"))
+def _winners(slim: DataFrame, support: float) -> tuple[DataFrame, DataFrame]:
+    """(heavy, light): digest, keep, size of the frequent and of all other digests of ``slim`` (digest, id)."""
+    count = [F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")]
+    slim = slim.withColumn("key", F.xxhash64("digest"))  # eight bytes for each of the summary's counters
+    frequent = slim.freqItems(["key"], support).select(F.explode("key_freqItems").alias("key"))
     frequent = F.broadcast(checkpoint(frequent))  # fixed once: the summary depends on the order in which parts arrive
-    heavy = slim.join(frequent, "__key", "left_semi").groupBy("__digest").agg(*count)
-    light = slim.join(frequent, "__key", "left_anti").groupBy("__digest").agg(*count)
-    return heavy, light
+    heavy = slim.join(frequent, "key", "left_semi").groupBy("digest").agg(*count)
+    light = slim.join(frequent, "key", "left_anti").groupBy("digest").agg(*count)
+    return F.broadcast(checkpoint(heavy)), light  # 1 / support rows at most
 
 
 def mark_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", support: float = SUPPORT) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    digested = _digested(docs.select(doc_id, text), text).drop(text)
-    heavy, light = _winners(digested, doc_id, support)
-    heavy = F.broadcast(checkpoint(heavy))  # 1 / support rows at most
-    settled = digested.join(heavy, "__digest")
-    rest = digested.join(heavy, "__digest", "left_anti").join(light.hint("merge"), "__digest")
+    slim = checkpoint(docs.select(F.col(f"`{doc_id}`").alias("id"), _digest(text).alias("digest")))
+    heavy, light = _winners(slim, support)
+    settled = slim.join(heavy, "digest")
+    rest = slim.join(heavy, "digest", "left_anti").join(light.hint("merge"), "digest")
     return settled.unionByName(rest).select(
-        F.col(doc_id).alias("doc_id"),
-        F.col("__keep").alias("keep_id"),
-        F.col("__size").cast("long").alias("group_size"),
-        F.coalesce(F.col(doc_id) == F.col("__keep"), F.lit(False)).alias("kept"),
-        F.lower(F.hex("__digest")).alias("text_sha256"),
+        F.col("id").alias("doc_id"),
+        F.col("keep").alias("keep_id"),
+        F.col("size").cast("long").alias("group_size"),
+        F.coalesce(F.col("id") == F.col("keep"), F.lit(False)).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
@@ -63,13 +62,17 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sup
     It is the one with the largest id, null ids last; among rows of that id the hash of the whole row
     decides (without columns that hold maps, which have no hash), and of equal rows any one stays.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    digested = _digested(docs.withColumn("__rank", F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*hashed).alias("row"))), text)
-    heavy, light = _winners(digested, "__rank", support)
-    heavy = F.broadcast(checkpoint(heavy))
-    mine = F.col("__rank") == F.col("__keep")
-    once = lambda rows: rows.where(mine).dropDuplicates(["__digest"]).select(*columns)
-    settled = digested.join(heavy, "__digest")
-    rest = digested.join(heavy, "__digest", "left_anti").join(light.drop("__size").hint("merge"), "__digest")
+    rank = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(*hashed).alias("row"))
+    slim = checkpoint(docs.select(rank.alias("id"), _digest(text).alias("digest")))
+    heavy, light = _winners(slim, support)
+    mine, digest, keep = (fresh(docs, x) for x in ("rank", "digest", "keep"))
+    named = lambda winners: winners.select(F.col("digest").alias(digest), F.col("keep").alias(keep))
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col(mine) == F.col(keep)).dropDuplicates([digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    ranked = docs.withColumns({mine: rank, digest: _digest(text)})
+    settled = ranked.join(F.broadcast(named(heavy)), digest)
+    rest = ranked.join(F.broadcast(named(heavy)), digest, "left_anti").join(named(light).hint("merge"), digest)
     return once(settled).unionByName(once(rest))
