@@ -1,5 +1,6 @@
 """Classifiers, url and license filters, decontamination and the pipeline."""
 
+import math
 import random
 import zlib
 
@@ -134,12 +135,46 @@ def test_templates_deep(spark):
 
 def test_licenses(spark, docs, empty):
     rows = [(1, "x " * 40 + "Licensed under the Apache License, Version 2.0." + " y" * 40), (2, "LICENSED under CC BY-NC 4.0"), (3, "a license without more words here"), (4, None), (5, ""), (6, "released under the MIT license. Released under the MIT License.")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as w", "3 as c")
+    rows += rows[:1] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as w", "3 as c", "4 as row", "5 as h")
     got = {(r.doc_id, r.license) for r in license_scan.scan(df).collect()}
     assert got == {(1, "Apache-2.0"), (2, "CC-BY-NC-4.0"), (6, "MIT")}
     assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).count() == 0
 
 
+def test_licenses_by_place(spark):
+    """One license for each place: versions, and texts that contain others, don't give the others too; in a very long text as well."""
+    of = dict(license_scan.TEMPLATES)
+    filler = "some words that say nothing at all of any terms "
+    long = filler * 6000
+    edited = of["BSD-3-Clause-text"].replace("retain", "keep")
+    texts = {
+        1: of["GPL-3.0"], 2: of["GPL-2.0"], 3: of["GPL-3.0"] + " " + filler * 9 + of["GPL-2.0"], 4: of["BSD-3-Clause-text"], 5: of["BSD-2-Clause-text"], 6: edited, 7: long + of["GPL-3.0"] + " " + long + of["MIT-text"],
+        8: of["MIT-text"].upper(), 9: of["ISC-text"], 10: of["GPL-3.0"].replace("work", "stuff"), 11: of["GPL-3.0"] + " " + of["GPL-2.0"], 12: of["GPL-3.0"] + " " + of["MIT-text"] + " " + of["CC0-1.0"],
+    }
+    df = spark.createDataFrame(list(texts.items()) + [(1, of["GPL-3.0"]), (None, of["GPL-2.0"])], "doc_id long, text string")
+    got: dict = {}
+    for r in license_scan.scan(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {
+        1: {"GPL-3.0"}, 2: {"GPL-2.0"}, 3: {"GPL-3.0", "GPL-2.0"}, 4: {"BSD-3-Clause-text"}, 5: {"BSD-2-Clause-text"}, 6: {"BSD-3-Clause-text"}, 7: {"GPL-3.0", "MIT-text"}, 8: {"MIT-text"}, 9: {"ISC-text"}, 10: {"GPL-3.0"},
+        11: {"GPL-3.0", "GPL-2.0"}, 12: {"GPL-3.0", "MIT-text", "CC0-1.0"}, None: {"GPL-2.0"},
+    }
+    con = duckdb.connect()
+    con.register("documents", df.where("doc_id is not null").toPandas())
+    want = {tuple(r) for r in con.sql(license_scan.oracle()).fetchall()}
+    assert {tuple(r) for r in license_scan.scan(df.where("doc_id is not null")).select("doc_id", "license", "containment", "first_word").collect()} == want
+
+
+def test_anchors():
+    """Every choice of three quarters of a template's shingles has an anchor."""
+    for _, t in license_scan.TEMPLATES:
+        s = license_scan.shingles_of(t)
+        for c in {license_scan.size_class(len(s))}:
+            hits = license_scan.anchors([license_scan.shingles_of(u) for _, u in license_scan.TEMPLATES if license_scan.size_class(len(license_scan.shingles_of(u))) == c])
+            assert sum(not set(x.split()) & set(hits) for x in s) < 0.75 * len(s)
+
+
 def test_wand():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(60)]
