@@ -211,6 +211,51 @@ def test_leaks(spark, docs, empty):
     assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(50)}
 
 
+def test_leaks_brute_force(spark, monkeypatch):
+    """Documents with whole, edited and partial items, one very long: the same rows as scoring every passage against every item, from one block or many."""
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "lmnr"]
+    item = lambda: " ".join(rng.choices(words, k=rng.randint(6, 14))) + "? " + " ".join(rng.choices(words, k=rng.randint(4, 8))) + "."
+    items = [(i, item()) for i in range(80)] + [(90, ""), (91, None), (92, "one")]
+    rows = []
+    for d in range(60):
+        t = items[rng.randrange(80)][1].split()
+        if d % 3 == 1:
+            t = t[: len(t) * 5 // 6]
+        if d % 3 == 2:
+            t[rng.randrange(len(t))] = "other"
+        noise = lambda: rng.choices(words, k=rng.randint(0, 150))
+        rows.append((d, " ".join([*noise(), *t, *noise()])))
+    rows += [(70, " ".join([*rng.choices(words, k=20_000), items[5][1]])), (71, None), (72, ""), rows[0]]
+    known = [(i, t, decontaminate.words_of(t)) for i, t in items if t]
+    n, mean = len(known), sum(len(w) for *_, w in known) / len(known)
+    stride = max(decontaminate.STRIDE, max(len(w) for *_, w in known))
+    idf = lambda t: math.log(1 + (n - (f := sum(t in w for *_, w in known)) + 0.5) / (f + 0.5))
+    shares = {}
+    for i, _, w in known:
+        raw = {t: idf(t) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
+        shares[i] = {t: x / sum(raw.values()) for t, x in raw.items()}
+    want = []
+    for d, t in rows:
+        text, best = decontaminate.words_of(t), {}
+        for start in range(0, len(text), stride):
+            passage = set(text[start : start + 2 * stride])
+            for i, whole, w in known:
+                score = sum(x for t, x in shares[i].items() if t in passage)
+                if score >= 0.6 - 1e-9:
+                    region = text[max(0, start - len(w)) : start + 2 * stride + len(w)]
+                    q, a = (decontaminate.overlap(p, region) for p in decontaminate.question_answer(whole))
+                    if min(q, a) >= 0.75 and (i not in best or (q + a, round(score, 9)) > best[i][:2]):
+                        best[i] = (q + a, round(score, 9))
+        want += [(d, i, *x) for i, x in best.items()]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = lambda: sorted((r.doc_id, r.item_id, r.question_overlap + r.answer_overlap, round(r.score, 9)) for r in decontaminate.find_leaks(docs, bench).collect())
+    one = got()
+    assert one == sorted(want) and 20 < len(one) < 80
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1_500)
+    assert got() == one
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against the queries that decide it, on the whole of a small table."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

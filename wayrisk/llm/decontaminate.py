@@ -10,8 +10,9 @@ could add, reach it for some block are queried at all; nothing that could score
 A retrieved item is verified by the overlap of its question and of its answer: the share of each one's
 five-word shingles near the passage.
 
-The index is built on the driver and broadcast, for at most ``INDEX_BYTES`` of item texts at a time;
-a larger set is taken in blocks of items, each against all documents.
+The index is broadcast, for at most ``INDEX_BYTES`` of item texts at a time; a larger set is taken in blocks of
+items, each against all documents. What scores depend on (the number of items, document frequencies, mean length and the
+length of a passage) is counted over all items once and given to each block, so blocks change no result.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased; an item's answer is its
 last sentence, or the last third of its words if it has but one; null or empty items and texts match
@@ -34,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayrisk.llm._shared import checkpoint
+
 #: Least BM25 score of a passage, as a share of the item's score against itself.
 THRESHOLD = 0.6
 #: Least share of the question's and of the answer's shingles.
@@ -73,21 +76,33 @@ def overlap(part: list[str], region: list[str]) -> float:
     return len(mine & there) / len(mine) if mine else 0.0
 
 
+class Corpus:
+    """What BM25 needs of all items: their number, total and largest length, and the items that hold each term."""
+
+    def __init__(self, n: int, words: int, longest: int, df: dict[str, int]) -> None:
+        self.n, self.words, self.longest, self.df = n, words, longest, df
+
+    @classmethod
+    def of(cls, items: list[tuple[int, str]]) -> Corpus:
+        each = [w for _, t in items if (w := words_of(t))]
+        return cls(len(each), sum(map(len, each)), max(map(len, each), default=0), Counter(t for w in each for t in set(w)))
+
+
 class Index:
-    """An inverted index of items [(item_id, text)] with block maxima."""
+    """An inverted index of items [(item_id, text)] of ``corpus`` (by default these items alone) with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD) -> None:
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, corpus: Corpus | None = None) -> None:
         self.threshold = threshold
+        corpus = corpus or Corpus.of(items)
         kept = [(i, t, w) for i, t in items if (w := words_of(t))]
         self.ids = [i for i, _, _ in kept]
         self.texts = [t for _, t, _ in kept]
         self.words = [w for _, _, w in kept]
-        n = len(kept)
-        self.stride = max([STRIDE, *map(len, self.words)])
-        self.n_blocks = -(-n // BLOCK)
-        df = Counter(t for w in self.words for t in set(w))
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        mean = sum(map(len, self.words)) / n if n else 1.0
+        n, df = corpus.n, corpus.df
+        self.stride = max(STRIDE, corpus.longest)
+        self.n_blocks = -(-len(kept) // BLOCK)
+        self.term = {t: k for k, t in enumerate(sorted({t for w in self.words for t in w}))}
+        mean = corpus.words / n if n else 1.0
         postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
         for item, w in enumerate(self.words):
             raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w).items()}
@@ -103,7 +118,7 @@ class Index:
             for d, x in p:
                 most[d // BLOCK] = max(most.get(d // BLOCK, 0.0), x)
             self.block_max.append(most)
-        self._split(n)
+        self._split(len(kept))
 
     def _split(self, n: int) -> None:
         """Common terms, as many of the most frequent as leave each item short of the threshold; the rest's block maxima in flat arrays."""
@@ -200,15 +215,29 @@ class Index:
 
 
 def _indexes(docs: DataFrame, items: DataFrame, item_id: str, text: str) -> list[tuple[str, object]]:
-    """(name, broadcast items) of each block of items; each is bounded in bytes."""
+    """(name, broadcast items and their corpus) of each block of items; each is bounded in bytes."""
     some = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).alias("i"), F.col(text).alias("t"))
     size = some.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-2 * size // INDEX_BYTES)) if size > INDEX_BYTES else 1
+    share = docs.sparkSession.sparkContext.broadcast
+    if size <= INDEX_BYTES:
+        rows = sorted((r.i, r.t) for r in some.collect())
+        return [(uuid.uuid4().hex, share((rows, Corpus.of(rows))))] if rows else []
+    n = -(-2 * size // INDEX_BYTES)
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(words_of)
+
+    some = checkpoint(some.select("i", "t", split("t").alias("w"), F.pmod(F.xxhash64("i", "t"), F.lit(n)).alias("block")))
+    total = some.where(F.size("w") > 0).agg(F.count(F.lit(1)), F.sum(F.size("w")), F.max(F.size("w"))).first()
+    each = some.select("block", F.explode(F.array_distinct("w")).alias("term"))
+    df = checkpoint(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     out = []
     for k in range(n):
-        rows = sorted((r.i, r.t) for r in some.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect())
+        rows = sorted((r.i, r.t) for r in some.where(F.col("block") == k).select("i", "t").collect())
         if rows:
-            out.append((uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(rows)))
+            mine = each.where(F.col("block") == k).select("term").distinct().join(df, "term").collect()
+            out.append((uuid.uuid4().hex, share((rows, Corpus(*(x or 0 for x in total), {r.term: r.df for r in mine})))))
     return out
 
 
@@ -216,7 +245,8 @@ def _ready(name: str, shared) -> Index:
     if name not in _READY:
         if len(_READY) > 1:
             _READY.clear()
-        _READY[name] = Index(shared.value)
+        rows, corpus = shared.value
+        _READY[name] = Index(rows, corpus=corpus)
     return _READY[name]
 
 
