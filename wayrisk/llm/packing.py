@@ -47,6 +47,8 @@ _READY: dict[str, WordIds] = {}
 
 #: Characters whose normal form, lower case and kind the fast path knows: printable ASCII and Latin letters.
 _KNOWN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0152\u0153]+")
+#: Other characters whose lower case is among them.
+_LOWER_TO_KNOWN = ('\u0178', '\u1e9e', '\u212a', '\u212b')
 _LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff\u0153"
 #: The tokenizer's own pre-tokens, over those characters.
 _PRETOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
@@ -75,11 +77,28 @@ class Pretokens(dict):
         return out
 
 
+class PlainIds(dict):
+    """The ids of each word (bytes, lower-cased) of known characters; None for any other word."""
+
+    def __init__(self, pretokens: Pretokens) -> None:
+        super().__init__()
+        self.pretokens = pretokens
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        if len(self) >= 2 * MEMO:
+            self.clear()
+        text = word.decode()
+        plain = _KNOWN.fullmatch(text) and "<|" not in text
+        out = self[word] = b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(text))) if plain else None
+        return out
+
+
 class WordIds(dict):
     """The ids of each word between ASCII blanks, as little-endian unsigned 32-bit integers.
 
     Exact only for a tokenizer that never joins across white space, lower-cases and splits words as ``_PRETOKEN`` does;
-    ``check`` makes sure of it. Words of other characters, or with a special token, go through the whole tokenizer.
+    ``check`` makes sure of it. A text is lower-cased and split as a whole; where it has words of other
+    characters or with a special token, it is split as it is, and those words go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,11 +107,12 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.pretokens = Pretokens(self.tokenizer.model)
+        self.plain = PlainIds(self.pretokens)
         self.check()
 
     def check(self) -> None:
         known = "".join(map(chr, (*range(33, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100), 0x152, 0x153)))
-        for text in ("a b", " a\tb\n", "x's  'S <|endoftext|> y\r\n!? .", "é ́a", known, " ".join(known), "Don't we'LL 12ab!!?? œuvre's ÀÉß&&&"):
+        for text in ("a b", " a\tb\n", "x's  'S <|endoftext|> y\r\n!? .", "é ́a", known, " ".join(known), "Don't we'LL 12ab!!?? œuvre's ÀÉß&&&", *_LOWER_TO_KNOWN):
             if self.ids(text) != self.whole(text):
                 raise ValueError("this tokenizer joins or marks white space, or splits words otherwise: its words can't be encoded apart")
 
@@ -101,7 +121,7 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= 2 * MEMO:
+        if len(self) >= MEMO:
             self.clear()
         if _KNOWN.fullmatch(word) and "<|" not in word:
             out = b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(word.lower())))
@@ -111,6 +131,11 @@ class WordIds(dict):
         return out
 
     def ids(self, text: str) -> bytes:
+        if "\x0b" not in text and "\x0c" not in text:  # blanks for split(), but not for the tokenizer
+            try:
+                return b"".join(map(self.plain.__getitem__, text.lower().encode().split()))
+            except TypeError:  # some word isn't plain
+                pass
         return b"".join(map(self.__getitem__, filter(None, _BLANK.split(text))))
 
 
