@@ -109,6 +109,32 @@ def test_templates_reject(spark):
     assert {got[i] for i in range(60)} == {"block"} and {got[100 + i] for i in range(60)} == {"allow"}
 
 
+def test_templates_inherit(spark):
+    """Without labels of its own a template is blocked where its host's labels and its shape elsewhere both say so, and only then."""
+    rows = [f"http://a.net/{p}/{k}" for p in ("fr", "en", "de") for k in range(30)] + [f"http://b.example.com/{p}/{k}" for p in ("en", "de") for k in range(30)] + [f"http://c.org/en/{k}" for k in range(30)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), queries.URL_RULES).collect()
+    told = {(r.host, r.path.split("/")[1]): (r.rule, r.verdict) for r in got}
+    assert told == {
+        ("a.net", "fr"): ("net/fr/", "block"), ("a.net", "en"): (None, "block"), ("a.net", "de"): (None, "allow"),
+        ("b.example.com", "en"): ("example.com/en/", "block"), ("b.example.com", "de"): ("com/", "allow"), ("c.org", "en"): (None, "allow"),
+    }
+
+
+def test_templates_sql(spark):
+    """Paths of many depths and shapes: the SQL has the same templates and purities."""
+    rng = random.Random(2)
+    words = ["en", "es", "fr", "de", "x", "y"]
+    paths = ["/".join(rng.choice([*words, f"p{rng.randrange(99)}", "".join(rng.choices("abcdefgh", k=6))]) for _ in range(rng.randint(0, 6))) for _ in range(1500)]
+    urls = [f"http://{rng.choice(['a.net', 'b.net', 'c.example.com', 'www.example.com', 'd.org'])}/{p}" for p in paths] + [None, "none"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    mine = url_filter.judge(df, queries.URL_RULES).toPandas()
+    want = con.sql(queries.ORACLES["op5_url_filter"]).df()[list(mine.columns)]
+    key = lambda df: sorted(map(tuple, df.astype(object).where(df.notna(), None).values.tolist()), key=str)
+    assert key(mine) == key(want) and len({r for r in mine.template}) > 50
+
+
 def test_templates_many_branches(spark):
     """How many different children a node has changes no verdict, and unlabelled pages don't share the labelled ones' template."""
     kinds = [f"{a}{b}" for a in "abcde" for b in "ghijkl"]
