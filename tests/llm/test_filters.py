@@ -58,12 +58,32 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
-def test_language_ties(spark):
-    """Words with one count that the limit cuts are from all of the alphabet."""
-    rows = [(i, " ".join(f"{chr(0x4E00 + 50 * i + k)}{chr(0x4E00 + k)}" for k in range(50)), "zh") for i in range(100)]
-    texts = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=600)
-    first = [ord(w[0]) for w in texts["zh"].split()]
-    assert len(first) == 600 and sum(c > 0x4E00 + 2500 for c in first) > 150
+def test_language_sample(spark):
+    """The labelled text is bounded, and drawn by hash from all documents."""
+    rows = [(i, f"{chr(0x4E00 + i)} 漢字 " * 50, "zh") for i in range(2000)] + [(5000, "x", "en"), (None, "y", "fr")]
+    texts = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100, excerpt=40, most=3000)
+    seen = {ord(c) - 0x4E00 for c in texts["zh"]} & set(range(2000))
+    assert len(texts["zh"]) <= 3002 and 40 < len(seen) < 200 and max(seen) > 1500 and min(seen) < 500 and texts["en"] == " x " and set(texts) == {"zh", "en"}
+
+
+def test_language_ties():
+    """Of languages with the same phrases the first by name wins."""
+    parser = language_id.Parser({"xx": " abc ", "aa": " abc ", "mm": " abc "})
+    assert parser.languages(["abc abc", "12", None, "", "ß"]) == [("aa", 1 / 3), ("und", 0.0), ("und", 0.0), ("und", 0.0), ("aa", 1 / 3)]
+    assert language_id.Parser({}).languages(["abc"]) == [("und", 0.0)] and parser.languages([]) == []
+
+
+def test_parser(monkeypatch):
+    """Documents that take steps together, those that finish alone, and those without a table: phrases as by the automaton, across words."""
+    rng = random.Random(3)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    texts = {"a": draw("abc é", 300), "b": draw("bcd ", 500), "c": "x"}
+    docs = [draw("abcdé xyz🙂", rng.choice([0, 1, 5, 60, 400])) for _ in range(150)] + [draw("abcd ", 30_000), "", "a"]
+    whole = [[language_id.phrases(language_id.automaton(texts[k]), d) for k in "abc"] for d in docs]
+    parser = language_id.Parser(texts)
+    assert parser.phrases_of(docs).tolist() == whole and parser.phrases_of(docs[:7]).tolist() == whole[:7]
+    monkeypatch.setattr(language_id, "TABLE", 10)
+    assert language_id.Parser(texts).table is None and language_id.Parser(texts).phrases_of(docs[:20]).tolist() == whole[:20]
 
 
 def test_automaton():

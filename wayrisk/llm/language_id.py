@@ -1,19 +1,20 @@
 """Language identification by cross-parsing entropy over suffix automata.
 
-Labelled text of each language becomes a suffix automaton. A word, with a space on either side, is
-cut from the left into the longest phrases that occur in a language's text (a character that
-does not occur is a phrase of its own). Phrases times the logarithm of the labelled text's length
-estimate the cross entropy; the language whose text needs least for the whole document wins.
-Each word's counts are remembered, so a document costs a lookup per word.
+Labelled running text of each language becomes a suffix automaton. A document, lower-cased and with each run
+of white space as one blank, is one string, cut from the left into the longest phrases that occur in a
+language's text, across words (a character that does not occur is a phrase of its own). Phrases times the
+logarithm of the labelled text's length estimate the cross entropy; the language whose text needs least wins.
 
-Labelled text: of each language, the ``WORDS`` most frequent words among at most about ``SAMPLE``
-documents, chosen by the hash of their ids; of words with one count those go first whose hash is smaller,
-so that the limit cuts no part of an alphabet.
+All languages' automata are one table of next states and phrase ends, so that many documents take a step at a
+time as arrays; the few longest finish one by one. Where alphabets are so large that the table would have over
+``TABLE`` cells, all documents are parsed one by one.
+
+Labelled text: of each language, at most ``EXCERPT`` characters of each of at most about ``SAMPLE`` documents, chosen by the
+hash of their ids, up to ``LENGTH`` characters in all. Documents are parsed whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without labelled
-rows every text is ``und``; ties go to the language that comes first by name; texts are parsed
-whole; repeated rows repeat their result; an empty table gives an empty result; columns other than
-those named are not read.
+rows every text is ``und``; ties go to the language that comes first by name; repeated rows repeat their result;
+an empty table gives an empty result; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -22,18 +23,23 @@ import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import MEMO
 from wayrisk.llm.quality import held_out
 
-#: Labelled documents of a language, about, and distinct words of it, at most.
-SAMPLE, WORDS = 400, 6_000
-_READY: dict[str, Phrases] = {}
-#: Bits for each language's count in a sum over a document.
-_BITS = 48
+#: Labelled documents of a language, about; characters of each, and of all together, at most.
+SAMPLE, EXCERPT, LENGTH = 200, 160, 24_000
+#: Cells of the table of steps, at most, and documents that take steps together, at least.
+TABLE, TOGETHER = 40_000_000, 40
+_READY: dict[str, Parser] = {}
+
+
+def plain(text: str) -> str:
+    """Lower-cased, with each run of white space as one blank."""
+    return " ".join(text.lower().split())
 
 
 def automaton(text: str) -> list[dict[str, int]]:
@@ -63,10 +69,10 @@ def automaton(text: str) -> list[dict[str, int]]:
     return steps
 
 
-def phrases(steps: list[dict[str, int]], word: str) -> int:
-    """Longest-match phrases that ``word`` is cut into."""
+def phrases(steps: list[dict[str, int]], text: str) -> int:
+    """Longest-match phrases that ``text`` is cut into."""
     n, state = 0, 0
-    for c in word:
+    for c in text:
         to = steps[state].get(c)
         if to is None:
             if state:
@@ -79,52 +85,115 @@ def phrases(steps: list[dict[str, int]], word: str) -> int:
     return n + (state > 0)
 
 
-class Phrases(dict):
-    """The phrase counts of a word for all languages, packed into one integer that adds up over words."""
+class Parser:
+    """The automata of labelled texts, and the phrases that they cut documents into."""
 
     def __init__(self, texts: dict[str, str]) -> None:
-        super().__init__()
         self.langs = sorted(texts)
         self.steps = [automaton(texts[x]) for x in self.langs]
-        self.cost = [math.log2(max(2, len(texts[x]))) for x in self.langs]
+        self.cost = np.array([math.log2(max(2, len(texts[x]))) for x in self.langs])
+        alphabet = sorted(set("".join(texts.values())))
+        self.width = len(alphabet) + 1
+        self.code = np.zeros(0x110000, np.uint16)
+        self.table = None
+        if texts and self.width * sum(map(len, self.steps)) <= TABLE and self.width < 1 << 16:
+            self.code[[ord(c) for c in alphabet]] = np.arange(1, self.width)
+            self._tabulate({c: k for k, c in enumerate(alphabet, 1)})
+
+    def _tabulate(self, code: dict[str, int]) -> None:
+        """table[state + character's code] = next state << 2 | phrases that end before it; states are rows' starts, language after language."""
+        self.start, parts, base = [], [], 0
+        for steps in self.steps:
+            root = np.zeros(self.width, np.int64)
+            for c, to in steps[0].items():
+                root[code[c]] = to
+            # without a step, a phrase ends and the root goes on; without one there, the character is a phrase
+            to = np.tile(root, (len(steps), 1))
+            ends = np.tile(1 + (root == 0), (len(steps), 1))
+            ends[0] = root == 0
+            for s, own in enumerate(steps):
+                at = [code[c] for c in own]
+                to[s, at], ends[s, at] = list(own.values()), 0
+            parts.append(((base + to * self.width) << 2 | ends).astype(np.int32).ravel())
+            self.start.append(base)
+            base += to.size
+        self.table = np.concatenate(parts)
+        self.start = np.array(self.start, np.int32)
+
+    def _whole(self, codes: np.ndarray, state: list[int], n: list[int]) -> list[int]:
+        """The phrases of the rest of a document after those so far."""
+        table, out, codes = memoryview(self.table), [], codes.tolist()
+        for s, k, first in zip(state, n, self.start.tolist(), strict=True):
+            for c in codes:
+                v = table[s + c]
+                k += v & 3
+                s = v >> 2
+            out.append(k + (s != first))
+        return out
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        padded = f" {word} "
-        out = self[word] = sum(phrases(s, padded) << (_BITS * i) for i, s in enumerate(self.steps))
+    def phrases_of(self, texts: list[str]) -> np.ndarray:
+        """A row of phrase counts, one for each language, for each of ``texts``."""
+        if self.table is None:
+            return np.array([[phrases(s, t) for s in self.steps] for t in texts], np.int64).reshape(len(texts), len(self.langs))
+        codes = [self.code[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for t in texts]
+        length = np.array([len(c) for c in codes], np.int64)
+        order = np.argsort(-length, kind="stable")
+        flat = np.concatenate([codes[i] for i in order]) if len(codes) else np.zeros(0, np.uint16)
+        length = length[order]
+        at = np.cumsum(length) - length
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        state = np.tile(self.start, (len(texts), 1))
+        # so many documents still have a character at a place
+        for place, live in enumerate(_longer(length)):
+            v = self.table[state[:live] + flat[at[:live] + place][:, None]]
+            out[:live] += v & 3
+            np.right_shift(v, 2, out=state[:live])
+        out += state != self.start
+        done = len(_longer(length))
+        for k in np.flatnonzero(length > done):
+            out[k] = self._whole(flat[at[k] + done : at[k] + length[k]], state[k].tolist(), (out[k] - (state[k] != self.start)).tolist())
+        back = np.empty_like(out)
+        back[order] = out
+        return back
+
+    def languages(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        known = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
+        out = [("und", 0.0)] * len(texts)
+        bits = self.phrases_of([plain(texts[i]) for i in known]) * self.cost if known else np.zeros((0, 0))
+        for i, b in zip(known, bits.tolist(), strict=True):
+            least = min(b)
+            # a code that is n bits shorter is 2**n times as likely
+            out[i] = self.langs[b.index(least)], 1 / sum(2.0 ** max(-1000.0, least - x) for x in b)
         return out
 
-    def language(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        packed = sum(map(self.__getitem__, text.lower().split()))
-        bits = [((packed >> (_BITS * i)) & ((1 << _BITS) - 1)) * c for i, c in enumerate(self.cost)]
-        least = min(bits)
-        # a code that is n bits shorter is 2**n times as likely
-        return self.langs[bits.index(least)], 1 / sum(2.0 ** max(-1000.0, least - b) for b in bits)
+
+def _longer(length: np.ndarray) -> np.ndarray:
+    """How many of the falling lengths are over 0, 1, 2 ..., while at least ``TOGETHER`` are."""
+    if len(length) < TOGETHER:
+        return np.zeros(0, np.int64)
+    return np.searchsorted(-length, -np.arange(length[TOGETHER - 1]), side="left")
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
-    """Labelled text of each language that ``docs`` names outside the held-out rows."""
+def learn(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, most: int = LENGTH, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, str]:
+    """Labelled running text of each language that ``docs`` names outside the held-out rows."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~F.coalesce(held_out(F.col(doc_id)), F.lit(True)))
     known = known.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return {}
     resolution = 1 << 40
+    place = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(resolution))
     chosen = F.lit(False)
     for name, n in counts.items():
-        share = min(1.0, sample / n)
-        chosen |= (F.col("lang") == name) & (F.pmod(F.xxhash64("id", F.lit("language")), F.lit(resolution)) < int(share * resolution))
-    seen = known.where(chosen).select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''")
-    seen = seen.groupBy("lang", "w").count()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("w"), "w"))
-    top = seen.withColumn("r", rank).where(F.col("r") <= words).select("lang", "w").collect()
-    texts: dict[str, list[str]] = {name: [] for name in counts}
-    for name, w in sorted(map(tuple, top)):
-        texts[name].append(w)
-    return {name: f" {' '.join(ws)} " for name, ws in texts.items()}
+        chosen |= (F.col("lang") == name) & (place < int(min(1.0, sample / n) * resolution))
+    # rows that repeat an id and a text say nothing new; the excerpts of each language are few, so they meet in the driver
+    rows = known.where(chosen).select("lang", place.alias("place"), F.substring("text", 1, excerpt).alias("text")).distinct()
+    first = rows.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set(F.struct("place", "text"))), 1, 4 * sample).alias("rows")).collect()
+    texts = {name: " " for name in counts}
+    for r in first:
+        texts[r.lang] = plain(" ".join(x.text for x in r.rows))[:most]
+        texts[r.lang] = f" {texts[r.lang]} "
+    return texts
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
@@ -135,10 +204,10 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _READY:
             _READY.clear()
-            _READY[name] = Phrases(shared.value)
+            _READY[name] = Parser(shared.value)
         known = _READY[name]
         for b in batches:
-            got = [known.language(t) for t in b.column(2).to_pylist()]
+            got = known.languages(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
