@@ -152,6 +152,16 @@ def test_repeats(docs, rows):
     assert collections.Counter(map(tuple, substring_dedup.remove_repeats(docs).collect())) == want
 
 
+def test_batches_spread():
+    """The first batches of many tasks go to many groups."""
+    groups = set()
+    for partition in range(300):
+        batch = substring_dedup._Batch(100, True)
+        batch.add(1, np.arange(3, dtype=np.uint64), None, np.arange(3, dtype=np.uint64))
+        groups |= {g for g, _, kind, _ in batch.flush(partition << 24) if kind == 1}
+    assert len(groups) > 80 and min(groups) >= 100
+
+
 def test_repeats_over_batches(spark, docs, rows, monkeypatch):
     """One partition a document, so that repeats meet only across batches."""
     whole = {tuple(r) for r in substring_dedup.remove_repeats(docs).collect()}

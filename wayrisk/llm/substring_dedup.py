@@ -10,9 +10,9 @@ block elsewhere is an anchor, and any repeated passage has one in each of its oc
    hash at most, however common a passage. Entries (hash, document in the batch, whether it is a
    block) are packed into one binary per batch and hash range, and one task per range finds the
    hashes that meet a block elsewhere. Ranges are as many as the input's size asks for.
-2. Documents with anchors are read again. Anchors extend to the 35-word windows around them, whose
-   two further hashes (96 bits with the range's) are matched the same way: those that occur twice are
-   exact repeats, and runs of them are the maximal repeated passages.
+2. Documents with anchors are read again. Anchors extend to the 35-word windows around them, which
+   are matched the same way by two hashes: all 64 bits of one, and of the other the range that it falls on (six bits
+   or more, as many as there are ranges). Those that occur twice are repeats, and runs of them are the maximal repeated passages.
 3. Each document drops the words that its repeated windows cover.
 
 Documents meet their anchors and repeats by a shuffle on a row hash; the shuffled texts are used twice.
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import WordHash, partitions, text_bytes, window_hashes, word_array
+from wayrisk.llm._shared import WordHash, mixed, partitions, text_bytes, window_hashes, word_array
 
 WINDOW = 35
 BLOCK = 18
@@ -110,7 +110,8 @@ class _Batch:
             block = np.concatenate(self.blocks)[order].astype(np.uint16)
             entry |= np.where(np.maximum.reduceat(block, at) > 0, _IS_BLOCK, np.uint16(0)) if len(at) else entry
         entry |= np.where(count > 1, _REPEATS, np.uint16(0))
-        own = self.ranges + uid % 64
+        # what a batch keeps for itself goes to a group apart, as many groups as ranges, spread by hash
+        own = self.ranges + int(mixed(np.array([uid], np.uint64))[0] % np.uint64(max(64, self.ranges)))
         yield own, uid, 1, np.array(self.rows, np.int64).tobytes()
         again = np.repeat(count > 1, count)
         if again.any():
