@@ -2,93 +2,99 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions.geo import haversine_km
 from wayrisk.functions.python_text import headline_similarity
 from wayrisk.functions.text import token_cosine
+from wayrisk.operators.cut import cut
 from wayrisk.operators.joins import _cells
 
 KM, HOURS, ALIKE, WEAK = 100.0, 24, 0.45, 0.25
 _DAY = 86_400_000_000
+#: Tasks that reports without place or time are dealt to, where they must meet all others.
+SALTS = 64
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs (a before b by ``ord``) of reports within 100 km and 24 hours, by an equi-join on cells and days.
+    """Pairs (a before b by ``ord``) of reports within 100 km and 24 hours: a, b, their texts' hashes, and whether their labels agree.
 
-    What a report lacks, coordinates or a time, can't part it from others: such reports meet all others of their days, of their cells,
-    or of the batch. Reports of an ingestion cycle have both.
+    Reports meet by equality of what they have: cell and day, the day alone where a report has no coordinates, the cell alone
+    where it has no time. What a report lacks can't part it from others, so one with neither meets all others, and
+    one without coordinates all without a time; those few are dealt over ``SALTS``. Reports of an ingestion cycle have both.
     """
-    side = docs.select("ord", "raw_text", "label", "lat", "lon", F.unix_micros("published_at").alias("t"))
-    side = side.withColumn("cell", (F.floor("lat") * 360 + F.pmod(F.floor("lon"), F.lit(360))).cast("int")).withColumn("day", F.floor(F.col("t") / _DAY).cast("int"))
-    a = side.select(*(F.col(c).alias("a_" + c) for c in side.columns))
-    b = side.select(*(F.col(c).alias("b_" + c) for c in side.columns))
-    days = F.array(F.col("a_day") - 1, F.col("a_day"), F.col("a_day") + 1)
-    full = lambda df, p: df.where(f"{p}lat is not null and {p}lon is not null and {p}t is not null")
-    own = full(a, "a_").withColumn("cell", F.explode(_cells(F.col("a_lat"), F.col("a_lon"), KM))).withColumn("day", F.explode(days))
-    pairs = own.join(full(b, "b_"), (F.col("cell") == F.col("b_cell")) & (F.col("day") == F.col("b_day")) & (F.col("a_ord") < F.col("b_ord"))).drop("cell", "day")
-    some = a.where("a_lat is null or a_lon is null or a_t is null")
-    other = b.where("b_lat is null or b_lon is null or b_t is null")
-    near = (F.col("a_cell").isNull() | F.col("b_cell").isNull()) | (haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= KM)
-    soon = (F.col("a_t").isNull() | F.col("b_t").isNull()) | (F.abs(F.col("a_t") - F.col("b_t")) <= HOURS * 3_600_000_000)
-    with_some = some.join(b, (F.col("a_ord") < F.col("b_ord")) & near & soon)
-    with_other = full(a, "a_").join(other, (F.col("a_ord") < F.col("b_ord")) & near & soon)
-    return pairs.where(near & soon).unionByName(with_some).unionByName(with_other)
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    side = docs.select("ord", F.xxhash64(F.lower(F.trim("raw_text"))).alias("h"), F.when(~none("label"), F.col("label")).alias("label"), "lat", "lon", F.unix_micros("published_at").alias("t"))
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    side = side.withColumn("cell", F.when(placed, (F.floor("lat") * 360 + F.pmod(F.floor("lon"), F.lit(360))).cast("int"))).withColumn("day", F.floor(F.col("t") / _DAY).cast("int"))
+    side = side.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
+    left, right = (side.select(*(F.col(c).alias(p + c) for c in side.columns)) for p in ("l_", "r_"))
+    cells, days = F.explode(_cells(F.col("l_lat"), F.col("l_lon"), KM)).alias("cell"), F.explode(F.array(F.col("l_day") - 1, F.col("l_day"), F.col("l_day") + 1)).alias("day")
+
+    full = left.where("l_cell is not null and l_t is not null").select("*", cells).select("*", days).join(right, F.expr("cell = r_cell and day = r_day and l_ord < r_ord"))
+    no_place = left.where("l_cell is null and l_t is not null").select("*", days).join(right, F.expr("day = r_day and (r_cell is not null or l_ord < r_ord)"))
+    no_time = left.where("l_cell is not null and l_t is null").select("*", cells).join(right, F.expr("cell = r_cell and (r_t is not null or l_ord < r_ord)"))
+    dealt = left.where("l_cell is null").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    neither = dealt.where("l_t is null").join(right, F.expr("salt = r_salt and (r_cell is not null or r_t is not null or l_ord < r_ord)"))
+    crossed = dealt.where("l_t is not null").join(right.where("r_t is null and r_cell is not null"), F.expr("salt = r_salt"))
+
+    near = F.col("l_cell").isNull() | F.col("r_cell").isNull() | (haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= KM)
+    soon = F.col("l_t").isNull() | F.col("r_t").isNull() | (F.abs(F.col("l_t") - F.col("r_t")) <= HOURS * 3_600_000_000)
+    same = F.coalesce(F.col("l_label") == F.col("r_label"), F.lit(True))
+    first = F.col("l_ord") < F.col("r_ord")
+    pick = lambda c, x, y: F.when(first, F.col(x + c)).otherwise(F.col(y + c))
+    out = None
+    for part in (full, no_place, no_time, neither, crossed):
+        part = part.where(near & soon).select(pick("ord", "l_", "r_").alias("a"), pick("ord", "r_", "l_").alias("b"), pick("h", "l_", "r_").alias("ha"), pick("h", "r_", "l_").alias("hb"), same.alias("same"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """(a, b): the pairs that report one incident."""
-    c = candidates(docs)
-    sim = F.greatest(headline_similarity(F.col("a_raw_text"), F.col("b_raw_text")), token_cosine(F.col("a_raw_text"), F.col("b_raw_text")))
-    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    same = none("a_label") | none("b_label") | (F.col("a_label") == F.col("b_label"))
-    c = c.withColumn("sim", sim)
-    return c.where((F.col("sim") >= ALIKE) | (same & (F.col("sim") >= WEAK))).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reached, by rounds of the smallest label of a neighbour."""
-    both = edges.union(edges.select("b", "a")).toDF("a", "b").distinct().persist()
-    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")).persist()
-    while True:
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        new = label.join(near, F.col("a") == F.col("node")).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")).persist()
-        changed = new.where("old <> component").limit(1).count()
-        label = new.drop("old")
-        if not changed:
-            return label
-
-
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within one component: each report joins the first cluster whose first report it matches."""
-    linked = set(zip(pdf.a, pdf.b, strict=True))
-    heads: list[int] = []
-    rows = []
-    for n in sorted({*pdf.a, *pdf.b}):
-        head = next((h for h in heads if (h, n) in linked), None)
-        if head is None:
-            heads.append(n)
-        rows.append((n, n if head is None else head))
-    return pd.DataFrame(rows, columns=["ord", "cluster"])
+    """(a, b): the pairs that report one incident.
+
+    Each pair of different texts is scored once, however many reports have them; where the token cosine already
+    accepts, or lengths already reject, the sequence ratio isn't asked for.
+    """
+    pairs = cut(candidates(docs))
+    text = F.lower(F.trim("raw_text"))
+    texts = docs.select(F.xxhash64(text).alias("h"), "raw_text").groupBy("h").agg(F.min("raw_text").alias("text"))
+    of = lambda p: texts.select(F.col("h").alias("h" + p), F.col("text").alias("t" + p))
+    scored = pairs.select("ha", "hb").distinct().join(of("a"), "ha").join(of("b"), "hb").withColumn("cosine", token_cosine(F.col("ta"), F.col("tb")))
+    length = lambda c: F.least(F.length(F.trim(c)), F.lit(200))
+    most = 2 * F.least(length("ta"), length("tb")) / F.greatest(length("ta") + length("tb"), F.lit(1))
+    settled = (F.col("cosine") >= ALIKE) | (most < WEAK)
+    scored = scored.select("ha", "hb", "cosine", F.when(~settled, F.col("ta")).alias("ta"), F.when(~settled, F.col("tb")).alias("tb"))
+    scored = cut(scored.select("ha", "hb", "cosine", headline_similarity("ta", "tb").alias("ratio")))
+    scored = scored.select("ha", "hb", F.greatest("cosine", "ratio").alias("sim")).where(F.col("sim") >= WEAK)
+    return pairs.join(scored, ["ha", "hb"]).where((F.col("sim") >= ALIKE) | F.col("same")).select("a", "b")
 
 
 def clusters(docs: DataFrame) -> DataFrame:
     """``docs`` with ``cluster``, the ``ord`` of the first report of its incident.
 
-    Greedy over all reports equals greedy within connected components, since a report only matches reports of its own.
+    Taken in order, a report joins the first cluster whose head it is linked to, else it is a head. So it is a head
+    unless an earlier neighbour is one. Each round settles all reports at once whose earlier neighbours are settled: what
+    has none is a head, and its neighbours are members, which are no heads for others.
     """
-    edges = links(docs).persist()
-    of = components(edges).withColumnRenamed("node", "a")
-    found = edges.join(of, "a").groupBy("component").applyInPandas(lambda pdf: _greedy(pdf[["a", "b"]]), "ord long, cluster long")
-    return docs.join(found, "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
+    edges = cut(links(docs).distinct())
+    live, members = edges, docs.select(F.col("ord").alias("n")).limit(0)
+    while not live.isEmpty():
+        heads = live.select(F.col("a").alias("n")).distinct().join(live.select(F.col("b").alias("n")), "n", "left_anti")
+        new = cut(live.join(heads.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct())
+        members = cut(members.union(new))
+        gone = lambda c: new.withColumnRenamed("n", c)  # noqa: B023, E731
+        live = live.join(heads.withColumnRenamed("n", "a"), "a", "left_anti").join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti")
+        live = cut(live.select("a", "b"))
+    of = edges.join(members.withColumnRenamed("n", "a"), "a", "left_anti").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("cluster"))
+    return docs.join(of, "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
 
 
 def merge(clustered: DataFrame) -> DataFrame:
     """One row per cluster (A8, A9): the longest report with the cluster's publishers, urls, time, intensity and corroboration."""
     ordered = lambda value: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(value, F.lit("")) != "", F.struct("ord", value.alias("v"))))), lambda x: x["v"]))
-    longest = F.max_by(F.struct("raw_text", "lat", "lon", "label", "image_url", "source"), F.struct(F.length("raw_text"), -F.col("ord"))).alias("base")
+    longest = F.min_by(F.struct("raw_text", "lat", "lon", "label", "image_url", "source"), F.struct(-F.length("raw_text"), "ord")).alias("base")
     g = clustered.groupBy("cluster").agg(
         longest,
         F.count(F.lit(1)).alias("cluster_size"),

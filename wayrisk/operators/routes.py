@@ -27,13 +27,16 @@ def _arcs(legs: DataFrame, keys: list[str]) -> DataFrame:
     dot = F.cos(p1) * F.cos(l1) * F.cos(p2) * F.cos(l2) + F.cos(p1) * F.sin(l1) * F.cos(p2) * F.sin(l2) + F.sin(p1) * F.sin(p2)
     legs = legs.withColumn("o", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))))
     each = legs.select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("o") < 1e-10, 1).otherwise(F.col("n") - 1))).alias("i"))
-    o, t = F.col("o"), F.col("i") / (F.col("n") - 1)
-    each = each.withColumns({"wa": F.sin((1 - t) * o) / F.sin(o), "wb": F.sin(t * o) / F.sin(o)})
+    # ends that coincide have no arc to divide by; their two points are the ends themselves
+    o, apart = F.col("o"), F.col("o") >= 1e-10
+    t = F.when(F.col("n") > 1, F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).otherwise(0.0)
+    sine = F.when(apart, F.sin(o)).otherwise(1.0)
+    each = each.withColumns({"wa": F.sin((1 - t) * o) / sine, "wb": F.sin(t * o) / sine})
     xyz = lambda p, l: (F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p))  # noqa: E731, E741
     x, y, z = (F.col("wa") * u + F.col("wb") * v for u, v in zip(xyz(p1, l1), xyz(p2, l2), strict=True))
     end = lambda first, last: F.when(F.col("i") == 0, F.col(first)).otherwise(F.col(last))
-    lat = F.when(o < 1e-10, end("a", "c")).otherwise(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
-    lon = F.when(o < 1e-10, end("b", "d")).otherwise(F.degrees(F.atan2(y, x)))
+    lat = F.when(~apart, end("a", "c")).otherwise(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))))
+    lon = F.when(~apart, end("b", "d")).otherwise(F.degrees(F.atan2(y, x)))
     point = F.struct("leg", "i", lat.alias("lat"), lon.alias("lon"))
     joined = each.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("p"))
     return joined.select(*keys, F.transform("p", lambda q: F.struct(q["lat"].alias("lat"), q["lon"].alias("lon"))).alias("points"))
