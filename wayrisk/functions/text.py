@@ -129,14 +129,19 @@ def geo_tags(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda z: z.isNotNull()))
 
 
-def resolve(lat: Column, lon: Column, text: Column, place_lat: Column, place_lon: Column) -> Column:
-    """struct<lat, lon>: the feed's coordinates if valid, else the text's place, else the gazetteer's."""
+def located(lat: Column, lon: Column, tag: Column, place_lat: Column, place_lon: Column) -> Column:
+    """struct<lat, lon>: the feed's coordinates if valid, else those of the text's ``geo_tag``, else the gazetteer's."""
     feed = F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
-    tagged = _let(geo_tag(text), lambda t: F.when(t.isNotNull(), F.struct(t["lat"].alias("lat"), t["lon"].alias("lon"))))
+    tagged = F.when(tag.isNotNull(), F.struct(tag["lat"].alias("lat"), tag["lon"].alias("lon")))
     known = F.when(place_lat.isNotNull(), F.struct(place_lat.alias("lat"), place_lon.alias("lon")))
     return F.coalesce(feed, tagged, known)
 
 
+def resolve(lat: Column, lon: Column, text: Column, place_lat: Column, place_lon: Column) -> Column:
+    """struct<lat, lon>: the feed's coordinates if valid, else the text's place, else the gazetteer's."""
+    return _let(geo_tag(text), lambda tag: located(lat, lon, tag, place_lat, place_lon))
+
+
 def tokens(text: Column) -> Column:
     """Words of a headline that say something."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))

@@ -93,6 +93,16 @@ def timing_stats(timings: DataFrame, last: int = 100) -> DataFrame:
     return recent.groupBy("name").agg(F.count(F.lit(1)).alias("count"), F.round(F.avg("ms"), 1).alias("avg_ms"), F.round(F.max_by("ms", "seq"), 1).alias("last_ms"), F.round(F.max("ms"), 1).alias("max_ms"))
 
 
+def api_latency(log: DataFrame) -> DataFrame:
+    """(path, requests, errors, avg_ms, max_ms) of a log of requests (path, status, ms), and a row for all of them with a null path."""
+    return log.rollup("path").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), F.round(F.avg("ms"), 2).alias("avg_ms"), F.round(F.max("ms"), 2).alias("max_ms"))
+
+
+def latest_verified(events: DataFrame, limit: int = 5) -> DataFrame:
+    """The last events by time of ingestion that have a credibility score."""
+    return events.where("credibility_score is not null").orderBy(F.desc("ingested_at"), "event_id").limit(limit)
+
+
 def success_rate(log: DataFrame) -> DataFrame:
     """(source, success_rate) of a fetch log."""
     return log.groupBy("source").agg(F.coalesce(F.avg(F.when(F.col("outcome") == "ok", 1.0).otherwise(0.0)), F.lit(1.0)).alias("success_rate"))

@@ -94,7 +94,8 @@ def clusters(docs: DataFrame) -> DataFrame:
 def merge(clustered: DataFrame) -> DataFrame:
     """One row per cluster (A8, A9): the longest report with the cluster's publishers, urls, time, intensity and corroboration."""
     ordered = lambda value: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(value, F.lit("")) != "", F.struct("ord", value.alias("v"))))), lambda x: x["v"]))
-    longest = F.min_by(F.struct("raw_text", "lat", "lon", "label", "image_url", "source"), F.struct(-F.length("raw_text"), "ord")).alias("base")
+    base = [c for c in ("label_confidence",) if c in clustered.columns]
+    longest = F.min_by(F.struct(*base, "raw_text", "lat", "lon", "label", "image_url", "source"), F.struct(-F.length("raw_text"), "ord")).alias("base")
     g = clustered.groupBy("cluster").agg(
         longest,
         F.count(F.lit(1)).alias("cluster_size"),
@@ -112,7 +113,7 @@ def merge(clustered: DataFrame) -> DataFrame:
     image = F.coalesce(F.nullif("base.image_url", F.lit("")), F.get("images", F.lit(0)))
     g = g.withColumn("canonical_event_id", F.concat(F.lit("incident-"), F.substring(F.sha1(F.array_join(urls, "|")), 1, 16))).withColumn("corroboration_count", count)
     return g.select(
-        "cluster", "canonical_event_id", F.substring("base.raw_text", 1, 180).alias("representative_headline"), "base.raw_text", "base.lat", "base.lon", "base.label", "base.source",
+        "cluster", "canonical_event_id", F.substring("base.raw_text", 1, 180).alias("representative_headline"), "base.raw_text", "base.lat", "base.lon", "base.label", *(f"base.{c}" for c in base), "base.source",
         image.alias("image_url"), "publishers", "source_urls", "corroboration_count", "cluster_size", "latest_source_at",
         F.round(F.coalesce("intensity", F.lit(0.0)), 4).alias("intensity_score"), F.round(credibility, 4).alias("combined_credibility"),
         F.round(F.least(F.lit(1.0), F.col("corroboration_count") / 4 * F.greatest(credibility, F.lit(0.25))), 4).alias("corroboration_score"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from wayrisk.functions.risk import band, combined_risk, message
 from wayrisk.functions.text import clean_location, headline
 from wayrisk.operators import aggregates as agg
+from wayrisk.operators.cut import cut
 from wayrisk.operators.joins import ROUTE, events_near, route_zones
 from wayrisk.operators.routes import base_routes, points_of, routes
 from wayrisk.sources.dimensions import MODES, zones
@@ -18,7 +21,7 @@ from wayrisk.sources.sinks import without_source
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of an analysis."""
+    """Parameters of an analysis (S13), with the ranges they must be in."""
 
     radius_km: float = 50.0
     results: int = 200
@@ -34,6 +37,29 @@ class Settings:
         if self.results < 1:
             raise ValueError("results must be positive")
 
+    @classmethod
+    def from_env(cls, env: dict[str, str] | None = None, **rest) -> Settings:
+        """Settings that environment variables may change; what can't be read as a number is an error."""
+        env = dict(os.environ) if env is None else env
+        names = {"radius_km": "ROUTE_BUFFER_KM", "min_confidence": "MIN_LABEL_CONFIDENCE"}
+        return cls(**{k: float(env[v]) for k, v in names.items() if v in env} | rest)
+
+
+# What a store's address holds if nobody has filled it in.
+PLACEHOLDERS = ["<username>", "<password>", "<your-password>", "<cluster>", "username:password", "your-cluster-url", "your-database"]
+
+
+def store_path(path: str | None) -> str:
+    """A store's address (P10): not empty, without a placeholder, and of a scheme, if it has one, that is spelt as one."""
+    if not path or not path.strip():
+        raise ValueError("the store's path is empty")
+    found = next((p for p in PLACEHOLDERS if p in path.lower()), None)
+    if found:
+        raise ValueError(f"the store's path still has the placeholder {found!r}")
+    if "://" in path and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/]*/?", path):
+        raise ValueError("the store's path has no valid scheme")
+    return path
+
 
 def location(text: str) -> str:
     """A request's place name: white space collapsed, 2 to 160 characters."""
@@ -80,14 +106,23 @@ def place_names(events: DataFrame, keys: list[str] = ROUTE, most: int = 20) -> D
     return events.groupBy(*keys).agg(F.slice(F.array_distinct(F.flatten(F.transform(ordered, lambda x: x["location_names"]))), 1, most).alias("locations"))
 
 
-def multi_mode(requests: DataFrame, events: DataFrame, now: Column, modes: list[str] = MODES, settings: Settings | None = None) -> DataFrame:
-    """One row per route and mode (Q3, Q4; Q5 with one mode): risks, band, message, distance and counts."""
+def mode_events(near: DataFrame, limit: int = 5, keys: list[str] = ROUTE) -> DataFrame:
+    """keys, events: an array of the nearest events, as the older answers hold them (O3)."""
+    n = nearest_events(near, limit, keys)
+    event = F.struct("rank", headline(F.col("raw_text"), 120).alias("headline"), "lat", "lon", F.coalesce("distance_km", F.lit(0.0)).alias("distance_km"), F.col("intensity_score").alias("intensity"), "label")
+    return n.groupBy(*keys).agg(F.array_sort(F.collect_list(event)).alias("events"))
+
+
+def multi_mode(requests: DataFrame, events: DataFrame, now: Column, modes: list[str] = MODES, settings: Settings | None = None, payload: bool = False) -> DataFrame:
+    """One row per route and mode (Q3, Q4; Q5 with one mode): risks, band, message, distance and counts.
+
+    A mode without a route (an end that isn't known) has status UNKNOWN and no scores, so it is never recommended.
+    With ``payload``, also the nearest events.
+    """
     settings = settings or Settings()
-    r = routes(requests, modes).persist()  # each route is used four times (R9)
-    near = near_events(r, events, settings).persist()  # a few hundred events of each route
-    risk = agg.route_risk(agg.features(near, now))
-    known = agg.corroboration(near)
-    out = r.select(*ROUTE, F.col("km").alias("route_km")).join(risk, ROUTE, "left").join(known, ROUTE, "left")
+    r = cut(routes(requests, modes))  # a few dozen points of each route, used four times (R9)
+    near = cut(near_events(r, events, settings))  # a few hundred events of each route
+    out = r.select(*ROUTE, F.col("km").alias("route_km")).join(agg.route_risk(agg.features(near, now)), ROUTE, "left").join(agg.corroboration(near), ROUTE, "left")
     if settings.use_zones:
         out = out.join(agg.zone_totals(route_zones(points_of(r), zones(requests.sparkSession))), ROUTE, "left")
     else:
@@ -95,17 +130,24 @@ def multi_mode(requests: DataFrame, events: DataFrame, now: Column, modes: list[
     out = out.fillna({"event_risk": 0.0, "event_count": 0, "zone_risk": 0.0, "n_zones": 0, "n_sources": 0, "max_corroboration": 1, "dominant_label": "none", "event_band": "LOW"})
     both = combined_risk(F.col("event_risk"), F.col("zone_risk"), F.col("event_count"), F.col("n_sources"), F.col("max_corroboration"))
     out = out.withColumn("risk_score", both)
-    return out.select(
+    out = out.select(
         *ROUTE, "route_km", band(F.col("risk_score")).alias("status"), F.col("event_count").cast("long").alias("alerts"), "risk_score", F.round(1 - F.col("risk_score"), 4).alias("safety_score"),
         F.round("zone_risk", 4).alias("zone_risk"), F.round("event_risk", 4).alias("event_risk"), F.col("n_zones").cast("long").alias("n_zones"), "dominant_label",
         message(F.col("event_count"), F.col("risk_score"), F.col("mode")).alias("message"),
     )
+    if payload:
+        out = out.join(mode_events(near), ROUTE, "left")
+    asked = requests.select("route_id", F.explode(F.array(*map(F.lit, modes))).alias("mode"))
+    missing = F.col("status").isNull()
+    out = asked.join(out, ROUTE, "left")
+    told = {"message": F.when(missing, F.concat(F.initcap("mode"), F.lit(" route could not be computed"))).otherwise(F.col("message")), "alerts": F.coalesce("alerts", F.lit(0).cast("long")), "status": F.coalesce("status", F.lit("UNKNOWN"))}
+    return out.withColumns(told)
 
 
 def single_route(requests: DataFrame, events: DataFrame, now: Column, settings: Settings | None = None) -> DataFrame:
     """One row per route along the plain arc, without zones and with the seed (Q1, Q2)."""
     settings = settings or Settings(use_zones=False, drop_seed=False)
-    r = base_routes(requests).withColumn("mode", F.lit("direct")).persist()
+    r = cut(base_routes(requests).withColumn("mode", F.lit("direct")))
     risk = agg.route_risk(agg.features(near_events(r, events, settings), now))
     out = r.select("route_id", "mode", F.col("km").alias("route_km")).join(risk, ROUTE, "left")
     return out.fillna({"event_risk": 0.0, "event_count": 0, "dominant_label": "none", "event_band": "LOW"}).drop("mode")

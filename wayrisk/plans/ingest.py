@@ -2,44 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayrisk.functions import text as T
 from wayrisk.functions.python_text import normalize_places, places_udf, unique_places
 from wayrisk.functions.risk import contributions, intensity_features, rule_intensity, severe_hits
 from wayrisk.operators.clusters import cluster_incidents
+from wayrisk.operators.cut import cut
 from wayrisk.operators.joins import event_zones
+from wayrisk.plans import learned
 from wayrisk.plans.analysis import geocode
 from wayrisk.sources.dimensions import PLACES
 
 
-def annotate(events: DataFrame, text: str = "text", places: list[str] = PLACES) -> DataFrame:
-    """Label, confidence, scores, place names, intensity and its parts (L1, M9). Predicates come before the UDF columns."""
+def annotate(events: DataFrame, text: str = "text", places: list[str] = PLACES, model: PipelineModel | None = None) -> DataFrame:
+    """Label, confidence, scores, place names, intensity, its parts and method (L1, M9). Predicates come before the UDF columns.
+
+    With a learned model its probability is the intensity; else the weighted rules are.
+    """
     e = events.withColumn("c", T.classify(F.col(text))).withColumn("found", places_udf(places)(F.col(text)))
     e = e.withColumn("location_names", unique_places(F.transform("found", lambda x: x["text"])))
     f = intensity_features(F.col("c.label"), F.col("c.confidence"), F.size("found"), severe_hits(F.col(text)), F.length(text))
-    return e.select("*", F.col("c.label").alias("label"), F.col("c.confidence").alias("label_confidence"), F.col("c.scores").alias("label_scores"), F.round(rule_intensity(f), 4).alias("intensity_score"), contributions(f).alias("intensity_explanation")).drop("c", "found")
+    e = e.select("*", F.col("c.label").alias("label"), F.col("c.confidence").alias("label_confidence"), F.col("c.scores").alias("label_scores"), F.round(rule_intensity(f), 4).alias("intensity_score"), contributions(f).alias("intensity_explanation"), F.lit("rule_based").alias("intensity_method"))
+    if model is not None:
+        e = learned.predict(e.withColumns({k: v.cast("double") for k, v in f.items()}), model, "probability_high").drop(*f)
+        e = e.withColumns({"intensity_score": F.round("probability_high", 4), "intensity_method": F.lit("logistic")}).drop("probability_high")
+    return e.drop("c", "found")
+
 
+def enrich(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES, model: PipelineModel | None = None) -> DataFrame:
+    """Valid, verified, relevant, annotated, located and zoned events (L2; P1, F12, P2, L1, P3, R10, P6, J2).
 
-def enrich(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES) -> DataFrame:
-    """Valid, verified, relevant, annotated, located and zoned events (L2; P1, F12, P2, L1, P3, R10, P6, J2)."""
+    Annotated events are computed once: texts are classified and read for places only there.
+    """
     e = raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now) & T.relevant(F.col("text")))
-    e = e.withColumn("v", T.verify(F.col("source_url"), F.col("publisher")))
-    # used twice below, and by each step of the clustering: annotated once
-    e = annotate(e, "text", places).persist().where(T.still_relevant(F.col("label"), F.col("label_confidence")))
+    e = e.withColumns({"tagged": T.geo_tag(F.col("text")), "v": T.verify(F.col("source_url"), F.col("publisher"))})
+    e = cut(annotate(e, "text", places, model)).where(T.still_relevant(F.col("label"), F.col("label_confidence")))
     # the first of up to three normalised names that the gazetteer knows
-    names = e.select("event_id", F.posexplode(F.slice(normalize_places("location_names"), 1, 3)).alias("i", "name"))
+    names = e.where("tagged is null").select("event_id", F.posexplode(F.slice(normalize_places("location_names"), 1, 3)).alias("i", "name"))
     known = geocode(names, gazetteer).where("glat is not null").groupBy("event_id").agg(F.min_by(F.struct("glat", "glon"), "i").alias("g"))
-    e = e.join(known, "event_id", "left").withColumn("at", T.resolve(F.col("lat"), F.col("lon"), F.col("text"), F.col("g.glat"), F.col("g.glon")))
+    e = e.join(known, "event_id", "left").withColumn("at", T.located(F.col("lat"), F.col("lon"), F.col("tagged"), F.col("g.glat"), F.col("g.glon")))
     e = e.where(F.col("at").isNotNull()).withColumns({"lat": F.col("at.lat"), "lon": F.col("at.lon"), "credibility_score": F.col("v.credibility_score"), "credibility_tier": F.col("v.credibility_tier"), "domain": F.col("v.domain")})
-    return event_zones(e.drop("at", "g", "v"))
+    return event_zones(e.drop("at", "g", "v", "tagged"))
+
 
+def incidents(enriched: DataFrame, now: Column) -> DataFrame:
+    """Enriched events of one cycle as incidents that can be stored; by source and id, the first report heads an incident."""
+    e = cut(enriched.withColumn("ord", F.struct("source", "event_id")).withColumnRenamed("text", "raw_text"))
+    e = e.select("ord", "raw_text", "label", "label_confidence", "lat", "lon", "published_at", "publisher", "source_url", "image_url", "source", "intensity_score", "credibility_score")
+    out = event_zones(cluster_incidents(e))
+    return out.withColumns({"event_id": F.col("canonical_event_id"), "published_at": F.col("latest_source_at"), "ingested_at": now, "schema_version": F.lit("2")}).drop("cluster")
 
-def cycle(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES) -> DataFrame:
+
+def cycle(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES, model: PipelineModel | None = None) -> DataFrame:
     """Incidents of one cycle of raw events, ready to be stored."""
-    e = enrich(raw, now, gazetteer, places)
-    # a cycle is one fetch of bounded size; its order decides which report heads an incident
-    e = e.withColumn("ord", F.row_number().over(Window.orderBy("source", "event_id")).cast("long")).withColumnRenamed("text", "raw_text").persist()
-    out = event_zones(cluster_incidents(e.select("ord", "raw_text", "label", "lat", "lon", "published_at", "publisher", "source_url", "image_url", "source", "intensity_score", "credibility_score")))
-    return out.withColumns({"event_id": F.col("canonical_event_id"), "ingested_at": now, "schema_version": F.lit("2")}).drop("cluster")
+    return incidents(enrich(raw, now, gazetteer, places, model), now)
+
+
+def legacy_cycle(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES) -> DataFrame:
+    """The older cycle over one feed (K2): valid events are annotated and located, but neither filtered by relevance nor clustered."""
+    e = cut(annotate(raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now)).withColumn("tagged", T.geo_tag(F.col("text"))), "text", places))
+    names = e.where("tagged is null").select("event_id", F.posexplode(F.slice(normalize_places("location_names"), 1, 3)).alias("i", "name"))
+    known = geocode(names, gazetteer).where("glat is not null").groupBy("event_id").agg(F.min_by(F.struct("glat", "glon"), "i").alias("g"))
+    e = e.join(known, "event_id", "left").withColumn("at", T.located(F.col("lat"), F.col("lon"), F.col("tagged"), F.col("g.glat"), F.col("g.glon")))
+    e = e.where(F.col("at").isNotNull()).withColumns({"lat": F.col("at.lat"), "lon": F.col("at.lon"), "ingested_at": now, "schema_version": F.lit("2")})
+    return e.withColumnRenamed("text", "raw_text").drop("at", "g", "tagged")
+
+
+def cycle_stats(fetched: DataFrame, enriched: DataFrame, merged: DataFrame) -> DataFrame:
+    """(metric, n): how many events each step of a cycle passed on, and how many came from each source.
+
+    ``fetched`` and ``enriched`` have a source; ``merged`` has a row for each incident.
+    """
+    source = F.coalesce("source", F.lit("unknown"))
+    total = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
+    three = total(fetched, "fetched").union(total(enriched, "enriched")).union(total(merged, "written"))
+    one = three.agg(*(F.max(F.when(F.col("metric") == m, F.col("n"))).alias(m) for m in ("fetched", "enriched", "written")))
+    derived = F.map_from_arrays(
+        F.array(*map(F.lit, ("fetched", "enriched", "skipped", "written", "clustered_from", "clustered_to", "duplicates_merged"))),
+        F.array(F.col("fetched"), F.col("enriched"), F.col("fetched") - F.col("enriched"), F.col("written"), F.col("enriched"), F.col("written"), F.greatest(F.lit(0), F.col("enriched") - F.col("written"))),
+    )
+    by_source = fetched.groupBy(F.concat(F.lit("source_"), source).alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    return one.select(F.explode(derived).alias("metric", "n")).union(by_source)

@@ -8,11 +8,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayrisk.functions.risk import intensity_features
 from wayrisk.sources.dimensions import FEATURE_WEIGHTS
+from wayrisk.sources.sinks import exists
 
 NAMES = list(FEATURE_WEIGHTS)
 
@@ -50,6 +51,22 @@ def cross_validated(train: DataFrame, folds: int = 5) -> float:
     return cv.fit(balanced(train)).avgMetrics[0]
 
 
+def predict(featured_: DataFrame, model: PipelineModel, out: str = "probability") -> DataFrame:
+    """``featured_``, which has the features as columns, with the probability of high intensity; nothing else is added."""
+    scored = model.transform(featured_).withColumn("_p", vector_to_array("probability")[1])
+    return scored.select(*featured_.columns, F.col("_p").alias(out))
+
+
 def score(events: DataFrame, model: PipelineModel) -> DataFrame:
     """(event_id, probability) of high intensity."""
-    return model.transform(featured(events)).select("event_id", F.round(vector_to_array("probability")[1], 6).alias("probability"))
+    return predict(featured(events), model).select("event_id", F.round("probability", 6).alias("probability"))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Write the trained pipeline, over an older one (K7)."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str, spark: SparkSession) -> PipelineModel | None:
+    """The saved pipeline; None where there is none, so that the rules score instead (M9)."""
+    return PipelineModel.load(path) if exists(spark, path) else None

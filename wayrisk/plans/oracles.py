@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from wayrisk.plans import domain
 from wayrisk.sources import dimensions as D
-from wayrisk.sources.feeds import QUERIES as ROTATION
+
+
+# The queries that a news source is asked in turn, stated apart from the engine's.
+ROTATION = [
+    "conflict war military", "sanctions embargo trade war", "terrorism attack bombing", "protest civil unrest",
+    "natural disaster earthquake flood", "shipping maritime piracy", "airspace closure flight ban", "border dispute territorial",
+]
 
 
 def _text(value: str) -> str:
@@ -211,4 +217,29 @@ SELECT p.event_id, coalesce(round(dt.d / greatest(na.n * nb.n, 1e-9), 6), 0.0) A
     "route_legs": f"{_ROUTED} SELECT route_id, mode, idx, round(seg, 3) AS km FROM sg",
     "intensity_training_set": f"WITH {_EV}, t AS (SELECT event_id, ({_case(D.LABEL_SEVERITY, 'label', '0.3')})::DOUBLE AS label_severity, label_confidence AS classifier_confidence, 0.0::DOUBLE AS ner_density, 0.0::DOUBLE AS keyword_intensity, least(ln(length(raw_text) + 1.0::DOUBLE) / 10, 1.0) AS text_richness, intensity_score FROM ev WHERE label_confidence >= 0.7) SELECT event_id, round(label_severity, 6) AS label_severity, round(classifier_confidence, 6) AS classifier_confidence, ner_density, keyword_intensity, round(text_richness, 6) AS text_richness, round(label_severity * classifier_confidence, 6) AS composite, CAST(intensity_score >= 0.5 AS INTEGER) AS y FROM t",
     "seed_events": f"SELECT 'seed-' || i AS event_id, {domain.pick_sql(domain.TEXTS, 'i')} AS text, 'seed' AS source, {domain.pick_sql(domain.LABELS, '(i % 24)')} AS label FROM range(100) r(i)",
+    "json_response": f"{_multi(True, False)} SELECT route_id, '{{' || string_agg('\"' || mode || '\":{{\"status\":\"' || status || '\",\"alerts\":' || alerts || '}}', ',' ORDER BY mode) || '}}' AS response FROM multi GROUP BY route_id",
+    "entity_normalize": "SELECT event_id, (['United States', 'Ukraine', 'Cairo', '', '', 'U.S', '', 'Red Sea', '', 'Iran'])[CAST(event_id % 10 AS INTEGER) + 1] AS place FROM events",
+    "cycle_stats": f"""WITH {_EV}, ok AS (SELECT * FROM ev WHERE length(trim(raw_text)) >= 20 AND epoch_us({_NOW}) - epoch_us(published_at) <= 72 * 3600000000),
+c AS (SELECT (SELECT count(*) FROM ev) AS f, (SELECT count(*) FROM ok) AS e, (SELECT count(*) FROM (SELECT DISTINCT source, raw_text FROM ok)) AS w)
+SELECT unnest(['fetched', 'enriched', 'skipped', 'written', 'clustered_from', 'clustered_to', 'duplicates_merged']) AS metric, unnest([f, e, f - e, w, e, w, greatest(0, e - w)]) AS n FROM c
+UNION ALL SELECT 'source_' || source, count(*) FROM ev GROUP BY source""",
+    "latest_verified": f"WITH {_EV} SELECT event_id, round(0.3 + (ord % 5) / 10.0::DOUBLE, 4) AS credibility_score FROM ev WHERE ord % 3 > 0 ORDER BY published_at DESC, event_id LIMIT 5",
+    "api_latency": "SELECT event_type AS path, count(*) AS requests, count(*) FILTER (event_id % 17 = 0) AS errors, round(avg(round(value, 1)), 2) AS avg_ms, round(max(round(value, 1)), 2) AS max_ms FROM events GROUP BY ROLLUP (event_type)",
+    "mode_events": f"WITH {_GROUPS} SELECT * FROM (SELECT route_id, mode, CAST(row_number() OVER (PARTITION BY route_id, mode ORDER BY distance_km, ord) AS INTEGER) AS rank, trim(raw_text[:120]) || CASE WHEN length(raw_text) > 120 THEN '…' ELSE '' END AS headline, distance_km, round(intensity_score, 6) AS intensity, label FROM f) WHERE rank <= 5",
+    "route_locations": f"""WITH {_GROUPS}, l AS (SELECT route_id, mode, ord, 0 AS k, {domain.pick_sql(['Kyiv', 'Red Sea', 'Aden', 'Suez Canal', 'Gaza', 'Taiwan', 'Sahel'], 'ord')} AS name FROM f
+  UNION ALL SELECT route_id, mode, ord, 1, {domain.pick_sql(['Kyiv', 'Red Sea', 'Aden', 'Suez Canal', 'Gaza', 'Taiwan', 'Sahel'], '(ord // 5)')} FROM f),
+m AS (SELECT route_id, mode, name, min(ord * 2 + k) AS first FROM l GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY route_id, mode ORDER BY first) AS r FROM m)
+SELECT route_id, mode, string_agg(name, '; ' ORDER BY r) AS locations FROM n WHERE r <= 4 GROUP BY route_id, mode""",
+    "even_samples": f"""{_ROUTED}, c AS (SELECT *, count(*) OVER (PARTITION BY route_id, mode) AS n FROM pts),
+k AS (SELECT route_id, mode, n, unnest(range(0, 20)) AS i FROM (SELECT DISTINCT route_id, mode, n FROM c WHERE n > 20)),
+w AS (SELECT route_id, mode, i, CAST(round_even(i * ((n - 1) / 19.0::DOUBLE), 0) AS BIGINT) AS at FROM k)
+SELECT route_id, mode, idx, round(lat, 4) AS lat, round(lon, 4) AS lon FROM c WHERE n <= 20
+UNION ALL SELECT w.route_id, w.mode, w.i, round(c.lat, 4), round(c.lon, 4) FROM w JOIN c ON c.route_id = w.route_id AND c.mode = w.mode AND c.idx = w.at""",
+    "sea_lanes": f"""WITH p AS (SELECT CAST(n_nationkey AS BIGINT) AS route_id, unnest(range(0, 11 + n_nationkey)) AS j FROM nation),
+q AS (SELECT route_id, j, route_id * 2.0::DOUBLE - 20 + j * 0.75::DOUBLE AS lat, route_id * 11.0::DOUBLE - 120 + j * 0.5::DOUBLE AS lon, count(*) OVER (PARTITION BY route_id) AS n FROM p),
+g AS (SELECT *, lag(lat) OVER (PARTITION BY route_id ORDER BY j) AS a, lag(lon) OVER (PARTITION BY route_id ORDER BY j) AS b FROM q),
+t AS (SELECT route_id, round(sum({_hav('a', 'b', 'lat', 'lon')}), 1) AS km FROM g GROUP BY route_id),
+s AS (SELECT route_id, j AS idx, j AS at FROM q WHERE n <= 20 UNION ALL SELECT route_id, i, CAST(round_even(i * ((n - 1) / 19.0::DOUBLE), 0) AS BIGINT) FROM (SELECT DISTINCT route_id, n, unnest(range(0, 20)) AS i FROM (SELECT DISTINCT route_id, n FROM q WHERE n > 20)))
+SELECT s.route_id, t.km, s.idx, q.lat, q.lon FROM s JOIN q ON q.route_id = s.route_id AND q.j = s.at JOIN t ON t.route_id = s.route_id""",
+    "backoff_seconds": "SELECT event_id, round(greatest(0.5, least(2.0 * power(2.0, event_id % 9) * (1 + 0.5 * ((event_id % 21) / 10.0::DOUBLE - 1)), 300.0)), 6) AS seconds FROM events",
 }

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from wayrisk.functions import risk as R
 from wayrisk.functions import text as T
 from wayrisk.functions.geo import haversine_km, path_km
-from wayrisk.functions.python_text import headline_similarity, normal_place, normalize_place, places_udf, titled, unique_places
+from wayrisk.functions.python_text import headline_similarity, place_or_empty, places_udf, unique_places
 from wayrisk.operators import aggregates as agg
 from wayrisk.operators import clusters, state
 from wayrisk.operators.joins import ROUTE, events_near, event_zones, route_zones, zone_hits
-from wayrisk.operators.routes import nearest_hub, points_of, routes, sampled
+from wayrisk.operators.routes import evenly_sampled, lane_routes, nearest_hub, points_of, routes, sampled
 from wayrisk.plans import analysis, domain, ingest, learned
 from wayrisk.plans.domain import now
 from wayrisk.sources import dimensions as D
@@ -334,9 +334,8 @@ def intensity_model(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def regex_ner(s: SparkSession, d: str) -> DataFrame:
-    """Places named by texts; countries come from the nation table, joined as one small list."""
-    names = [r[0] for r in domain.table(s, d, "nation").select(F.initcap("n_name")).orderBy("n_nationkey").collect()]
-    found = domain.texts(s, d).select("doc_id", places_udf(D.PLACES + names)(F.col("text")).alias("f"))
+    """Places named by texts, each with its span."""
+    found = domain.texts(s, d).select("doc_id", places_udf()(F.col("text")).alias("f"))
     return found.select("doc_id", F.posexplode("f").alias("i", "p")).select("doc_id", F.col("i").cast("long").alias("i"), "p.text", "p.start", "p.end")
 
 
@@ -350,7 +349,7 @@ def unique_locations(s: SparkSession, d: str) -> DataFrame:
 def entity_normalize(s: SparkSession, d: str) -> DataFrame:
     names = ["US", "ukraine", "  Cairo  ", "NATO", "2026", "U.S.", "###", "red sea", "BREAKING", "Iran's"]
     e = domain.table(s, d, "events").select("event_id", domain.pick(names, F.col("event_id")).alias("raw"))
-    return e.select("event_id", normalize_place("raw").alias("place"))
+    return e.select("event_id", place_or_empty("raw").alias("place"))
 
 
 @query
@@ -367,10 +366,71 @@ def incident_clusters(s: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_incidents(e).select("canonical_event_id", "cluster", "cluster_size", "corroboration_count", "corroboration_score", "intensity_score", F.array_join("publishers", "; ").alias("publishers"))
 
 
+def _raw(s: SparkSession, d: str) -> DataFrame:
+    e = domain.events(s, d)
+    return e.select("event_id", F.col("raw_text").alias("text"), "source", "source_url", "publisher", "image_url", "published_at", F.when(F.col("ord") % 2 == 0, F.col("lat")).alias("lat"), F.when(F.col("ord") % 2 == 0, F.col("lon")).alias("lon"))
+
+
 @query
 def ingest_cycle(s: SparkSession, d: str) -> DataFrame:
-    e = domain.events(s, d).select("event_id", F.col("raw_text").alias("text"), "source", "source_url", "publisher", "image_url", "published_at", F.when(F.col("ord") % 2 == 0, F.col("lat")).alias("lat"), F.when(F.col("ord") % 2 == 0, F.col("lon")).alias("lon"))
-    return ingest.cycle(e, now(), D.gazetteer(s)).select("event_id", "representative_headline", "label", "lat", "lon", "corroboration_count", "cluster_size")
+    out = ingest.cycle(_raw(s, d), now(), D.gazetteer(s))
+    return out.select("event_id", "representative_headline", "label", "lat", "lon", "corroboration_count", "cluster_size")
+
+
+@query
+def cycle_stats(s: SparkSession, d: str) -> DataFrame:
+    """Counts of a cycle in which valid events of each source and text are one incident."""
+    e = domain.events(s, d)
+    kept = e.where(T.valid_event(F.col("raw_text"), F.col("source_url"), F.col("published_at"), now()))
+    return ingest.cycle_stats(e, kept, kept.select("source", "raw_text").distinct())
+
+
+@query
+def latest_verified(s: SparkSession, d: str) -> DataFrame:
+    e = domain.events(s, d).withColumn("ingested_at", F.col("published_at"))
+    return agg.latest_verified(e.withColumn("credibility_score", F.when(F.col("ord") % 3 > 0, F.col("credibility_score")))).select("event_id", F.round("credibility_score", 4).alias("credibility_score"))
+
+
+@query
+def api_latency(s: SparkSession, d: str) -> DataFrame:
+    e = domain.table(s, d, "events")
+    log = e.select(F.col("event_type").alias("path"), F.when(F.col("event_id") % 17 == 0, 503).otherwise(200).alias("status"), F.round("value", 1).alias("ms"))
+    return agg.api_latency(log)
+
+
+@query
+def mode_events(s: SparkSession, d: str) -> DataFrame:
+    """The nearest events of each group, as the older answers hold them."""
+    e = analysis.mode_events(_scored(s, d)).select(*ROUTE, F.inline("events"))
+    return e.select(*ROUTE, "rank", "headline", "distance_km", F.round("intensity", 6).alias("intensity"), "label")
+
+
+@query
+def route_locations(s: SparkSession, d: str) -> DataFrame:
+    names = ["Kyiv", "Red Sea", "Aden", "Suez Canal", "Gaza", "Taiwan", "Sahel"]
+    e = _scored(s, d).withColumn("location_names", F.array(domain.pick(names, F.col("ord")), domain.pick(names, F.floor(F.col("ord") / 5))))
+    return analysis.place_names(e, most=4).select(*ROUTE, F.array_join("locations", "; ").alias("locations"))
+
+
+@query
+def even_samples(s: SparkSession, d: str) -> DataFrame:
+    r = routes(domain.requests(s, d)).withColumn("points", evenly_sampled(F.col("points")))
+    return points_of(r).select(*ROUTE, F.col("idx").cast("long").alias("idx"), F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
+
+
+@query
+def sea_lanes(s: SparkSession, d: str) -> DataFrame:
+    """Routes along given lanes: of each nation, a lane with as many points as its key has over ten."""
+    k = F.col("n_nationkey").cast("long")
+    lanes = domain.table(s, d, "nation").select(k.alias("route_id"), F.explode(F.sequence(F.lit(0), (10 + k).cast("int"))).alias("idx"))
+    lanes = lanes.select("route_id", "idx", (F.col("route_id") * 2.0 - 20 + F.col("idx") * 0.75).alias("lat"), (F.col("route_id") * 11.0 - 120 + F.col("idx") * 0.5).alias("lon"))
+    return lane_routes(lanes).select("route_id", "km", F.posexplode("points").alias("idx", "p")).select("route_id", "km", F.col("idx").cast("long").alias("idx"), "p.lat", "p.lon")
+
+
+@query
+def backoff_seconds(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    return domain.table(s, d, "events").select("event_id", F.round(R.backoff((i % 9).cast("double"), (i % 21) / 10.0 - 1), 6).alias("seconds"))
 
 
 @query
@@ -378,5 +438,3 @@ def seed_events(s: SparkSession, d: str) -> DataFrame:
     t = s.createDataFrame([(i, x, 10.0 + i, 20.0 + i, domain.LABELS[i % 12], 0.5) for i, x in enumerate(domain.TEXTS)], "ord int, text string, lat double, lon double, label string, intensity_score double")
     return feeds.seed_events(s, t, 100, now()).select("event_id", "text", "source", "label")
 
-
-__all__ = ["QUERIES", "normal_place", "titled"]

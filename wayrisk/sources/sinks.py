@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,42 @@ def without_source(events: DataFrame, source: str = "seed") -> DataFrame:
     return events.where(~F.col("source").eqNullSafe(source))
 
 
+def purge(spark: SparkSession, path: str, source: str = "seed") -> int:
+    """Delete a source from the store and tell how many events it had (K4). Only days that hold any of them are written anew."""
+    if not exists(spark, path):
+        return 0
+    stored = spark.read.parquet(path)
+    gone = stored.where(F.col("source").eqNullSafe(source)).groupBy("ingest_date").count().collect()  # a row for each day
+    if gone:
+        days = without_source(stored.where(F.col("ingest_date").isin([r.ingest_date for r in gone])), source)
+        kept = f"{path.rstrip('/')}-purge-{uuid.uuid4().hex}"  # beside the store, as files can't be read while they are written over
+        days.write.partitionBy("ingest_date").parquet(kept)
+        left = {r.ingest_date for r in days.select("ingest_date").distinct().collect()}
+        rewritten = spark.read.schema(stored.schema).parquet(kept)
+        rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest_date").parquet(path)
+        for day in [r.ingest_date for r in gone if r.ingest_date not in left]:
+            _delete(spark, f"{path.rstrip('/')}/ingest_date={day}")
+        _delete(spark, kept)
+    return sum(r["count"] for r in gone)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def wait_for(spark: SparkSession, path: str, tries: int = 5, seconds: float = 2.0, sleep=time.sleep) -> None:
+    """Return once the store's file system answers (T10): ``tries`` attempts, each pause twice the last; then the last error is raised."""
+    for k in range(tries):
+        try:
+            exists(spark, path)
+            return
+        except Exception:
+            if k == tries - 1:
+                raise
+            sleep(seconds * 2**k)
+
+
 def live(events: DataFrame, now: Column, hours: int = 72) -> DataFrame:
     """Events ingested within the time to live (K5, T5); a predicate on the partition column prunes old days."""
     return events.where(F.unix_micros("ingested_at") > F.unix_micros(now) - hours * 3_600_000_000)

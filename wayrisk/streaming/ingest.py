@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wayrisk.operators.cut import cut
 from wayrisk.plans.ingest import cycle
 from wayrisk.sources.dimensions import gazetteer
 from wayrisk.sources.feeds import RAW_EVENT, fan_in
@@ -13,8 +14,13 @@ from wayrisk.sources.sinks import exists, insert_absent
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of landed RAW_EVENT Parquet files; late events are known by the watermark."""
-    return spark.readStream.schema(RAW_EVENT).parquet(path).withWatermark("published_at", "72 hours")
+    """A stream of landed RAW_EVENT Parquet files, each event id once within 72 hours of its arrival.
+
+    The watermark follows arrival, not publication: a feed's date in the far future would else make all later events late.
+    What is stale by its date is dropped by the cycle.
+    """
+    raw = spark.readStream.schema(RAW_EVENT).parquet(path).withColumn("arrived_at", F.current_timestamp())
+    return raw.withWatermark("arrived_at", "72 hours").dropDuplicatesWithinWatermark(["event_id"]).drop("arrived_at")
 
 
 def ingest(raw: DataFrame, store: str, checkpoint: str, once: bool = False, seconds: int = 180, now=None) -> StreamingQuery:
@@ -25,9 +31,7 @@ def ingest(raw: DataFrame, store: str, checkpoint: str, once: bool = False, seco
 
     def batch(df: DataFrame, _: int) -> None:
         at = now if now is not None else F.current_timestamp()
-        incidents = cycle(fan_in([df]), at, gazetteer(df.sparkSession)).persist()
-        insert_absent(incidents, store)
-        incidents.unpersist()
+        insert_absent(cut(cycle(fan_in([df]), at, gazetteer(df.sparkSession))), store)
 
     writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()

@@ -6,11 +6,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wayrisk.operators.state import STATE, Source
+from wayrisk.operators.state import DAILY, STATE, Source
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -26,3 +26,16 @@ def track(log: DataFrame) -> DataFrame:
     """The state of each source around each attempt of a streamed log (source, ts, seq, outcome)."""
     seconds = log.select("source", (F.unix_micros("ts") / 1e6).alias("ts"), "seq", "outcome")
     return seconds.groupBy("source").applyInPandasWithState(_step, STATE, "saved string", "append", GroupStateTimeout.NoTimeout)
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """The last state of each source as JSON, over an older one (K6)."""
+    last = states.groupBy("source").agg(F.max_by(F.struct("ts", "allowed", "used", "failures", "cooldown_until", "suppressions"), "ts").alias("s"))
+    last.select("source", "s.*").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_states(spark: SparkSession, path: str) -> DataFrame:
+    """Saved states with today's limits: the configured quota wins over what was saved."""
+    saved = spark.read.schema("source string, ts double, allowed boolean, used long, failures long, cooldown_until double, suppressions long").json(path)
+    limit = F.create_map(*(x for k, v in DAILY.items() for x in (F.lit(k), F.lit(v))))
+    return saved.withColumn("daily_limit", limit[F.col("source")]).withColumn("remaining", F.greatest(F.lit(0), F.col("daily_limit") - F.col("used")))
