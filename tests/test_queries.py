@@ -9,7 +9,7 @@ from wayrisk.plans.queries import QUERIES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One query of each family; the driver compares all of them.
-CHECKED = ["zone_event_risk", "route_risk_aggregate", "route_points", "multi_mode_risk", "source_credibility", "relevance_filter", "keyword_classify", "token_cosine", "rolling_quota", "union_dedup"]
+CHECKED = ["zone_event_risk", "route_risk_aggregate", "route_points", "multi_mode_risk", "source_credibility", "relevance_filter", "keyword_classify", "token_cosine", "rolling_quota", "union_dedup", "json_response", "entity_normalize", "cycle_stats", "api_latency", "mode_events", "route_locations", "even_samples", "sea_lanes", "rotated_queries"]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_sql(spark, tables, name):
     assert len(a) == len(b) and all(((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all() for c in columns)
 
 
-@pytest.mark.parametrize("name", ["regex_ner", "unique_locations", "entity_normalize", "headline_similarities", "can_fetch_state", "intensity_model"])
+@pytest.mark.parametrize("name", ["regex_ner", "unique_locations", "headline_similarities", "incident_clusters", "ingest_cycle", "can_fetch_state", "intensity_model", "json_response"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 

@@ -52,9 +52,14 @@ def test_zone_points(spark, lat, lon, want):
 
 
 def test_coinciding_ends_and_short_routes(spark):
-    r = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0, 1.0)], "route_id int, olat double, olon double, dlat double, dlon double")
+    rows = [(1, 0.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0, 1.0), (3, 10.0, 10.0, 10.0, 10.0), (4, 90.0, 0.0, 90.0, 0.0), (5, 41.01, 28.97, 41.01, 28.97), (6, None, 1.0, 2.0, 3.0)]
+    r = spark.createDataFrame(rows, "route_id int, olat double, olon double, dlat double, dlon double")
     got = {x.route_id: x for x in base_routes(r).collect()}
-    assert len(got[1].points) == 2 and got[1].km == 0 and len(got[2].points) == 10 and got[2].km == 111.2
+    assert set(got) == {1, 2, 3, 4, 5} and len(got[1].points) == 2 and got[1].km == 0 and len(got[2].points) == 10 and got[2].km == 111.2
+    for k, lat, lon, *_ in (x for x in rows if x[0] in (1, 3, 5)):
+        assert got[k].km == 0 and all(abs(p.lat - lat) < 1e-5 and abs(p.lon - lon) < 1e-5 for p in got[k].points)
+    modes = {(x.route_id, x.mode): x for x in routes(r).collect()}
+    assert len(modes) == 15 and modes[1, "air"].km == 0 and modes[5, "road"].km == 0 and all(not math.isnan(p.lat) for x in modes.values() for p in x.points)
 
 
 def test_near_pairs_at_poles_and_date_line(spark):

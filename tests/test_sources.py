@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from wayrisk.operators import state
 from wayrisk.sources import dimensions, feeds, sinks
 from wayrisk.streaming.ingest import ingest, landed, needs_fetch
-from wayrisk.streaming.state import track
+from wayrisk.streaming.state import load_states, save_states, track
+
 
 def now():
     return F.lit("2024-01-31 00:00:00").cast("timestamp")
@@ -62,15 +63,21 @@ def test_windows(spark):
     assert [r.run for r in state.failure_runs(log(spark, rows)).orderBy("seq").collect()] == [0, 1, 2, 0]
 
 
-def test_streams(spark, tmp_path, monkeypatch):
-    """Batches keep the first of each event and insert what is absent; the cycle itself is a query of its own."""
-    monkeypatch.setattr("wayrisk.streaming.ingest.cycle", lambda raw, at, gazetteer: raw.select("event_id", "source").withColumn("ingested_at", at))
-    rows = [(f"e{i}", "Houthi drone strike damages cargo ship in the Red Sea", "rss", f"http://x/{i}", f"p{i}", None, None, dt.datetime(2024, 1, 30), None, None) for i in range(3)]
-    spark.createDataFrame(rows + rows[:1], feeds.RAW_EVENT).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):
-        ingest(landed(spark, str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "c"), once=True, now=now()).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "store")).collect()
-    assert sorted(r.event_id for r in got) == ["e0", "e1", "e2"]
+def raw_rows(n):
+    return [(f"e{i}", "Houthi drone strike damages cargo ship in the Red Sea", "rss", f"http://x/{i}", f"p{i}", None, None, dt.datetime(2024, 1, 30), None, None) for i in range(n)]
+
+
+def test_streams(spark, tmp_path):
+    """Whole cycles over a stream: an event that comes twice counts once, also in a later batch, and incidents are stored once."""
+    path = lambda x: str(tmp_path / x)
+    spark.createDataFrame(raw_rows(3) + raw_rows(1), feeds.RAW_EVENT).write.parquet(path("in"))
+    run = lambda: ingest(landed(spark, path("in")), path("store"), path("c"), once=True, now=now()).awaitTermination()
+    run()
+    got = spark.read.parquet(path("store")).collect()
+    assert len(got) == 1 and got[0].corroboration_count == 3 and "Red Sea / Bab el-Mandeb" in got[0].zones
+    spark.createDataFrame(raw_rows(2), feeds.RAW_EVENT).write.mode("append").parquet(path("in"))
+    run()
+    assert spark.read.parquet(path("store")).count() == 1
     log(spark, [(0, "fail"), (10, "fail"), (20, "fail"), (30, "ok")]).write.parquet(str(tmp_path / "log"))
     stream = track(spark.readStream.schema("source string, ts timestamp, seq long, outcome string").parquet(str(tmp_path / "log")))
     q = stream.writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
@@ -90,3 +97,105 @@ def test_settings(bad):
         Settings(**bad)
     with pytest.raises(ValueError):
         location(" x ")
+
+
+def test_settings_from_environment():
+    from wayrisk.plans.analysis import Settings, store_path
+
+    assert Settings.from_env({"ROUTE_BUFFER_KM": "80", "OTHER": "x"}, results=5) == Settings(radius_km=80.0, results=5)
+    for env in ({"ROUTE_BUFFER_KM": "far"}, {"MIN_LABEL_CONFIDENCE": "1.5"}):
+        with pytest.raises(ValueError):
+            Settings.from_env(env)
+    assert store_path("hdfs://host/x") == "hdfs://host/x" and store_path("/data/store")
+    for bad in (None, " ", "s3://<cluster>/x", "://x"):
+        with pytest.raises(ValueError):
+            store_path(bad)
+
+
+def test_gnews(spark, tmp_path):
+    many = [{"url": f"http://g/{i}", "title": f"T{i}", "image": "http://i", "source": {"name": "G"}} for i in range(14)]
+    (tmp_path / "g.json").write_text(json.dumps({"articles": many}))
+    got = feeds.news(spark, str(tmp_path / "g.json"), "gnews", now(), 25).collect()
+    assert len(got) == 10 and {r.image_url for r in got} == {"http://i"} and all(r.event_id.startswith("gnews-") for r in got)
+    both = feeds.fan_in([feeds.news(spark, str(tmp_path / "g.json"), "gnews", now(), 25)] * 2, most=4)
+    assert both.count() == 4
+
+
+def test_rotation(spark):
+    got = [r.q for r in spark.range(9).select(feeds.rotated_query(F.col("id")).alias("q")).collect()]
+    assert len(set(got)) == 8 and got[8] == got[0] == "conflict war military" and got[7] == "border dispute territorial"
+
+
+def test_purge(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [("1", "seed", "2024-01-30"), ("2", "rss", "2024-01-30"), ("3", "seed", "2024-01-29"), ("4", "rss", "2024-01-28")]
+    df = spark.createDataFrame(rows, "event_id string, source string, day string").withColumn("ingested_at", F.col("day").cast("timestamp"))
+    sinks.insert_absent(df, path)
+    assert sinks.purge(spark, path) == 2 and sinks.purge(spark, path) == 0 and sinks.purge(spark, path + "-none") == 0
+    assert sorted(r.event_id for r in spark.read.parquet(path).collect()) == ["2", "4"] and [p.name for p in tmp_path.iterdir()] == ["store"]
+
+
+def test_wait(spark, tmp_path):
+    pauses = []
+    sinks.wait_for(spark, str(tmp_path), sleep=pauses.append)
+    assert not pauses
+    with pytest.raises(Exception, match="nosuch"):
+        sinks.wait_for(spark, "nosuch://x/y", tries=3, sleep=pauses.append)
+    assert pauses == [2.0, 4.0]
+
+
+def test_states_file(spark, tmp_path):
+    states = state.replay(log(spark, [(0, "ok"), (2000, "fail"), (4000, "ok")]))
+    save_states(states, str(tmp_path / "s"))
+    got = load_states(spark, str(tmp_path / "s")).collect()
+    assert [(r.source, r.used, r.failures, r.daily_limit, r.remaining) for r in got] == [("gnews", 2, 0, 90, 88)]
+
+
+def test_json_lines():
+    import logging
+
+    from wayrisk.streaming.log import JsonLines
+
+    record = logging.LogRecord("wayrisk", logging.INFO, "x", 1, "fetched %d", (3,), None)
+    line = json.loads(JsonLines().format(record))
+    assert (line["level"], line["logger"], line["message"]) == ("INFO", "wayrisk", "fetched 3") and line["timestamp"].endswith("+00:00")
+
+
+def test_learned_model(spark, tmp_path):
+    """Trained, saved, loaded and used for the intensity; without one the rules score."""
+    from wayrisk.plans import domain, ingest as cycles, learned
+
+    e = domain.events(spark, "/root/testdata/sf0.001")
+    model = learned.fit(learned.training_set(e))
+    path = str(tmp_path / "model")
+    assert learned.load(path, spark) is None
+    learned.save(model, path)
+    learned.save(model, path)
+    again = learned.load(path, spark)
+    raw = spark.createDataFrame(raw_rows(2), feeds.RAW_EVENT)
+    by_model = cycles.annotate(raw, model=again).select("intensity_score", "intensity_method").distinct().collect()
+    by_rule = cycles.annotate(raw).select("intensity_score", "intensity_method").distinct().collect()
+    assert [r.intensity_method for r in by_model] == ["logistic"] and [r.intensity_method for r in by_rule] == ["rule_based"] and 0 <= by_model[0].intensity_score <= 1
+    assert 0 <= learned.cross_validated(learned.training_set(e), folds=2) <= 1
+
+
+def test_live_run(spark, tmp_path):
+    """Purged, refreshed until fresh, diagnosed and analysed."""
+    from wayrisk.plans.live import live_run
+    from wayrisk.sources.dimensions import gazetteer
+
+    path, fetches = str(tmp_path / "store"), []
+    fetch = lambda: fetches.append(1) or [spark.createDataFrame(raw_rows(3), feeds.RAW_EVENT)]
+    requests = spark.createDataFrame([(1, 10.0, 50.0, 16.0, 40.0), (2, None, None, 1.0, 1.0)], "route_id int, olat double, olon double, dlat double, dlon double")
+    purged, status, modes = live_run(spark, path, requests, fetch, now(), gazetteer(spark), cycles=2)
+    got = {(r.route_id, r.mode): r for r in modes.collect()}
+    assert purged == 0 and len(fetches) == 2 and status.first().total == 1 and len(got) == 6
+    assert got[2, "air"].status == "UNKNOWN" and got[2, "air"].safety_score is None and got[2, "sea"].message == "Sea route could not be computed" and got[1, "sea"].risk_score > 0
+
+
+def test_legacy_cycle(spark):
+    from wayrisk.plans.ingest import legacy_cycle
+    from wayrisk.sources.dimensions import gazetteer
+
+    got = legacy_cycle(spark.createDataFrame(raw_rows(2) + [("x", "a recipe that is long enough, from Istanbul", "gdelt", "", "", None, None, None, None, None)], feeds.RAW_EVENT), now(), gazetteer(spark)).collect()
+    assert {(r.event_id, r.lat) for r in got} == {("e0", 13.5), ("e1", 13.5), ("x", 41.01)}

@@ -1,13 +1,18 @@
 """Text functions, normalisers and clustering."""
 
+import collections
 import datetime as dt
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from wayrisk.functions import text as T
-from wayrisk.functions.python_text import normal_place, similar, titled
-from wayrisk.operators.clusters import cluster_incidents
+from wayrisk.functions.python_text import model_places_udf, normal_place, normalize_places, place_finder, place_or_empty, similar, titled
+from wayrisk.operators.clusters import cluster_incidents, clusters
+from wayrisk.sources.dimensions import PLACES
 
 
 def one(spark, column):
@@ -84,3 +89,60 @@ def test_incidents(spark):
     assert set(got) == {0, 2} and got[0].publishers == ["Reuters", "BBC"] and got[0].corroboration_count == 2 and got[0].cluster_size == 3
     assert got[0].intensity_score == 0.7 and got[0].image_url == "http://i" and got[0].canonical_event_id.startswith("incident-")
     assert cluster_incidents(spark.createDataFrame([], schema)).count() == 0
+
+
+def km(a, b, c, d):
+    p, q = math.radians(a), math.radians(c)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+def cosine(a, b):
+    from wayrisk.sources.dimensions import STOPWORDS
+
+    x, y = (collections.Counter(w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 2 and w not in STOPWORDS) for t in (a, b))
+    norm = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+    return sum(x[w] * y[w] for w in x) / max(norm, 1e-9) if x and y else 0.0
+
+
+def test_incidents_brute_force(spark):
+    """The greedy pass over all reports in order, with and without coordinates, times and labels."""
+    rng = random.Random(5)
+    texts = ["Port blockade halts cargo ships", "Port blockade halts container ships today", "Cargo ships halted by port blockade", "Earthquake shakes the coast", "Strong earthquake shakes coast towns", "Army moves to the border", "Army units move toward border", ""]
+    start, rows = dt.datetime(2024, 1, 1), []
+    for i in range(160):
+        place = (rng.choice([10.0, 10.4, 10.9, 40.0]), rng.choice([179.9, -179.8, 20.0])) if rng.random() > 0.15 else (None, None)
+        when = start + dt.timedelta(hours=rng.randint(0, 90)) if rng.random() > 0.15 else None
+        rows.append((i, rng.choice(texts), rng.choice(["a", "b", "", None]), *place, when))
+    df = spark.createDataFrame(rows, "ord long, raw_text string, label string, lat double, lon double, published_at timestamp")
+
+    def same(x, y):
+        sim = max(similar(x[1], y[1]), cosine(x[1], y[1]))
+        alike = sim >= 0.45 or (sim >= 0.25 and (not x[2] or not y[2] or x[2] == y[2]))
+        soon = x[5] is None or y[5] is None or abs(x[5] - y[5]) <= dt.timedelta(hours=24)
+        return alike and soon and (x[3] is None or y[3] is None or km(*x[3:5], *y[3:5]) <= 100)
+
+    want, heads = {}, []
+    for r in rows:
+        head = next((h for h in heads if same(h, r)), None)
+        if head is None:
+            heads.append(r)
+        want[r[0]] = r[0] if head is None else head[0]
+    assert {r.ord: r.cluster for r in clusters(df).collect()} == want and 8 < len(heads) < 120
+
+
+def test_names_found():
+    """One pass over the words finds what each name's own pattern finds."""
+    find = place_finder(PLACES)
+    text = "South Sudan and sudan; NIGER, Nigeria's bab el-mandeb, the Taiwan Strait (Red  Sea, red sea). \u0130ran \u0131raq \u212aenya Guinea_ xIran Iran2 Ukraine-Russia Gulf of Aden, gulf of"
+    want = {m.span() for n in PLACES for m in re.finditer(rf"\b{re.escape(n)}\b", text, re.IGNORECASE)}
+    assert set(find(text)) == want and len(want) > 14 and find("") == []
+    assert len(PLACES) == 203 and {"Ukraine", "Israel", "Yemen", "Syria", "Taiwan", "Turkey"} <= set(PLACES)
+
+
+def test_name_columns(spark):
+    df = spark.createDataFrame([(["US", "ukraine", "Ukraine", "NATO", None],), (None,)], "n array<string>")
+    assert [r.x for r in df.select(normalize_places("n").alias("x")).collect()] == [["United States", "Ukraine"], []]
+    assert [one(spark, place_or_empty(F.lit(x))) for x in ("uk", "BBC", " S. Korea ", "new\x00 delhi's")] == ["United Kingdom", "", "South Korea", "New Delhi"]
+    with pytest.raises(ImportError):
+        model_places_udf()

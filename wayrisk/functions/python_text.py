@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
@@ -87,7 +88,7 @@ def unique_places(found: pd.Series) -> pd.Series:
 
 _REJECTED = re.compile("|".join(f"(?:{p})" for p in NO_PLACE), re.IGNORECASE)
 #: What is taken out of a name, in this order, and what comes instead.
-_CLEANING = [(re.compile(r"&(?:#\d+|\w+);"), " "), (re.compile(r"[\x00-\x1f\x7f-\x9f\xad\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]"), " "), (re.compile(r"\s+"), " "), (re.compile(r"'s\s*$"), "")]
+_CLEANING = [(regex.compile(r"&(?:#\d+|\w+);"), " "), (regex.compile(r"\p{C}+"), ""), (regex.compile(r"\s+"), " "), (regex.compile(r"(?:'s){1,2}$"), "")]
 
 
 def _could_be_place(name: str) -> bool:
@@ -101,7 +102,7 @@ def normal_place(raw: str | None) -> str | None:
     name = unicodedata.normalize("NFC", raw or "")
     for pattern, instead in _CLEANING:
         name = pattern.sub(instead, name.strip())
-    name = name.strip(PUNCTUATION + " ")
+    name = name.strip(PUNCTUATION)
     name = ABBREVIATIONS.get(name, ABBREVIATIONS.get(name.upper(), name))
     if not _could_be_place(name):
         return None

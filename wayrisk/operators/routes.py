@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from wayrisk.functions.geo import downsample, haversine_km, path_km, steps_between
 from wayrisk.sources.dimensions import MODES, hub_rows
 
+#: Columns of a request; a route with an unknown end is left out.
+ENDS = ["olat", "olon", "dlat", "dlon"]
+
 
 def nearest_hub(lat: Column, lon: Column) -> Column:
     """struct<d, ord, lat, lon> of the nearest of the transit hubs, the first on a tie.
@@ -48,7 +51,7 @@ def routes(requests: DataFrame, modes: list[str] = MODES) -> DataFrame:
     Air and sea follow the arc, sea at 1.3 times its length; road goes over the nearest hubs of both ends, whose
     leg is left out if they are within 200 km.
     """
-    r = requests.select("route_id", *(F.col(c).cast("double") for c in ("olat", "olon", "dlat", "dlon")))
+    r = requests.select("route_id", *(F.col(c).cast("double") for c in ENDS)).dropna(subset=ENDS)
     ends = r.select("*", nearest_hub(F.col("olat"), F.col("olon")).alias("ho"), nearest_hub(F.col("dlat"), F.col("dlon")).alias("hd"))
     leg = lambda mode, k, a, b, c, d: F.struct(F.lit(mode).alias("mode"), F.lit(k).alias("leg"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("c"), F.col(d).alias("d"))
     legs = [leg(m, 0, "olat", "olon", "dlat", "dlon") for m in modes if m != "road"]
@@ -58,7 +61,7 @@ def routes(requests: DataFrame, modes: list[str] = MODES) -> DataFrame:
     legs = legs.withColumn("leg_km", haversine_km(*(F.col(c) for c in "abcd"))).where((F.col("leg") != 2) | (F.col("leg_km") > 200))
     n = F.when(F.col("mode") == "road", steps_between(F.col("leg_km"), 5, 20, 150)).otherwise(steps_between(F.col("leg_km"), 15, 50, 100))
     points = _arcs(legs.withColumn("n", n), ["route_id", "mode"])
-    direct = requests.select("route_id", haversine_km(*(F.col(c).cast("double") for c in ("olat", "olon", "dlat", "dlon"))).alias("arc"))
+    direct = requests.select("route_id", haversine_km(*(F.col(c).cast("double") for c in ENDS)).alias("arc"))
     out = points.join(direct, "route_id")
     km = F.when(F.col("mode") == "air", F.round("arc", 1)).when(F.col("mode") == "sea", F.round(F.col("arc") * 1.3, 1)).otherwise(F.round(path_km(F.col("points")), 1))
     return out.select("route_id", "mode", "points", km.alias("km"))
@@ -66,7 +69,7 @@ def routes(requests: DataFrame, modes: list[str] = MODES) -> DataFrame:
 
 def base_routes(requests: DataFrame) -> DataFrame:
     """(route_id, points, km) of the single arc with 10 to 50 points."""
-    r = requests.select("route_id", F.lit(0).alias("leg"), *(F.col(c).cast("double").alias(x) for c, x in zip(("olat", "olon", "dlat", "dlon"), "abcd", strict=True)))
+    r = requests.select("route_id", F.lit(0).alias("leg"), *(F.col(c).cast("double").alias(x) for c, x in zip(ENDS, "abcd", strict=True))).dropna(subset=list("abcd"))
     r = r.withColumn("km", haversine_km(*(F.col(c) for c in "abcd"))).withColumn("n", steps_between(F.col("km"), 10, 50, 100))
     return _arcs(r, ["route_id", "km"]).select("route_id", "points", F.round("km", 1).alias("km"))
 
