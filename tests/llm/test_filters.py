@@ -49,6 +49,20 @@ def test_quality_edges(spark, docs, empty):
     assert quality.keep_good(docs, some).columns == docs.columns and quality.classify(empty, some).count() == 0
 
 
+def test_quality_brute_force(spark):
+    """Scores of whole texts from the model's table, feature by feature; ids and labels that repeat change nothing."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").selectExpr("doc_id", "quality as label")
+    scores, bias = quality.fit(d, labels)
+    again = quality.fit(d.union(d), labels.union(labels))
+    assert (again[0] == scores).all() and again[1] == bias
+    got = {r.doc_id: r.score for r in quality.classify(d, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
+    for r in d.collect():
+        f = [x for w in (r.text or "").split() for x in quality.features(w)]
+        z = (float(scores[f].astype(float).sum()) / len(f) if f else 0.0) + bias
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_language(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(d).join(d, "doc_id").where("held_out").collect()
@@ -321,3 +335,35 @@ def test_pipeline(spark, tmp_path):
     ids = lambda df: {r.doc_id: r.n for r in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     packed = ids(stages["pack"](spark, clean, DATA))
     assert set(packed) == {r.doc_id for r in clean.collect()} and packed == ids(corpus_pipeline.run(spark, DATA))
+
+
+def test_pipeline_edges(spark, tmp_path, rows):
+    """Nulls, empty and very long texts, repeated rows and clashing columns through all stages, and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = "What colour is the deep northern sea? It is green."
+    more = [(9000, item, "en", "s", 1), (None, "a text without an id", None, None, None), (None, "a text without an id", None, None, None), (9001, "the same text", "en", "s", 1), (9002, "the same text", "en", "s", 1), (9002, "the same text", "en", "s", 1)]
+    path = str(tmp_path / "sf")
+    df = spark.createDataFrame(rows + more, schema).selectExpr("*", "1 as __keep", "2 as kept", "3 as digest", "4 as rank", "5 as name", "6 as id", "7 as n")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    df.write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{path}/{len(out.columns)}-{random.random()}")
+        docs = out
+    last: dict = {}
+    for i, t, *_ in rows + more:
+        key = t or ""
+        last[key] = max(last.get(key, (-1, None)), (-1 if i is None else i, t), key=lambda x: x[0])
+    unique = [(i, t) for i, t in last.values() if i >= 0]
+    want = {i for i, (_, c) in components_of(unique).items() if c == i} - {9000}
+    got = [r.doc_id for r in docs.collect()]
+    assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 1 and 9002 in got
+    packed = corpus_pipeline.run(spark, path)
+    assert {r.doc_id for r in packed.collect()} == set(got)
+    docs.limit(0).write.parquet(f"{path}-empty/documents.parquet")
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{path}/{t}.parquet").write.parquet(f"{path}-empty/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{path}-empty").count() == 0

@@ -10,8 +10,8 @@ Training sample: at most ``SAMPLE`` labelled documents, those whose ids hash low
 reaches the driver, as feature counts.
 
 Defined results: null and empty texts have no features and get the layer's bias; without any labelled
-row nothing can be rejected and each score is 1; null labels are not learnt from; repeated labels
-count as often as they occur; texts are scored whole; an empty table gives an empty result; columns
+row nothing can be rejected and each score is 1; null labels are not learnt from; an id counts once for
+each label, with one text should it have several; texts are scored whole; an empty table gives an empty result; columns
 other than those named are not read, and others pass through ``keep_good``.
 """
 
@@ -104,9 +104,11 @@ class WordScores(dict):
 
 def fit(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, float] | None:
     """The model, from ``labelled`` (doc_id, label 0 or 1) and the texts of ``docs``; None without any label."""
-    chosen = labelled.where("label in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label"))
+    chosen = labelled.where("label in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "label").limit(sample)  # bounded, so it may be broadcast
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
+    # one text for each, however often an id occurs in the corpus
+    rows = rows.groupBy("__id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
