@@ -10,12 +10,12 @@ through all stages but the last.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wayrisk.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from wayrisk.llm._shared import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +51,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, through tables in the folder that the cluster shares."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayrisk")
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over ``documents``, through tables in the folder that the cluster shares.
+
+    A stage's table is deleted once the next one is written; that of the last but one stays, as the result reads it.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+            path = f"{folder}/{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if last:
+                old = spark._jvm.org.apache.hadoop.fs.Path(last)
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+            last = path
     return docs
