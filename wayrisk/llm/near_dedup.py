@@ -1,8 +1,8 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A document's set holds its distinct shingles of five words (words are runs of anything but ASCII white
-space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 48 symbols of b = 32 bits,
-each the minimum of the set under another hash, so that two documents differ in a symbol with
+space, A-Z lower-cased); shingles are kept as 64-bit hashes. Its signature has 48 symbols of b = 16 bits,
+each from the minimum of the set under another hash, so that two documents differ in a symbol with
 probability 1 - similarity. Pairs of signatures with at most 22 differing symbols are candidates; at a
 similarity of 0.75 that is exceeded with probability 4.98e-4.
 
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import WordHash, checkpoint, fresh, window_hashes, word_array
+from wayrisk.llm._shared import WordHash, checkpoint, fresh, remember, window_hashes, word_array
 
 WORDS = 5
 PERCENT = 75
@@ -51,7 +51,7 @@ SYMBOLS, CHUNK = 48, 4
 APART = 22
 ERRORS = APART // (SYMBOLS // CHUNK)
 #: 64-bit words of a class's bitmap.
-MAP_WORDS = 32
+MAP_WORDS = 16
 _MEMO = WordHash()
 #: Shingles that are hashed at once.
 _PART = 32_768
@@ -76,7 +76,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of symbols for each of ``sets``, none of them empty."""
-    out = np.empty((len(sets), SYMBOLS), np.uint32)
+    out = np.empty((len(sets), SYMBOLS), np.uint16)
     first = 0
     while first < len(sets):
         end, size = first + 1, len(sets[first])
@@ -86,7 +86,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         h = np.concatenate(sets[first:end])
         starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[first : end - 1]], dtype=np.int64)))
         for k in range(SYMBOLS):
-            out[first:end, k] = np.minimum.reduceat(h * _A[k] + _B[k], starts) >> np.uint64(32)
+            out[first:end, k] = np.minimum.reduceat(h * _A[k] + _B[k], starts) >> np.uint64(24) & np.uint64(0xFFFF)
         first = end
     return out
 
@@ -99,6 +99,7 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remember("near", _MEMO)
     for b in batches:
         n, digest, sets = [], [], []
         for t in b.column(1).to_pylist():
@@ -107,10 +108,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(sets[-1]))
             digest.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
         some = [s for s in sets if len(s)]
-        symbols = iter(signatures(some).view(np.int32).tolist())
-        sig = [next(symbols) if len(s) else None for s in sets]
-        bits = [bitmap(s).tolist() if len(s) else None for s in sets]
-        arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))]
+        # list arrays straight from the numbers; a set without shingles has null
+        starts = np.concatenate(([0], np.cumsum([len(s) > 0 for s in sets]))).astype(np.int32)
+        lists = lambda values, width: pa.ListArray.from_arrays(pa.array(starts * width), pa.array(values.ravel()), mask=pa.array(np.diff(starts) == 0))
+        bits = np.concatenate([bitmap(s) for s in some]) if some else np.zeros(0, np.int64)
+        arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(signatures(some).view(np.int16), SYMBOLS), lists(bits, MAP_WORDS)]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "digest", "sig", "bits"])
 
 
@@ -196,9 +198,9 @@ def _between(keyed: DataFrame, named: DataFrame) -> DataFrame:
     members = keyed.join(named.select("id", "label"), "id")
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     full = checkpoint(members.drop("label").join(mixed, "key").join(named, "id"))
-    side = lambda p: full.select("key", "at", *(F.col(c).alias(p + c) for c in ("id", "label", "n", "sig", "bits")))
-    pairs = side("a").join(side("b").drop("at"), "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b"))
-    first = pairs.where(_agreed_key(F.col("asig"), F.col("bsig")) == F.col("at"))
+    side = lambda p: full.select("key", *(F.col(c).alias(p + c) for c in ("at", "id", "label", "n", "sig", "bits")))
+    pairs = side("a").join(side("b"), "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b"))
+    first = pairs.where(_agreed_key(F.col("asig"), F.col("bsig")) == F.col("aat"))
     return checkpoint(first.select(F.col("aid").alias("a"), F.col("bid").alias("b")))
 
 
@@ -206,7 +208,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    signed = checkpoint(source.mapInArrow(_signed, f"doc_id {kind}, n bigint, digest binary, sig array<int>, bits array<bigint>"))
+    signed = checkpoint(source.mapInArrow(_signed, f"doc_id {kind}, n bigint, digest binary, sig array<smallint>, bits array<bigint>"))
 
     members = signed.where("digest is not null and doc_id is not null")
     ids = members.groupBy("digest").agg(F.min("doc_id").alias("id"))
@@ -215,6 +217,7 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     classes = checkpoint(classes.join(keyed.select("id").distinct(), "id", "left_semi"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("near", _MEMO)
         for b in batches:
             words = [words_of(t) for t in b.column(1).to_pylist()]
             arrays = [b.column(0), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([_set_of(w).tobytes() for w in words], pa.binary())]
