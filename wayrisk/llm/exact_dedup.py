@@ -70,7 +70,8 @@ def drop_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sup
     named = lambda winners: winners.select(F.col("digest").alias(digest), F.col("keep").alias(keep))
 
     def once(rows: DataFrame) -> DataFrame:
-        return rows.where(F.col(mine) == F.col(keep)).dropDuplicates([digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
+        # the largest rank of a digest; as an equality it would be a key of the join, and rows be shuffled by it and again
+        return rows.where(F.col(mine) >= F.col(keep)).dropDuplicates([digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
     ranked = docs.withColumns({mine: rank, digest: _digest(text)})
     settled = ranked.join(F.broadcast(named(heavy)), digest)
