@@ -51,6 +51,20 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
 
 
+_REMEMBERED: dict[str, tuple[dict, ...]] = {}
+
+
+def remember(operator: str, *memos: dict) -> None:
+    """Say in a worker that ``operator`` fills ``memos`` from now on; those of other operators, which ran there before, are emptied.
+
+    Workers live on over stages, and would else hold the memos of all of them.
+    """
+    for other in [x for x in _REMEMBERED if x != operator]:
+        for memo in _REMEMBERED.pop(other):
+            memo.clear()
+    _REMEMBERED[operator] = memos
+
+
 class WordHash(dict):
     """64-bit hashes of words (bytes), memoised; the memo is emptied when full."""
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import MEMO, checkpoint
+from wayrisk.llm._shared import checkpoint, remember
 
 WINDOW = 4096
 #: Width of a length bin: a piece in a slot leaves at most one less than this unused.
@@ -41,6 +41,8 @@ BIN = 16
 DEPTH = 3
 #: Rows that one salt of a bin should hold.
 SALT_ROWS = 50_000
+#: Entries that a worker remembers of words, and of pre-tokens and words of other characters: two workers of an executor have room for them.
+MEMO, FEW = 300_000, 150_000
 _BLANK = re.compile(r"[ \n\t\r]+")
 _READY: dict[str, WordIds] = {}
 
@@ -69,7 +71,7 @@ class Pretokens(dict):
         self.model, self.letters = model, _byte_letters()
 
     def __missing__(self, pretoken: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= FEW:
             self.clear()
         text = pretoken if pretoken.isascii() else "".join(map(self.letters.__getitem__, pretoken.encode()))
         ids = [t.id for t in self.model.tokenize(text)]
@@ -85,7 +87,7 @@ class PlainIds(dict):
         self.pretokens = pretokens
 
     def __missing__(self, word: bytes) -> bytes | None:
-        if len(self) >= 2 * MEMO:
+        if len(self) >= MEMO:
             self.clear()
         text = word.decode()
         plain = _KNOWN.fullmatch(text) and "<|" not in text
@@ -121,7 +123,7 @@ class WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= FEW:
             self.clear()
         if _KNOWN.fullmatch(word) and "<|" not in word:
             out = b"".join(map(self.pretokens.__getitem__, _PRETOKEN.findall(word.lower())))
@@ -142,7 +144,9 @@ class WordIds(dict):
 def _encoder(path: str) -> WordIds:
     if path not in _READY:
         _READY[path] = WordIds(path)
-    return _READY[path]
+    words = _READY[path]
+    remember("packing", words, words.plain, words.pretokens)
+    return words
 
 
 def combinations(units: int, depth: int = DEPTH) -> list[tuple[int, ...]]:

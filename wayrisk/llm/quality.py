@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import MEMO
+from wayrisk.llm._shared import MEMO, remember
 
 BUCKETS = 1 << 17
 GRAMS = (2, 3, 4)
@@ -136,6 +136,7 @@ def score_udf(docs: DataFrame, model: tuple[np.ndarray, float] | None):
             _READY.clear()
             _READY[name] = WordScores(*shared.value)
         scores = _READY[name]
+        remember("quality", scores)
         return pd.Series([scores.score(t) for t in texts], dtype="float64")
 
     return score

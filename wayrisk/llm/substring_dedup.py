@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayrisk.llm._shared import WordHash, mixed, partitions, text_bytes, window_hashes, word_array
+from wayrisk.llm._shared import WordHash, mixed, partitions, remember, text_bytes, window_hashes, word_array
 
 WINDOW = 35
 BLOCK = 18
@@ -159,6 +159,7 @@ def _sender(ranges: int, wide: bool, windows):
     """A mapInArrow function: (row, text, ...) to packed entries. ``windows(batch, i)`` gives hashes, blocks, extra of a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("repeats", _MEMO)
         uid = TaskContext.get().partitionId() << 24
         batch = _Batch(ranges, wide)
         for b in batches:
@@ -275,6 +276,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     repeats = _matched(found.mapInArrow(_sender(ranges, True, around), _PASSED), ranges, True)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember("repeats", _MEMO)
         for b in batches:
             total, gone, digest = [], [], []
             for t, hits in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):

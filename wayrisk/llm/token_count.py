@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayrisk.llm._shared import MEMO
+from wayrisk.llm._shared import MEMO, remember
 
 SPACE = "▁"
 #: A pre-token: its leading spaces and what follows up to the next space.
@@ -58,10 +58,13 @@ class PieceCounts(dict):
         self.proven = dict.fromkeys(shortcut(self.model), 1) | {" ": 1}
         super().__init__(self.proven)
 
+    def clear(self) -> None:
+        super().clear()
+        self.update(self.proven)
+
     def __missing__(self, pretoken: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-            self.update(self.proven)
         # The library puts a space in front of each text; a pre-token brings its own.
         n = self[pretoken] = len(self.model.encode(pretoken[1:]))
         return n
@@ -83,6 +86,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int, text: str = "text
         if model_path not in _READY:
             _READY[model_path] = PieceCounts(model_path)
         counts = _READY[model_path]
+        remember("tokens", counts)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             n = [counts.count(x) for x in texts]
