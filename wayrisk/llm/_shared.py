@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="wayrisk")
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of an earlier step, once what follows is written."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

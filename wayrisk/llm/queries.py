@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayrisk.llm import license_scan, url_filter
+from wayrisk.llm import centroids, filter_audit, license_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wayrisk.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -90,6 +104,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES = {
@@ -99,4 +116,6 @@ ORACLES = {
 WITH g AS (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1)
 SELECT d.doc_id, g.keep_id, g.group_size, coalesce(d.doc_id = g.keep_id, false) AS kept, sha256(g.t) AS text_sha256
 FROM documents d JOIN g ON coalesce(d.text, '') = g.t""",
+    "op12_filter_audit": filter_audit.oracle(),
+    "op13_centroids": centroids.oracle(),
 }
