@@ -10,16 +10,17 @@ The signature is split into 12 chunks of 4 symbols. By pigeonhole, two signature
 have at most ``22 // 12`` = 1 error in some chunk. The allowed errors of a chunk are enumerated: each of its 4
 symbols is left out once, and the other 3 are a key. So every pair under the threshold shares one of 48 keys.
 
-No bucket's pairs are all emitted:
+No bucket's pairs are all compared:
 
-1. Documents with the same words form one class, of which only one member goes on.
+1. Documents with the same words form one class, named by a number of its own, of which only one member goes on.
 2. Each member of a bucket is compared with the bucket's representative only, the member that shares most keys
    with others; verified links give components.
-3. In buckets that still hold several components, members of different ones are held against each other, once for
-   each pair, by an exact bound that needs no text: each class has a bitmap of its shingles, and two sets differ
-   in at least as many shingles as their bitmaps in bits. Only pairs that the bound leaves and that are near in signature
-   come out. A pair that is no link comes out only if its similarity is close to the limit, so a family of
-   texts about one passage doesn't emit its pairs, and no link between components is lost.
+3. The classes of buckets that still hold several components are open, and split by rare shingles. With all shingles in one order, rarest first,
+   two sets m <= n of similarity p share a shingle among the first m - 2pm/(1 + p) + 1 of the one and n - pn + 1 of the other. So an
+   open class is a row for each shingle of its beginning that others have, and only classes of different components that meet in one are compared, by size,
+   signature and a bitmap of their shingles: two sets differ in at least as many shingles as their bitmaps in bits. Texts of one family that
+   are no links have more shingles of their own than such a beginning holds, and don't meet; whatever the order, no link is lost.
+   Rarity comes from a table of ``PLACES`` counters over the open classes' shingles, whose size doesn't grow.
 
 Every link is confirmed on the full sets. Those are made once for each class that shares a key; pairs are
 joined to them on either side, which adaptive execution splits where a representative has many pairs.
@@ -27,8 +28,8 @@ Components come from label propagation with pointer jumping over DataFrames; no
 
 Defined results: null and empty texts and texts without words have an empty set and no links; shorter
 texts have their whole sequence of words as their only shingle; rows with a null id have no links and
-aren't kept (``keep_one`` names them by their text instead); rows that repeat id and text get the same result (an id should name one text:
-of several, one stands for the id in links); an empty table gives an empty
+aren't kept (``keep_one`` names rows by id and text, null ids last, so that they have links there); rows that repeat id and text get the same result;
+an id on several texts has all links of each, and a row's component is that of its own text; an empty table gives an empty
 result; other columns, whatever their names, pass through ``keep_one``.
 """
 
@@ -53,6 +54,8 @@ ERRORS = APART // (SYMBOLS // CHUNK)
 #: 64-bit words of a class's bitmap.
 MAP_WORDS = 16
 _MEMO = WordHash()
+#: Counters of how often shingles occur.
+PLACES = 1 << 20
 #: Shingles that are hashed at once.
 _PART = 32_768
 _rng = np.random.default_rng(20240131)
@@ -122,13 +125,6 @@ def _keys(sig: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(k), *(sig[i] for i in c if i != k)) for c in chunks for k in c))
 
 
-def _agreed_key(a: Column, b: Column) -> Column:
-    """The first place among the keys of two signatures that they share."""
-    chunk = lambda j: F.sequence(j - j % CHUNK, j - j % CHUNK + (CHUNK - 1))
-    same = lambda j: F.forall(chunk(j), lambda i: (i == j) | (F.get(a, i) == F.get(b, i)))
-    return F.array_min(F.filter(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), same))
-
-
 def _alike(a: str, b: str) -> Column:
     """Sets that may be similar, by size and bitmap, and signatures within ``APART``.
 
@@ -179,10 +175,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, at, id): the keys that several classes have; ``at`` is the key's place."""
-    each = classes.select("id", F.posexplode(_keys(F.col("sig"))).alias("at", "key"))
+    """(key, id): the keys that several classes have."""
+    each = classes.select("id", F.explode(_keys(F.col("sig"))).alias("key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    return checkpoint(each.join(often.select("key"), "key").select("key", "at", "id"))
+    return checkpoint(each.join(often.select("key"), "key").select("key", "id"))
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
@@ -193,15 +189,84 @@ def _stars(keyed: DataFrame) -> DataFrame:
     return star.select(F.least("h", "id").alias("a"), F.greatest("h", "id").alias("b")).distinct()
 
 
-def _between(keyed: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are alike, of different components in a bucket, each once; ``named`` has id, label, n, sig, bits."""
-    members = keyed.join(named.select("id", "label"), "id")
+def _open(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label): the classes of buckets that hold several components; ``labels`` has id and label, where it isn't the id."""
+    members = keyed.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    full = checkpoint(members.drop("label").join(mixed, "key").join(named, "id"))
-    side = lambda p: full.select("key", *(F.col(c).alias(p + c) for c in ("at", "id", "label", "n", "sig", "bits")))
-    pairs = side("a").join(side("b"), "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b"))
-    first = pairs.where(_agreed_key(F.col("asig"), F.col("bsig")) == F.col("aat"))
-    return checkpoint(first.select(F.col("aid").alias("a"), F.col("bid").alias("b")))
+    return checkpoint(members.join(mixed, "key", "left_semi").select("id", "label").distinct())
+
+
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(PLACES)).astype(np.int64)
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets`` fall on each place: ``PLACES`` counters."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(PLACES, np.int64)
+        for b in batches:
+            for s in b.column(0):
+                np.add.at(counts, _place(np.frombuffer(s.as_buffer(), np.uint64)), 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["place", "n"])
+
+    counted_rows = sets.select("set").mapInArrow(counted, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    rarity = np.zeros(PLACES, np.int64)
+    rarity[counted_rows["place"].to_numpy()] = counted_rows["n"].to_numpy()
+    return np.minimum(rarity, np.iinfo(np.uint32).max).astype(np.uint32)
+
+
+def _beginnings(sets: DataFrame) -> DataFrame:
+    """(token, band, id, label, n, small): the rare beginnings of ``sets`` (id, label, set), but for shingles that one class has alone.
+
+    ``band`` is the size's power of a little more than 100 / P; a larger partner is in the same band or the next.
+    """
+    rarity = _rarity(sets)
+    wide = float(np.log(100 / PERCENT + 0.01))
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tokens, rows, sizes, small = [], [], [], []
+            for i, s in enumerate(b.column(2)):
+                h = np.frombuffer(s.as_buffer(), np.uint64)
+                n = len(h)
+                often = rarity[_place(h)]
+                first = np.lexsort((h, often))[: n - -(-PERCENT * n // 100) + 1]
+                near = np.arange(len(first)) <= n - -(-2 * PERCENT * n // (100 + PERCENT))
+                shared = often[first] > 1
+                tokens.append(h[first][shared].view(np.int64))
+                small.append(near[shared])
+                rows.append(np.full(len(tokens[-1]), i))
+                sizes.append(np.full(len(tokens[-1]), n, np.int64))
+            at, n = np.concatenate(rows), np.concatenate(sizes)
+            columns = [pa.array(np.concatenate(tokens)), pa.array((np.log(n) / wide).astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(n), pa.array(np.concatenate(small))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "band", "id", "label", "n", "small"])
+
+    return sets.select("id", "label", "set").mapInArrow(begun, "token bigint, band int, id bigint, label bigint, n bigint, small boolean")
+
+
+def _met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Beginnings as (smaller, larger) sides that meet on token and band; only tokens of several components."""
+    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    rows = checkpoint(rows.join(several, "token", "left_semi"))
+    side = lambda df, p: df.select("token", "band", *(F.col(c).alias(p + c) for c in ("id", "label", "n")))
+    return side(rows.where("small"), "a"), side(rows.withColumn("band", F.explode(F.array("band", F.col("band") - 1))), "b")
+
+
+def _between(keyed: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are alike, of different components of a bucket, each once."""
+    smaller, larger = _met(_beginnings(sets.join(_open(keyed, labels), "id")))
+    fits = f"alabel <> blabel and (an < bn or an = bn and aid < bid) and an * 100 >= bn * {PERCENT}"
+    pairs = smaller.join(larger, ["token", "band"]).where(fits).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+    return checkpoint(_alike_pairs(pairs, classes))
+
+
+def _alike_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    of = lambda p: classes.select(F.col("id").alias(p), *(F.col(c).alias(p + c) for c in ("n", "sig", "bits")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_alike("a", "b")).select("a", "b")
 
 
 def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -211,37 +276,38 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     signed = checkpoint(source.mapInArrow(_signed, f"doc_id {kind}, n bigint, digest binary, sig array<smallint>, bits array<bigint>"))
 
     members = signed.where("digest is not null and doc_id is not null")
-    ids = members.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    classes = checkpoint(members.withColumnRenamed("doc_id", "id").join(ids, ["digest", "id"], "left_semi").dropDuplicates(["id"]))
+    firsts = members.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    one = members.withColumnRenamed("doc_id", "first").join(firsts, ["digest", "first"], "left_semi").dropDuplicates(["digest"])
+    classes = checkpoint(one.withColumn("id", F.monotonically_increasing_id()))  # numbers are fixed by the checkpoint
     keyed = _shared_keys(classes)
     classes = checkpoint(classes.join(keyed.select("id").distinct(), "id", "left_semi"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remember("near", _MEMO)
         for b in batches:
-            words = [words_of(t) for t in b.column(1).to_pylist()]
-            arrays = [b.column(0), pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([_set_of(w).tobytes() for w in words], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "digest", "set"])
+            words = [words_of(t) for t in b.column(0).to_pylist()]
+            arrays = [pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()), pa.array([_set_of(w).tobytes() for w in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["digest", "set"])
 
-    sets = source.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(full_sets, f"id {kind}, digest binary, set binary")
-    sets = checkpoint(sets.join(classes.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).select("id", "set"))
+    # the texts of the ids that stand for classes; of several texts of an id, the digests choose
+    of_id = source.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select("text")
+    sets = of_id.mapInArrow(full_sets, "digest binary, set binary").join(classes.select("digest", "id"), "digest")
+    sets = checkpoint(sets.dropDuplicates(["id"]).select("id", "set"))
 
     # Every member of a bucket against its representative.
-    of = lambda p: classes.select(F.col("id").alias(p), *(F.col(c).alias(p + c) for c in ("n", "sig", "bits")))
-    star = _stars(keyed).join(of("a"), "a").join(of("b"), "b").where(_alike("a", "b")).select("a", "b")
-    links = checkpoint(_verified(star, sets))
+    links = checkpoint(_verified(_alike_pairs(_stars(keyed), classes), sets))
     labels = components(links)
 
     # Buckets that still hold several components.
-    named = classes.drop("digest").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    between = _between(keyed, checkpoint(named))
+    between = _between(keyed, labels.withColumnRenamed("node", "id"), classes, sets)
     if not between.isEmpty():
         more = checkpoint(_verified(between, sets))
         if not more.isEmpty():
             labels = components(links.union(more))
 
-    by_digest = ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
-    # Two texts of one id belong to that id's smallest component.
+    linked = labels.join(classes.select(F.col("id").alias("node"), "digest", "first"), "node")
+    smallest = linked.groupBy("label").agg(F.min("first").alias("component"))
+    by_digest = firsts.join(linked.join(smallest, "label").select("digest", "component"), "digest", "left").select("digest", F.coalesce("component", "first").alias("component"))
     out = signed.drop("sig", "bits").join(by_digest, "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
@@ -255,11 +321,10 @@ def group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that ``group`` keeps, with all their columns.
 
-    Rows without an id are named by their text here, after all ids, so that they have links and one of a group stays.
+    Rows are named by id and text here, null ids after all others, so that each text has links of its own and one of a group stays.
     """
     own, mine = F.col(f"`{doc_id}`"), fresh(docs, "kept")
-    name = own
-    if not docs.where(own.isNull()).isEmpty():
-        name = F.struct(own.isNull().alias("none"), own.alias("id"), F.when(own.isNull(), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)).alias("sha"))
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256))
+    name = F.struct(own.isNull().alias("none"), own.alias("id"), sha.alias("sha"))
     kept = group(docs.select(name.alias("name"), F.col(f"`{text}`").alias("text")), "text", "name").where("kept").select(F.col("doc_id").alias(mine)).distinct()
     return docs.join(kept, name == F.col(mine), "left_semi")
