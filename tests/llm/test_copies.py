@@ -64,7 +64,7 @@ def test_near_recall_as_stated():
 
 
 def test_near_keys(spark):
-    """Signatures with the allowed errors share a key however the errors lie."""
+    """Signatures with the allowed errors share a key however the errors lie, and the first one is found from the signatures."""
     rng = random.Random(4)
     rows = []
     for i in range(60):
@@ -75,8 +75,9 @@ def test_near_keys(spark):
         rows.append((i, a, b))
     df = spark.createDataFrame(rows, "i int, a array<int>, b array<int>")
     keys = lambda c: near_dedup._keys(F.col(c)).alias("k" + c)
-    for r in df.select("i", keys("a"), keys("b")).collect():
-        assert any(x == y for x, y in zip(r.ka, r.kb, strict=True)) or r.i % 2 == 0
+    for r in df.select("i", keys("a"), keys("b"), near_dedup._agreed_key(F.col("a"), F.col("b")).alias("first")).collect():
+        same = [k for k, (x, y) in enumerate(zip(r.ka, r.kb, strict=True)) if x == y]
+        assert (same or r.i % 2 == 0) and r.first == (same[0] if same else None)
 
 
 def test_near_bitmaps():
@@ -133,8 +134,10 @@ def test_near_unlinked_family(spark, monkeypatch, own):
     assert pairs + with_head < 50 * n
 
 
-def test_near_open_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 64])
+def test_near_open_buckets(spark, monkeypatch, small):
     """Texts about shared passages in all proportions and sizes, linked and not; no link is lost and comparisons stay few."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]
     rows = []

@@ -15,12 +15,15 @@ No bucket's pairs are all compared:
 1. Documents with the same words form one class, named by a number of its own, of which only one member goes on.
 2. Each member of a bucket is compared with the bucket's representative only, the member that shares most keys
    with others; verified links give components.
-3. The classes of buckets that still hold several components are open, and split by rare shingles. With all shingles in one order, rarest first,
+3. Buckets that still hold several components are open. Up to ``SMALL`` members are held against each other, once for each pair. The members of larger
+   ones are split by rare shingles. With all shingles in one order, rarest first,
    two sets m <= n of similarity p share a shingle among the first m - 2pm/(1 + p) + 1 of the one and n - pn + 1 of the other. So an
-   open class is a row for each shingle of its beginning that others have, and only classes of different components that meet in one are compared, by size,
-   signature and a bitmap of their shingles: two sets differ in at least as many shingles as their bitmaps in bits. Texts of one family that
+   open class is a row for each shingle of its beginning that others have, and only classes that meet in one are compared. Texts of one family that
    are no links have more shingles of their own than such a beginning holds, and don't meet; whatever the order, no link is lost.
-   Rarity comes from a table of ``PLACES`` counters over the open classes' shingles, whose size doesn't grow.
+   Rarity comes from a table of ``PLACES`` counters over these classes' shingles, whose size doesn't grow.
+
+   A pair comes out of either if its classes are of different components and alike by size, signature and a bitmap of their shingles: two sets differ in
+   at least as many shingles as their bitmaps in bits.
 
 Every link is confirmed on the full sets. Those are made once for each class that shares a key; pairs are
 joined to them on either side, which adaptive execution splits where a representative has many pairs.
@@ -54,6 +57,8 @@ ERRORS = APART // (SYMBOLS // CHUNK)
 #: 64-bit words of a class's bitmap.
 MAP_WORDS = 16
 _MEMO = WordHash()
+#: Members of an open bucket that are simply held against each other.
+SMALL = 64
 #: Counters of how often shingles occur.
 PLACES = 1 << 20
 #: Shingles that are hashed at once.
@@ -125,6 +130,13 @@ def _keys(sig: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(k), *(sig[i] for i in c if i != k)) for c in chunks for k in c))
 
 
+def _agreed_key(a: Column, b: Column) -> Column:
+    """The first place among the keys of two signatures that they share."""
+    chunk = lambda j: F.sequence(j - j % CHUNK, j - j % CHUNK + (CHUNK - 1))
+    same = lambda j: F.forall(chunk(j), lambda i: (i == j) | (F.get(a, i) == F.get(b, i)))
+    return F.array_min(F.filter(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), same))
+
+
 def _alike(a: str, b: str) -> Column:
     """Sets that may be similar, by size and bitmap, and signatures within ``APART``.
 
@@ -175,10 +187,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, id): the keys that several classes have."""
-    each = classes.select("id", F.explode(_keys(F.col("sig"))).alias("key"))
+    """(key, at, id): the keys that several classes have; ``at`` is the key's place."""
+    each = classes.select("id", F.posexplode(_keys(F.col("sig"))).alias("at", "key"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    return checkpoint(each.join(often.select("key"), "key").select("key", "id"))
+    return checkpoint(each.join(often.select("key"), "key").select("key", "at", "id"))
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
@@ -190,10 +202,10 @@ def _stars(keyed: DataFrame) -> DataFrame:
 
 
 def _open(keyed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label): the classes of buckets that hold several components; ``labels`` has id and label, where it isn't the id."""
-    members = keyed.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return checkpoint(members.join(mixed, "key", "left_semi").select("id", "label").distinct())
+    """(key, at, id, label, large): members of buckets with several components; ``labels`` has id and label, where it isn't the id."""
+    members = keyed.join(labels, "id", "left").select("key", "at", "id", F.coalesce("label", "id").alias("label"))
+    buckets = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), (F.count(F.lit(1)) > SMALL).alias("large"))
+    return checkpoint(members.join(buckets.where("lo <> hi").select("key", "large"), "key"))
 
 
 def _place(hashes: np.ndarray) -> np.ndarray:
@@ -218,7 +230,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
 
 
 def _beginnings(sets: DataFrame) -> DataFrame:
-    """(token, band, id, label, n, small): the rare beginnings of ``sets`` (id, label, set), but for shingles that one class has alone.
+    """(token, band, place, id, small): the rare beginnings of ``sets`` (id, set), but for shingles that one class has alone.
 
     ``band`` is the size's power of a little more than 100 / P; a larger partner is in the same band or the next.
     """
@@ -229,39 +241,54 @@ def _beginnings(sets: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens, rows, sizes, small = [], [], [], []
-            for i, s in enumerate(b.column(2)):
+            tokens, places, rows, sizes, small = [], [], [], [], []
+            for i, s in enumerate(b.column(1)):
                 h = np.frombuffer(s.as_buffer(), np.uint64)
                 n = len(h)
                 often = rarity[_place(h)]
                 first = np.lexsort((h, often))[: n - -(-PERCENT * n // 100) + 1]
-                near = np.arange(len(first)) <= n - -(-2 * PERCENT * n // (100 + PERCENT))
-                shared = often[first] > 1
+                shared = np.flatnonzero(often[first] > 1)
                 tokens.append(h[first][shared].view(np.int64))
-                small.append(near[shared])
-                rows.append(np.full(len(tokens[-1]), i))
-                sizes.append(np.full(len(tokens[-1]), n, np.int64))
-            at, n = np.concatenate(rows), np.concatenate(sizes)
-            columns = [pa.array(np.concatenate(tokens)), pa.array((np.log(n) / wide).astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(n), pa.array(np.concatenate(small))]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "band", "id", "label", "n", "small"])
+                places.append(shared)
+                small.append(shared <= n - -(-2 * PERCENT * n // (100 + PERCENT)))
+                rows.append(np.full(len(shared), i))
+                sizes.append(np.full(len(shared), n, np.int64))
+            bands = (np.log(np.concatenate(sizes)) / wide).astype(np.int32)
+            ids = b.column(0).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(bands), pa.array(np.concatenate(places)), ids, pa.array(np.concatenate(small))], names=["token", "band", "place", "id", "small"])
+
+    return sets.select("id", "set").mapInArrow(begun, "token bigint, band int, place bigint, id bigint, small boolean")
+
 
-    return sets.select("id", "label", "set").mapInArrow(begun, "token bigint, band int, id bigint, label bigint, n bigint, small boolean")
+def _sides(rows: DataFrame, key: list[str], named: DataFrame) -> list[DataFrame]:
+    """``rows`` twice, with what ``_alike`` and ``_between`` compare, as columns that begin with a and b."""
+    full = rows.join(named, "id")
+    return [full.select(*key, *(F.col(f"`{c}`").alias(p + c) for c in full.columns if c not in key)) for p in "ab"]
 
 
-def _met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _met(rows: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Beginnings as (smaller, larger) sides that meet on token and band; only tokens of several components."""
-    several = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    several = rows.join(named.select("id", "label"), "id").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     rows = checkpoint(rows.join(several, "token", "left_semi"))
-    side = lambda df, p: df.select("token", "band", *(F.col(c).alias(p + c) for c in ("id", "label", "n")))
-    return side(rows.where("small"), "a"), side(rows.withColumn("band", F.explode(F.array("band", F.col("band") - 1))), "b")
+    a, b = _sides(rows, ["token", "band"], named)
+    return a.where("asmall"), b.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
 
 
 def _between(keyed: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are alike, of different components of a bucket, each once."""
-    smaller, larger = _met(_beginnings(sets.join(_open(keyed, labels), "id")))
-    fits = f"alabel <> blabel and (an < bn or an = bn and aid < bid) and an * 100 >= bn * {PERCENT}"
-    pairs = smaller.join(larger, ["token", "band"]).where(fits).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
-    return checkpoint(_alike_pairs(pairs, classes))
+    """Pairs (a, b) that are alike, of different components in a bucket; ``classes`` has id, n, sig, bits."""
+    members = _open(keyed, labels)
+    named = classes.select("id", "n", "sig", "bits").join(members.select("id", "label").distinct(), "id")
+    few, many = members.where("not large").drop("label", "large"), members.where("large").select("id").distinct()
+
+    a, b = _sides(few, ["key"], named)
+    once = _agreed_key(F.col("asig"), F.col("bsig")) == F.col("aat")
+    pairs = a.join(b, "key").where(F.expr("aid < bid and alabel <> blabel") & _alike("a", "b")).where(once).select("aid", "bid")
+
+    # from a place on, and that is where two sets first meet, they can share no more than what is left of either
+    smaller, larger = _met(_beginnings(sets.join(many, "id")), named)
+    fits = f"alabel <> blabel and (an < bn or an = bn and aid < bid) and least(an - aplace, bn - bplace) * (100 + {PERCENT}) >= (an + bn) * {PERCENT}"
+    met = smaller.join(larger, ["token", "band"]).where(F.expr(fits) & _alike("a", "b")).select("aid", "bid")
+    return checkpoint(pairs.unionByName(met).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct())
 
 
 def _alike_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
