@@ -15,6 +15,7 @@ from wayrisk.operators import aggregates as agg
 from wayrisk.operators.cut import cut
 from wayrisk.operators.joins import ROUTE, events_near, route_zones
 from wayrisk.operators.routes import base_routes, points_of, routes
+from wayrisk.operators.sea import over_lanes, sea_routes
 from wayrisk.sources.dimensions import MODES, zones
 from wayrisk.sources.sinks import without_source
 
@@ -113,14 +114,19 @@ def mode_events(near: DataFrame, limit: int = 5, keys: list[str] = ROUTE) -> Dat
     return n.groupBy(*keys).agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
-def multi_mode(requests: DataFrame, events: DataFrame, now: Column, modes: list[str] = MODES, settings: Settings | None = None, payload: bool = False) -> DataFrame:
+def multi_mode(requests: DataFrame, events: DataFrame, now: Column, modes: list[str] = MODES, settings: Settings | None = None, payload: bool = False, lanes: DataFrame | None = None) -> DataFrame:
     """One row per route and mode (Q3, Q4; Q5 with one mode): risks, band, message, distance and counts.
 
+    Routes by sea follow ``lanes`` (lane_id, idx, lat, lon) where these are given and join both ends, else the arc.
+
     A mode without a route (an end that isn't known) has status UNKNOWN and no scores, so it is never recommended.
     With ``payload``, also the nearest events.
     """
     settings = settings or Settings()
-    r = cut(routes(requests, modes))  # a few dozen points of each route, used four times (R9)
+    found = routes(requests, modes)
+    if lanes is not None and "sea" in modes:
+        found = over_lanes(found, sea_routes(requests, lanes))
+    r = cut(found)  # a few dozen points of each route, used four times (R9)
     near = cut(near_events(r, events, settings))  # a few hundred events of each route
     out = r.select(*ROUTE, F.col("km").alias("route_km")).join(agg.route_risk(agg.features(near, now)), ROUTE, "left").join(agg.corroboration(near), ROUTE, "left")
     if settings.use_zones:

@@ -90,6 +90,29 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(k.alias("route_id"), lat(k).alias("olat"), lon(k).alias("olon"), lat(d).alias("dlat"), lon(d).alias("dlon"))
 
 
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lane_id, idx, lat, lon): lanes between the ports of nations, one to the next nation and one to the fifth after, each with a few points between.
+
+    The last two nations have no port.
+    """
+    k = F.col("n_nationkey").cast("long")
+    n = table(spark, sf_dir, "nation").where(k < 23).select(k.alias("k"), F.explode(F.array(F.lit(1), F.lit(5))).alias("far"))
+    to = F.pmod(F.col("k") + F.col("far"), F.lit(23))
+    lat, lon = lambda x: ((x * 37) % 120 - 50).cast("double"), lambda x: ((x * 73) % 340 - 170).cast("double")
+    n = n.select((F.col("k") * 10 + F.col("far")).alias("lane_id"), *(f(x).alias(name) for name, f, x in (("a", lat, F.col("k")), ("b", lon, F.col("k")), ("c", lat, to), ("d", lon, to))), (F.col("k") % 4 + 2).alias("n"))
+    p = n.select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("idx"))
+    t = F.col("idx") / F.col("n")
+    return p.select("lane_id", "idx", (F.col("a") + (F.col("c") - F.col("a")) * t).alias("lat"), (F.col("b") + (F.col("d") - F.col("b")) * t).alias("lon"))
+
+
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route for each supplier, from half a degree off its nation's port to another nation's."""
+    k, i = F.col("s_nationkey").cast("long"), F.col("s_suppkey").cast("long")
+    d = (k + i % 24 + 1) % 25
+    lat, lon = lambda x: ((x * 37) % 120 - 50).cast("double"), lambda x: ((x * 73) % 340 - 170).cast("double")
+    return table(spark, sf_dir, "supplier").select(i.alias("route_id"), (lat(k) + 0.5).alias("olat"), (lon(k) + 0.25).alias("olon"), (lat(d) - 0.25).alias("dlat"), (lon(d) + 0.5).alias("dlon"))
+
+
 def plain(text: Column) -> Column:
     """Other than printable ASCII becomes a space, so that all regex engines agree on word boundaries."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[^ -~]", " ")

@@ -160,6 +160,34 @@ SELECT doc_id, {cols}, round(greatest(0.0, least(1.0, {parts})), 5) AS intensity
 _STOP = ", ".join(_text(w) for w in D.STOPWORDS)
 _ROUTED = f"WITH RECURSIVE {_routes()}"
 
+def _sea() -> str:
+    """Shortest paths over the lanes between ports: as many rounds as a path can have lanes, all pairs of ports in each."""
+    lat, lon = (lambda x: f"(({x} * 37) % 120 - 50)::DOUBLE"), (lambda x: f"(({x} * 73) % 340 - 170)::DOUBLE")
+    out = f"""WITH ports AS MATERIALIZED (SELECT n_nationkey::BIGINT AS k, {lat('n_nationkey')} AS lat, {lon('n_nationkey')} AS lon FROM nation WHERE n_nationkey < 23),
+lane AS (SELECT a.k * 10 + far AS lane_id, a.k AS a, b.k AS b, a.k % 4 + 2 AS n, a.lat AS a1, a.lon AS o1, b.lat AS a2, b.lon AS o2 FROM ports a, (SELECT unnest([1, 5]) AS far), ports b WHERE b.k = (a.k + far) % 23),
+pt AS (SELECT *, a1 + (a2 - a1) * (i / n::DOUBLE) AS lat, o1 + (o2 - o1) * (i / n::DOUBLE) AS lon FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM lane)),
+sg AS (SELECT *, lag(lat) OVER w AS pa, lag(lon) OVER w AS po FROM pt WINDOW w AS (PARTITION BY lane_id ORDER BY i)),
+wt AS (SELECT lane_id, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, sum({_hav('pa', 'po', 'lat', 'lon')}) AS w FROM sg GROUP BY lane_id),
+ed AS MATERIALIZED (SELECT a, b, lane_id, n, w FROM wt UNION ALL SELECT b, a, lane_id, n, w FROM wt),
+d0 AS (SELECT k AS s, k AS t, 0.0::DOUBLE AS km, [k] AS via, 0::BIGINT AS n, []::BIGINT[] AS lanes FROM ports)"""
+    for r in range(22):
+        out += f""",
+d{r + 1} AS MATERIALIZED (SELECT s, t, m.km AS km, m.via AS via, m.n AS n, m.lanes AS lanes FROM (SELECT s, t, min({{'km': km, 'hops': len(lanes), 'lanes': lanes, 'via': via, 'n': n}}) AS m
+  FROM (SELECT s, t, km, via, n, lanes FROM d{r} UNION ALL SELECT d.s, e.b, d.km + e.w, list_append(d.via, e.b), d.n + e.n, list_append(d.lanes, e.lane_id) FROM d{r} d JOIN ed e ON d.t = e.a) GROUP BY s, t))"""
+    return (
+        out
+        + f""",
+rq AS (SELECT s_suppkey::BIGINT AS route_id, {lat('k')} + 0.5 AS olat, {lon('k')} + 0.25 AS olon, {lat('d')} - 0.25 AS dlat, {lon('d')} + 0.5 AS dlon FROM (SELECT s_suppkey, s_nationkey AS k, (s_nationkey + s_suppkey % 24 + 1) % 25 AS d FROM supplier)),
+en AS (SELECT DISTINCT olat AS lat, olon AS lon FROM rq UNION SELECT dlat, dlon FROM rq),
+sn AS (SELECT e.lat, e.lon, min({{'km': {_hav('e.lat', 'e.lon', 'p.lat', 'p.lon')}, 'k': p.k}}) AS m FROM en e, ports p WHERE {_hav('e.lat', 'e.lon', 'p.lat', 'p.lon')} <= 300 GROUP BY e.lat, e.lon),
+fd AS (SELECT rq.*, o.m.km + d22.km + t.m.km AS km, d22.n + 3 AS n, d22.lanes[1] AS lane, d22.s, o.m.k AS ok FROM rq JOIN sn o ON o.lat = olat AND o.lon = olon JOIN sn t ON t.lat = dlat AND t.lon = dlon JOIN d22 ON d22.s = o.m.k AND d22.t = t.m.k WHERE o.m.k <> t.m.k)
+SELECT route_id, round(fd.km, 1) AS km, least(fd.n, 20)::BIGINT AS n_points,
+  round(CASE WHEN fd.n <= 20 THEN p.lat ELSE u.lat END, 3) AS second_lat, round(CASE WHEN fd.n <= 20 THEN p.lon ELSE u.lon END, 3) AS second_lon, round(dlat, 3) AS last_lat, round(dlon, 3) AS last_lon
+FROM fd JOIN ports p ON p.k = fd.ok
+LEFT JOIN pt u ON u.lane_id = fd.lane AND u.i = CASE WHEN u.a = fd.ok THEN CAST(round_even((fd.n - 1) / 19.0::DOUBLE, 0) AS BIGINT) - 1 ELSE u.n - CAST(round_even((fd.n - 1) / 19.0::DOUBLE, 0) AS BIGINT) + 1 END"""
+    )
+
+
 ORACLES = {
     "zone_event_risk": f"WITH {_EV}, {_ZONES}, {_HITS}, z AS (SELECT event_id, round(least(max(base_risk) + least(0.20, (count(*) - 1) * 0.05), 0.95), 4) AS zone_risk, count(*) AS n_zones FROM hits GROUP BY event_id) SELECT *, {_BAND.format('zone_risk')} AS band FROM z",
     "event_zone_containment": f"WITH {_EV}, {_ZONES}, {_HITS} SELECT ev.event_id, coalesce(h.zones, '') AS zones FROM ev LEFT JOIN (SELECT event_id, string_agg(zone, '; ' ORDER BY round(d, 1), zone_ord) AS zones FROM hits GROUP BY event_id) h USING (event_id)",
@@ -241,5 +269,6 @@ g AS (SELECT *, lag(lat) OVER (PARTITION BY route_id ORDER BY j) AS a, lag(lon)
 t AS (SELECT route_id, round(sum({_hav('a', 'b', 'lat', 'lon')}), 1) AS km FROM g GROUP BY route_id),
 s AS (SELECT route_id, j AS idx, j AS at FROM q WHERE n <= 20 UNION ALL SELECT route_id, i, CAST(round_even(i * ((n - 1) / 19.0::DOUBLE), 0) AS BIGINT) FROM (SELECT DISTINCT route_id, n, unnest(range(0, 20)) AS i FROM (SELECT DISTINCT route_id, n FROM q WHERE n > 20)))
 SELECT s.route_id, t.km, s.idx, q.lat, q.lon FROM s JOIN q ON q.route_id = s.route_id AND q.j = s.at JOIN t ON t.route_id = s.route_id""",
+    "sea_routes": _sea(),
     "backoff_seconds": "SELECT event_id, round(greatest(0.5, least(2.0 * power(2.0, event_id % 9) * (1 + 0.5 * ((event_id % 21) / 10.0::DOUBLE - 1)), 300.0)), 6) AS seconds FROM events",
 }

@@ -13,6 +13,7 @@ from wayrisk.operators import aggregates as agg
 from wayrisk.operators import clusters, state
 from wayrisk.operators.joins import ROUTE, events_near, event_zones, route_zones, zone_hits
 from wayrisk.operators.routes import evenly_sampled, lane_routes, nearest_hub, points_of, routes, sampled
+from wayrisk.operators.sea import sea_routes as by_sea
 from wayrisk.plans import analysis, domain, ingest, learned
 from wayrisk.plans.domain import now
 from wayrisk.sources import dimensions as D
@@ -427,6 +428,19 @@ def sea_lanes(s: SparkSession, d: str) -> DataFrame:
     return lane_routes(lanes).select("route_id", "km", F.posexplode("points").alias("idx", "p")).select("route_id", "km", F.col("idx").cast("long").alias("idx"), "p.lat", "p.lon")
 
 
+@query
+def sea_routes(s: SparkSession, d: str) -> DataFrame:
+    """The shortest ways of shipments over the lanes between ports, where lanes join their ends."""
+    r = by_sea(domain.shipments(s, d), domain.lanes(s, d))
+    return r.select("route_id", "km", F.size("points").cast("long").alias("n_points"), *(F.round(F.element_at("points", k)[x], 3).alias(name + x) for name, k in (("second_", 2), ("last_", -1)) for x in ("lat", "lon")))
+
+
+@query
+def sea_lane_risk(s: SparkSession, d: str) -> DataFrame:
+    """Risk of each nation's route by sea over lanes, beside the other modes."""
+    return analysis.multi_mode(domain.requests(s, d), domain.events(s, d), now(), lanes=domain.lanes(s, d)).select("route_id", "mode", "route_km", "status", "alerts", "n_zones")
+
+
 @query
 def backoff_seconds(s: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id")
