@@ -83,7 +83,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     while not live.isEmpty():
         heads = live.select(F.col("a").alias("n")).distinct().join(live.select(F.col("b").alias("n")), "n", "left_anti")
         new = cut(live.join(heads.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct())
-        members = cut(members.union(new))
+        members = members.union(new)
         gone = lambda c: new.withColumnRenamed("n", c)  # noqa: B023, E731
         live = live.join(heads.withColumnRenamed("n", "a"), "a", "left_anti").join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti")
         live = cut(live.select("a", "b"))
@@ -91,22 +91,33 @@ def clusters(docs: DataFrame) -> DataFrame:
     return docs.join(of, "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
 
 
-def merge(clustered: DataFrame) -> DataFrame:
-    """One row per cluster (A8, A9): the longest report with the cluster's publishers, urls, time, intensity and corroboration."""
-    ordered = lambda value: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.coalesce(value, F.lit("")) != "", F.struct("ord", value.alias("v"))))), lambda x: x["v"]))
-    base = [c for c in ("label_confidence",) if c in clustered.columns]
+def _firsts(clustered: DataFrame, column: str, out: str) -> DataFrame:
+    """(cluster, out): the distinct values of a column, in the order of the first report that has each; empty ones are none.
+
+    A value's first report is found before values are collected, so that a list is as long as a cluster's distinct values, not its reports.
+    """
+    first = clustered.where(F.coalesce(column, F.lit("")) != "").groupBy("cluster", column).agg(F.min("ord").alias("first"))
+    return first.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(column).alias("v")))), lambda x: x["v"]).alias(out))
+
+
+def merge(clustered: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """One row per cluster (A8, A9): the longest report with the cluster's publishers, urls, time, intensity and corroboration.
+
+    ``carried`` names further columns that the longest report's values are taken of.
+    """
+    base = carried if carried is not None else [c for c in ("label_confidence",) if c in clustered.columns]
     longest = F.min_by(F.struct(*base, "raw_text", "lat", "lon", "label", "image_url", "source"), F.struct(-F.length("raw_text"), "ord")).alias("base")
     g = clustered.groupBy("cluster").agg(
         longest,
         F.count(F.lit(1)).alias("cluster_size"),
-        ordered(F.col("publisher")).alias("publishers"),
-        ordered(F.col("source_url")).alias("source_urls"),
-        ordered(F.col("image_url")).alias("images"),
         F.sort_array(F.collect_set(F.lower(F.substring("raw_text", 1, 120)))).alias("heads"),
         F.max("published_at").alias("latest_source_at"),
         F.avg(F.when(F.col("intensity_score") > 0, F.col("intensity_score"))).alias("intensity"),
         F.avg(F.when(F.col("credibility_score") > 0, F.col("credibility_score"))).alias("credibility"),
     )
+    none = F.array().cast("array<string>")
+    for column, out in (("publisher", "publishers"), ("source_url", "source_urls"), ("image_url", "images")):
+        g = g.join(_firsts(clustered, column, out), "cluster", "left").withColumn(out, F.coalesce(out, none))
     urls = F.when(F.size("source_urls") > 0, F.array_sort("source_urls")).otherwise(F.col("heads"))
     count = F.greatest(F.lit(1), F.when(F.size("publishers") > 0, F.size("publishers")).when(F.size("source_urls") > 0, F.size("source_urls")).otherwise(F.col("cluster_size")))
     credibility = F.coalesce("credibility", F.lit(0.0))
@@ -120,9 +131,9 @@ def merge(clustered: DataFrame) -> DataFrame:
     )
 
 
-def cluster_incidents(docs: DataFrame) -> DataFrame:
+def cluster_incidents(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Incidents of reports (ord, raw_text, label, lat, lon, published_at, publisher, source_url, image_url, source, intensity_score, credibility_score)."""
-    return merge(clusters(docs))
+    return merge(cut(clusters(docs)), carried)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

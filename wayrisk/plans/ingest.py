@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wayrisk.functions import text as T
@@ -15,6 +15,7 @@ from wayrisk.operators.joins import event_zones
 from wayrisk.plans import learned
 from wayrisk.plans.analysis import geocode
 from wayrisk.sources.dimensions import PLACES
+from wayrisk.sources.sinks import insert_absent
 
 
 def annotate(events: DataFrame, text: str = "text", places: list[str] = PLACES, model: PipelineModel | None = None) -> DataFrame:
@@ -32,43 +33,122 @@ def annotate(events: DataFrame, text: str = "text", places: list[str] = PLACES,
     return e.drop("c", "found")
 
 
-def enrich(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES, model: PipelineModel | None = None) -> DataFrame:
-    """Valid, verified, relevant, annotated, located and zoned events (L2; P1, F12, P2, L1, P3, R10, P6, J2).
+class Counts:
+    """What one run of a cycle counted on its way, without a job of its own.
 
-    Annotated events are computed once: texts are classified and read for places only there.
+    Each step's rows are observed as they pass. A count that an executor's loss makes Spark repeat may be too high; the store isn't.
     """
-    e = raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now) & T.relevant(F.col("text")))
-    e = e.withColumns({"tagged": T.geo_tag(F.col("text")), "v": T.verify(F.col("source_url"), F.col("publisher"))})
-    e = cut(annotate(e, "text", places, model)).where(T.still_relevant(F.col("label"), F.col("label_confidence")))
+
+    #: Sources that are counted apart; the others are one.
+    SOURCES = ("gdelt", "rss", "newsapi", "gnews", "seed")
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+        self.errors = 0
+
+    def watch(self, step: str, df: DataFrame, **counts: Column) -> DataFrame:
+        self._seen[step] = Observation(step)
+        return df.observe(self._seen[step], *(c.alias(k) for k, c in counts.items()))
+
+    def rows(self) -> dict[str, int]:
+        """The counts by name; what a step that didn't run would count is 0. Ask once the cycle is written."""
+        n = {k: v or 0 for o in self._seen.values() for k, v in o.get.items()}
+        of = lambda k: n.get(k, 0)
+        steps = {"irrelevant": of("fetched") - of("relevant"), "judged_safe": of("relevant") - of("judged"), "without_place": of("judged") - of("enriched")}
+        merged = {"clustered_from": of("enriched"), "clustered_to": of("clustered_to"), "duplicates_merged": max(0, of("enriched") - of("clustered_to"))}
+        sources = {k: v for k, v in n.items() if k.startswith("source_") and v}
+        return {"fetched": of("fetched"), "enriched": of("enriched"), "written": of("written"), "skipped": sum(steps.values()), "errors": self.errors, **{f"skipped_{k}": v for k, v in steps.items()}, **merged, **sources}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(metric, n)."""
+        return spark.createDataFrame(sorted(self.rows().items()), "metric string, n bigint")
+
+
+def _all() -> Column:
+    return F.count(F.lit(1))
+
+
+def _fetched(valid: DataFrame, counts: Counts) -> DataFrame:
+    source = F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown"))
+    by = {f"source_{x}": F.count_if(source == x) for x in counts.SOURCES}
+    other = F.count_if(~source.isin(*counts.SOURCES))
+    return counts.watch("fetched", valid, fetched=_all(), relevant=F.count_if(T.relevant(F.col("text"))), source_other=other, **by)
+
+
+def _placed(e: DataFrame, gazetteer: DataFrame, counts: Counts | None = None) -> DataFrame:
+    """Annotated events with the column ``tagged``, at their coordinates; those without any go."""
     # the first of up to three normalised names that the gazetteer knows
     names = e.where("tagged is null").select("event_id", F.posexplode(F.slice(normalize_places("location_names"), 1, 3)).alias("i", "name"))
     known = geocode(names, gazetteer).where("glat is not null").groupBy("event_id").agg(F.min_by(F.struct("glat", "glon"), "i").alias("g"))
     e = e.join(known, "event_id", "left").withColumn("at", T.located(F.col("lat"), F.col("lon"), F.col("tagged"), F.col("g.glat"), F.col("g.glon")))
-    e = e.where(F.col("at").isNotNull()).withColumns({"lat": F.col("at.lat"), "lon": F.col("at.lon"), "credibility_score": F.col("v.credibility_score"), "credibility_tier": F.col("v.credibility_tier"), "domain": F.col("v.domain")})
-    return event_zones(e.drop("at", "g", "v", "tagged"))
+    if counts:
+        e = counts.watch("placed", e, judged=_all(), enriched=F.count("at"))
+    return e.where(F.col("at").isNotNull()).withColumns({"lat": F.col("at.lat"), "lon": F.col("at.lon")}).drop("at", "g", "tagged")
+
+
+def enrich(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES, model: PipelineModel | None = None, counts: Counts | None = None) -> DataFrame:
+    """Valid, verified, relevant, annotated, located and zoned events (L2; P1, F12, P2, L1, P3, R10, P6, J2).
+
+    Annotated events are computed once: texts are classified and read for places only there.
+    """
+    valid = raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now))
+    if counts:
+        valid = _fetched(valid, counts)
+    e = valid.where(T.relevant(F.col("text")))
+    e = e.withColumns({"tagged": T.geo_tag(F.col("text")), "v": T.verify(F.col("source_url"), F.col("publisher"))})
+    e = cut(annotate(e, "text", places, model)).where(T.still_relevant(F.col("label"), F.col("label_confidence")))
+    e = _placed(e, gazetteer, counts)
+    return event_zones(e.withColumns({"credibility_score": F.col("v.credibility_score"), "credibility_tier": F.col("v.credibility_tier"), "domain": F.col("v.domain")}).drop("v"))
+
+
+#: What an incident takes over from the report that stands for it, besides what merging needs.
+CARRIED = ["label_confidence", "label_scores", "location_names", "intensity_explanation", "intensity_method", "country_code", "credibility_tier", "domain"]
+
 
+def incidents(enriched: DataFrame, now: Column, counts: Counts | None = None) -> DataFrame:
+    """Enriched events of one cycle as incidents with all stored fields; by source and id, the first report heads an incident.
 
-def incidents(enriched: DataFrame, now: Column) -> DataFrame:
-    """Enriched events of one cycle as incidents that can be stored; by source and id, the first report heads an incident."""
+    An incident has its longest report's text, place, label, scores, explanation, place names, country, tier and domain; ``retrieved_at`` and
+    ``ingested_at`` are the cycle's time.
+    """
     e = cut(enriched.withColumn("ord", F.struct("source", "event_id")).withColumnRenamed("text", "raw_text"))
-    e = e.select("ord", "raw_text", "label", "label_confidence", "lat", "lon", "published_at", "publisher", "source_url", "image_url", "source", "intensity_score", "credibility_score")
-    out = event_zones(cluster_incidents(e))
-    return out.withColumns({"event_id": F.col("canonical_event_id"), "published_at": F.col("latest_source_at"), "ingested_at": now, "schema_version": F.lit("2")}).drop("cluster")
+    e = e.select("ord", "raw_text", "label", "lat", "lon", "published_at", "publisher", "source_url", "image_url", "source", "intensity_score", "credibility_score", *CARRIED)
+    out = event_zones(cluster_incidents(e, CARRIED))
+    if counts:
+        out = counts.watch("clustered", out, clustered_to=_all())
+    stored = {"event_id": F.col("canonical_event_id"), "published_at": F.col("latest_source_at"), "ingested_at": now, "retrieved_at": now, "classification_method": F.lit("heuristic"), "ner_method": F.lit("regex"), "schema_version": F.lit("5")}
+    return out.withColumns(stored).drop("cluster")
+
+
+def cycle(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES, model: PipelineModel | None = None, counts: Counts | None = None) -> DataFrame:
+    """Incidents of one cycle of raw events, ready to be stored (Q6, T2); ``counts`` takes down what each step passed on."""
+    return incidents(enrich(raw, now, gazetteer, places, model, counts), now, counts)
+
 
+def store_cycle(raw: DataFrame, store: str, now: Column, gazetteer: DataFrame, metrics: str | None = None) -> Counts:
+    """Run one cycle into the store and give its counts; with ``metrics``, append them there as (at, metric, n).
 
-def cycle(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES, model: PipelineModel | None = None) -> DataFrame:
-    """Incidents of one cycle of raw events, ready to be stored."""
-    return incidents(enrich(raw, now, gazetteer, places, model), now)
+    If the write fails, the incidents that weren't written count as errors and the failure goes on.
+    """
+    counts = Counts()
+    found = cut(cycle(raw, now, gazetteer, counts=counts))
+    try:
+        insert_absent(found, store, watch=lambda rows: counts.watch("written", rows, written=_all()))
+    except Exception:
+        counts._seen.pop("written", None)
+        counts.errors = counts.rows()["clustered_to"]
+        raise
+    finally:
+        if metrics:
+            counts.table(raw.sparkSession).select(now.alias("at"), "metric", "n").write.mode("append").parquet(metrics)
+    return counts
 
 
 def legacy_cycle(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str] = PLACES) -> DataFrame:
     """The older cycle over one feed (K2): valid events are annotated and located, but neither filtered by relevance nor clustered."""
-    e = cut(annotate(raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now)).withColumn("tagged", T.geo_tag(F.col("text"))), "text", places))
-    names = e.where("tagged is null").select("event_id", F.posexplode(F.slice(normalize_places("location_names"), 1, 3)).alias("i", "name"))
-    known = geocode(names, gazetteer).where("glat is not null").groupBy("event_id").agg(F.min_by(F.struct("glat", "glon"), "i").alias("g"))
-    e = e.join(known, "event_id", "left").withColumn("at", T.located(F.col("lat"), F.col("lon"), F.col("tagged"), F.col("g.glat"), F.col("g.glon")))
-    e = e.where(F.col("at").isNotNull()).withColumns({"lat": F.col("at.lat"), "lon": F.col("at.lon"), "ingested_at": now, "schema_version": F.lit("2")})
-    return e.withColumnRenamed("text", "raw_text").drop("at", "g", "tagged")
+    valid = raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now)).withColumn("tagged", T.geo_tag(F.col("text")))
+    e = _placed(cut(annotate(valid, "text", places)), gazetteer)
+    return e.withColumns({"ingested_at": now, "schema_version": F.lit("2")}).withColumnRenamed("text", "raw_text")
 
 
 def cycle_stats(fetched: DataFrame, enriched: DataFrame, merged: DataFrame) -> DataFrame:

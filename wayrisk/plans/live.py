@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayrisk.operators.aggregates import diagnostics
-from wayrisk.operators.cut import cut
 from wayrisk.plans.analysis import Settings, multi_mode, store_path
-from wayrisk.plans.ingest import cycle
+from wayrisk.plans.ingest import store_cycle
 from wayrisk.sources.feeds import fan_in
-from wayrisk.sources.sinks import insert_absent, purge
+from wayrisk.sources.sinks import purge
 from wayrisk.streaming.ingest import needs_fetch
 
 
@@ -32,6 +31,6 @@ def live_run(spark: SparkSession, path: str, requests: DataFrame, fetch: Callabl
     for _ in range(cycles):
         if not needs_fetch(spark, path, now):
             break
-        insert_absent(cut(cycle(fan_in(fetch()), now, gazetteer)), path)
+        store_cycle(fan_in(fetch()), path, now, gazetteer)
     events = stored_events(spark, path)
     return purged, diagnostics(events), multi_mode(requests, events, now, settings=settings)

@@ -11,6 +11,7 @@ from wayrisk.functions.geo import haversine_km, path_km
 from wayrisk.functions.python_text import headline_similarity, place_or_empty, places_udf, unique_places
 from wayrisk.operators import aggregates as agg
 from wayrisk.operators import clusters, state
+from wayrisk.operators.cut import cut
 from wayrisk.operators.joins import ROUTE, events_near, event_zones, route_zones, zone_hits
 from wayrisk.operators.routes import evenly_sampled, lane_routes, nearest_hub, points_of, routes, sampled
 from wayrisk.operators.sea import sea_routes as by_sea
@@ -378,6 +379,14 @@ def ingest_cycle(s: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "representative_headline", "label", "lat", "lon", "corroboration_count", "cluster_size")
 
 
+@query
+def cycle_counts(s: SparkSession, d: str) -> DataFrame:
+    """What a cycle counted as it ran: each step's events, skips by reason, sources and incidents."""
+    counts = ingest.Counts()
+    cut(ingest.cycle(_raw(s, d), now(), D.gazetteer(s), counts=counts))
+    return counts.table(s)
+
+
 @query
 def cycle_stats(s: SparkSession, d: str) -> DataFrame:
     """Counts of a cycle in which valid events of each source and text are one incident."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,16 @@ def absent(new: DataFrame, stored: DataFrame, key: str = "event_id") -> DataFram
     return new.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
-def insert_absent(new: DataFrame, path: str, key: str = "event_id") -> None:
-    """Append the absent rows, by the day of ingestion (K1-K3). ``new`` should hold one cycle."""
+def insert_absent(new: DataFrame, path: str, key: str = "event_id", watch: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Append the absent rows, by the day of ingestion (K1-K3). ``new`` should hold one cycle; ``watch`` sees the rows that are written."""
     spark = new.sparkSession
     rows = new.withColumn("ingest_date", F.to_date("ingested_at"))
     if exists(spark, path):
         rows = absent(rows, spark.read.parquet(path), key)
     else:
         rows = rows.dropDuplicates([key])
+    if watch:
+        rows = watch(rows)
     rows.write.mode("append").partitionBy("ingest_date").parquet(path)
 
 

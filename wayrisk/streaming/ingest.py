@@ -6,32 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wayrisk.operators.cut import cut
-from wayrisk.plans.ingest import cycle
+from wayrisk.plans.ingest import store_cycle
 from wayrisk.sources.dimensions import gazetteer
 from wayrisk.sources.feeds import RAW_EVENT, fan_in
-from wayrisk.sources.sinks import exists, insert_absent
+from wayrisk.sources.sinks import exists
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
+def landed(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     """A stream of landed RAW_EVENT Parquet files, each event id once within 72 hours of its arrival.
 
     The watermark follows arrival, not publication: a feed's date in the far future would else make all later events late.
-    What is stale by its date is dropped by the cycle.
+    What is stale by its date is dropped by the cycle. A micro-batch, the first one too, takes at most ``files`` files.
     """
-    raw = spark.readStream.schema(RAW_EVENT).parquet(path).withColumn("arrived_at", F.current_timestamp())
+    raw = spark.readStream.schema(RAW_EVENT).option("maxFilesPerTrigger", files).parquet(path).withColumn("arrived_at", F.current_timestamp())
     return raw.withWatermark("arrived_at", "72 hours").dropDuplicatesWithinWatermark(["event_id"]).drop("arrived_at")
 
 
-def ingest(raw: DataFrame, store: str, checkpoint: str, once: bool = False, seconds: int = 180, now=None) -> StreamingQuery:
+def ingest(raw: DataFrame, store: str, checkpoint: str, once: bool = False, seconds: int = 180, now=None, metrics: str | None = None) -> StreamingQuery:
     """Run a cycle on each micro-batch: keep-first within it, incidents inserted if absent.
 
-    ``once`` takes what is there and ends; else a cycle starts every ``seconds``.
+    ``once`` takes what is there and ends; else a cycle starts every ``seconds``. With ``metrics``, each cycle's counts are appended there.
     """
 
     def batch(df: DataFrame, _: int) -> None:
         at = now if now is not None else F.current_timestamp()
-        insert_absent(cut(cycle(fan_in([df]), at, gazetteer(df.sparkSession))), store)
+        store_cycle(fan_in([df]), store, at, gazetteer(df.sparkSession), metrics)
 
     writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
