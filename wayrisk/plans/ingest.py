@@ -91,6 +91,8 @@ def enrich(raw: DataFrame, now: Column, gazetteer: DataFrame, places: list[str]
 
     Annotated events are computed once: texts are classified and read for places only there.
     """
+    if "country_code" not in raw.columns:
+        raw = raw.withColumn("country_code", F.lit(None).cast("string"))
     valid = raw.where(T.valid_event(F.col("text"), F.col("source_url"), F.col("published_at"), now))
     if counts:
         valid = _fetched(valid, counts)
