@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayrisk.functions import text as T
 from wayrisk.functions.python_text import model_places_udf, normal_place, normalize_places, place_finder, place_or_empty, similar, titled
 from wayrisk.operators.clusters import cluster_incidents, clusters
-from wayrisk.sources.dimensions import PLACES
+from wayrisk.sources.dimensions import PLACES, keyword_rows
 
 
 def one(spark, column):
@@ -46,6 +46,26 @@ def test_classify(spark):
     assert one(spark, T.classify(F.lit(None).cast("string"))).label == "safe"
 
 
+def test_classify_brute_force(spark):
+    """Every keyword where a word begins, one search each, over texts that join and break keywords and words of other alphabets."""
+    rules, rng = keyword_rows(), random.Random(3)
+    words = [w for _, _, w, _ in rules] + ["é", "ß", "_", "9", "войн", "x", "", "\u0301", "İ"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "", "-", "\n", "é", "s "]) for _ in range(rng.randint(0, 9))) for _ in range(400)] + ["", None]
+
+    def want(text):
+        hits = {}
+        for o, label, w, x in rules:
+            if re.search(r"(?<!\w)" + re.escape(w), (text or "").lower()):
+                hits.setdefault((o, label), []).append(x)
+        scores = {k: round(min(0.30 + 0.65 * (min(len(v) / 3, 1) + min(sum(v) / 3, 1)) / 2, 0.95), 4) for k, v in hits.items()}
+        best = min(scores, key=lambda k: (-scores[k], k[0]), default=None)
+        return (best[1], scores[best]) if best else ("safe", 0.5)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", T.classify(F.col("text")).alias("c"))
+    got = {r.i: (r.c.label, pytest.approx(r.c.confidence, abs=1e-4)) for r in df.collect()}
+    assert {i: want(t) for i, t in enumerate(texts)} == got
+
+
 def test_relevance_traps(spark):
     relevant = lambda t: one(spark, T.relevant(F.lit(t)))
     assert relevant("Troops and missile near the red carpet event") and not relevant("Celebrity gossip from the red carpet") and not relevant("war")

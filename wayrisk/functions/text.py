@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 
 from wayrisk.sources.dimensions import ACCEPT, GEO_TAGS, PUBLISHERS, REJECT, STOPWORDS, TIER_SCORE, TIERS, keyword_rows
 
-#: Case-insensitive, as Unicode.
-_I = "(?iuU)"
+#: Case-insensitive, as Unicode; a dot is all but a line feed.
+_I = "(?iuUd)"
+#: What no word's character is before.
+_BEGINS = r"(?<![\p{L}\p{N}_])"
+
+
+def _longest(words: list[str]) -> str:
+    """A pattern of the longest of ``words`` at a place, that reads each character once."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    branches = "|".join(re.escape(c) + _longest(rest) for c, rest in tails.items())
+    return f"(?:{branches}){'?' if '' in words else ''}" if branches else ""
 
 
 def _let(value: Column, use) -> Column:
@@ -27,11 +39,15 @@ def classify(text: Column) -> Column:
     """
     rows = keyword_rows()
     labels = list(dict.fromkeys(label for _, label, _, _ in rows))
-    # the rules as one constant, which keeps the expression small
-    rules = F.from_json(F.lit(json.dumps([{"o": o, "w": w, "p": r"\b" + re.escape(w), "x": x} for o, _, w, x in rows])), "array<struct<o:int,w:string,p:string,x:double>>")
-    low = F.lower(F.coalesce(text, F.lit("")))
-    # a plain search first; the pattern is tried only where the word is there
-    found = F.filter(rules, lambda r: F.when(F.contains(low, r["w"]), F.rlike(low, r["p"])).otherwise(False))
+    words = sorted({w for _, _, w, _ in rows})
+    # the longest keyword at a word's beginning stands for all keywords that it begins with, so a text is read once;
+    # rules are constants, which keeps the expression small
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value)), kind)
+    rules = constant([{"o": o, "x": x} for o, _, _, x in rows], "array<struct<o:int,x:double>>")
+    of = constant({longest: [i for i, r in enumerate(rows) if longest.startswith(r[2])] for longest in words}, "map<string,array<int>>")
+    begun = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{_BEGINS}(?=({_longest(words)}))"), F.lit(1))
+    hit = F.sort_array(F.array_distinct(F.flatten(F.transform(F.array_distinct(begun), lambda w: of[w]))))
+    found = F.transform(hit, lambda i: F.get(rules, i))
 
     def scored(hits: Column) -> Column:
         def score(label: Column, i: Column) -> Column:
@@ -57,8 +73,7 @@ def classify(text: Column) -> Column:
 
 def relevant(text: Column) -> Column:
     """Whether a text may matter: long enough, and accepted or not rejected."""
-    accept = _I + "|".join(rf"\b({p})\b" for p in ACCEPT)
-    reject = _I + "|".join(rf"\b({p})\b" for p in REJECT)
+    accept, reject = (_I + "|".join(rf"\b({p})\b" for p in patterns) for patterns in (ACCEPT, REJECT))
     return F.coalesce(F.when(F.length(text) < 20, False).when(text.rlike(accept), True).when(text.rlike(reject), False).otherwise(True), F.lit(False))
 
 

@@ -113,15 +113,10 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(i.alias("route_id"), (lat(k) + 0.5).alias("olat"), (lon(k) + 0.25).alias("olon"), (lat(d) - 0.25).alias("dlat"), (lon(d) + 0.5).alias("dlon"))
 
 
-def plain(text: Column) -> Column:
-    """Other than printable ASCII becomes a space, so that all regex engines agree on word boundaries."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^ -~]", " ")
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): whole documents behind wordings that the operators react to."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(pick(TEXTS, F.col("doc_id")), F.lit(". "), plain(F.col("text"))).alias("text"))
+    return d.select("doc_id", F.concat(pick(TEXTS, F.col("doc_id")), F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:

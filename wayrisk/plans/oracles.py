@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from wayrisk.plans import domain
 from wayrisk.sources import dimensions as D
 
@@ -118,21 +120,31 @@ multi AS (SELECT route_id, mode, route_km, {_BAND.format('risk_score')} AS statu
 """
 
 
-_TX = f"tx AS (SELECT doc_id, {domain.pick_sql(domain.TEXTS, 'doc_id')} || '. ' || regexp_replace(coalesce(text, ''), '[^ -~]', ' ', 'g') AS text FROM documents)"
+_TX = f"tx AS (SELECT doc_id, {domain.pick_sql(domain.TEXTS, 'doc_id')} || '. ' || coalesce(text, '') AS text FROM documents)"
 _LOG = f"lo AS (SELECT {domain.pick_sql(['rss', 'gdelt', 'newsapi', 'gnews'], 'user_id')} AS source, ts, event_id AS seq, {domain.pick_sql(['ok', 'fail', '429', 'ok', 'fail', 'fail', 'exhausted'], '(event_id // 3)')} AS outcome FROM events)"
 
 
+_WORD, _SPACE = r"\p{L}\p{N}_", r"\s\x0B\x{85}\p{Z}"
+
+
+def _bounded(pattern: str) -> str:
+    """A pattern, quoted, whose words and spaces are Unicode's."""
+    out = re.sub(r"\\b(?=[\w(])", lambda _: f"(^|[^{_WORD}])", pattern)
+    out = out.replace(r"\b", f"([^{_WORD}]|$)").replace(r"[\s-]", f"[{_SPACE}-]").replace(r"\s+", f"[{_SPACE}]+")
+    return _text("(?i)" + out)
+
+
 def _classified() -> str:
     words = ", ".join(f"({i}, '{label}', {_text(w)}, {x}::DOUBLE)" for i, label, w, x in D.keyword_rows())
     return f"""WITH {_TX}, kw(o, label, w, x) AS (VALUES {words}),
-h AS (SELECT doc_id, o, label, count(*) AS c, sum(x) AS x FROM (SELECT doc_id, lower(text) AS low FROM tx) t JOIN kw ON regexp_matches(t.low, '\\b' || regexp_escape(kw.w)) GROUP BY ALL),
+h AS (SELECT doc_id, o, label, count(*) AS c, sum(x) AS x FROM (SELECT doc_id, lower(text) AS low FROM tx) t JOIN kw ON CASE WHEN contains(t.low, kw.w) THEN regexp_matches(t.low, '(^|[^{_WORD}])' || regexp_escape(kw.w)) ELSE false END GROUP BY ALL),
 s AS (SELECT doc_id, o, label, round(least(0.30 + 0.65 * (least(c / 3.0::DOUBLE, 1.0) + least(x / 3.0::DOUBLE, 1.0)) / 2, 0.95), 4) AS s FROM h),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, o) AS r FROM s) WHERE r = 1)
 SELECT tx.doc_id, coalesce(b.label, 'safe') AS label, coalesce(b.s, 0.5) AS confidence FROM tx LEFT JOIN b USING (doc_id)"""
 
 
 def _tagged(text: str, column: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({text}, {_text('(?i)' + p)}) THEN {dict(lat=a, lon=o, zone=_text(z))[column]}" for p, a, o, z in D.GEO_TAGS) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({text}, {_bounded(p)}) THEN {dict(lat=a, lon=o, zone=_text(z))[column]}" for p, a, o, z in D.GEO_TAGS) + " END"
 
 
 def _credibility() -> str:
@@ -214,13 +226,13 @@ ORACLES = {
     "evidence_top5": f"WITH RECURSIVE {_EV}, {_routes()}, {_SAMPLED}, {_NEAR}, ne AS (SELECT near.route_id, near.mode, near.distance_km, ev.* FROM near JOIN ev USING (event_id) WHERE source <> 'seed') SELECT * FROM (SELECT route_id, mode, CAST(row_number() OVER (PARTITION BY route_id, mode ORDER BY intensity_score * (1.0::DOUBLE / greatest(coalesce(distance_km, 1.0), 0.1)) DESC, ord) AS INTEGER) AS rank, event_id, trim(raw_text[1:150]) || CASE WHEN length(raw_text) > 150 THEN '…' ELSE '' END AS headline, round(label_confidence, 4) AS confidence, distance_km FROM ne) WHERE rank <= 5",
     "source_credibility": _credibility(),
     "raw_validity": f"WITH {_EV} SELECT event_id FROM ev WHERE length(trim(raw_text)) >= 20 AND regexp_matches(source_url, '^https?://') AND epoch_us({_NOW}) - epoch_us(published_at) <= 72 * 3600000000",
-    "relevance_filter": f"WITH {_TX} SELECT doc_id FROM tx WHERE length(text) >= 20 AND ({' OR '.join(f'regexp_matches(text, {_text(f"(?i)\\b({p})\\b")})' for p in D.ACCEPT)} OR NOT ({' OR '.join(f'regexp_matches(text, {_text(f"(?i)\\b({p})\\b")})' for p in D.REJECT)}))",
+    "relevance_filter": f"WITH {_TX} SELECT doc_id FROM tx WHERE length(text) >= 20 AND ({' OR '.join(f'regexp_matches(text, {_bounded(f"\\b({p})\\b")})' for p in D.ACCEPT)} OR NOT ({' OR '.join(f'regexp_matches(text, {_bounded(f"\\b({p})\\b")})' for p in D.REJECT)}))",
     "ml_relevance_filter": f"WITH {_EV} SELECT event_id, label FROM ev WHERE NOT (label = 'safe' AND label_confidence >= 0.70)",
     "keyword_classify": _classified(),
     "keyword_hits": f"WITH {_TX} SELECT doc_id, CAST({' + '.join(f'CAST(contains(lower(text), {_text(k)}) AS INTEGER)' for k in D.SEVERE_KEYWORDS)} AS BIGINT) AS hits FROM tx",
     "intensity_score": _intensity(),
     "geo_tag_first": f"WITH {_TX} SELECT doc_id, ({_tagged('text', 'lat')})::DOUBLE AS lat, ({_tagged('text', 'lon')})::DOUBLE AS lon, {_tagged('text', 'zone')} AS zone FROM tx WHERE {_tagged('text', 'zone')} IS NOT NULL",
-    "geo_tag_all": f"WITH {_TX}, g(o, p, z) AS (VALUES {', '.join(f'({i}, {_text("(?i)" + p)}, {_text(z)})' for i, (p, _, _, z) in enumerate(D.GEO_TAGS))}), m AS (SELECT doc_id, z, min(o) AS o FROM tx JOIN g ON regexp_matches(text, p) GROUP BY doc_id, z), a AS (SELECT doc_id, string_agg(z, '; ' ORDER BY o) AS zones FROM m GROUP BY doc_id) SELECT tx.doc_id, coalesce(zones, '') AS zones FROM tx LEFT JOIN a USING (doc_id)",
+    "geo_tag_all": f"WITH {_TX}, g(o, p, z) AS (VALUES {', '.join(f'({i}, {_bounded(p)}, {_text(z)})' for i, (p, _, _, z) in enumerate(D.GEO_TAGS))}), m AS (SELECT doc_id, z, min(o) AS o FROM tx JOIN g ON regexp_matches(text, p) GROUP BY doc_id, z), a AS (SELECT doc_id, string_agg(z, '; ' ORDER BY o) AS zones FROM m GROUP BY doc_id) SELECT tx.doc_id, coalesce(zones, '') AS zones FROM tx LEFT JOIN a USING (doc_id)",
     "resolve_coordinates": f"WITH {_TX}, t AS (SELECT *, ({_tagged('text', 'lat')})::DOUBLE AS tlat, ({_tagged('text', 'lon')})::DOUBLE AS tlon, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 200) - 100.0::DOUBLE END AS flat, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 400) - 200.0::DOUBLE END AS flon FROM tx), u AS (SELECT doc_id, CASE WHEN flat BETWEEN -90 AND 90 AND flon BETWEEN -180 AND 180 THEN flat WHEN tlat IS NOT NULL THEN tlat WHEN doc_id % 2 = 0 THEN 1.5 END AS lat, CASE WHEN flat BETWEEN -90 AND 90 AND flon BETWEEN -180 AND 180 THEN flon WHEN tlat IS NOT NULL THEN tlon WHEN doc_id % 2 = 0 THEN 2.5 END AS lon FROM t) SELECT * FROM u WHERE lat IS NOT NULL",
     "token_cosine": f"""WITH {_EV}, p AS (SELECT event_id, raw_text AS a, {domain.pick_sql(domain.TEXTS, '(ord // 7)')} AS b FROM ev),
 ta AS (SELECT event_id, w, count(*) AS c FROM (SELECT event_id, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')) AS w FROM p) WHERE length(w) > 2 AND w NOT IN ({_STOP}) GROUP BY ALL),
