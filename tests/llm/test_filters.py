@@ -80,6 +80,47 @@ def test_language_sample(spark):
     assert len(texts["zh"]) <= 3002 and 40 < len(seen) < 200 and max(seen) > 1500 and min(seen) < 500 and texts["en"] == " x " and set(texts) == {"zh", "en"}
 
 
+def test_language_passages(spark):
+    """Passages come from anywhere in long texts, short ones are whole, copies count once, and only what fits is taken, uncut."""
+    long = [(i, "a" * 500 + f" {chr(0x4E00 + i) * 500}", "zh") for i in range(300)]
+    copies = [(1000 + i, "the same text", "en") for i in range(400)] + [(3000, "other words", "en")]
+    df = spark.createDataFrame(long + copies, "doc_id long, text string, lang string")
+    texts = language_id.learn(df, sample=1000, excerpt=100, most=5000)
+    assert sum(c != "a" for c in texts["zh"]) > 1500 and "a" * 50 in texts["zh"]
+    assert texts["en"].count("the same text") == 1 and texts["en"].count("other words") <= 1
+    assert len(language_id.learn(df, sample=1000, excerpt=100, most=10)["zh"]) == 102
+
+
+def test_language_brute_force(spark, docs):
+    """The whole query: each text cut into the longest strings that a language's labelled text has, by plain search."""
+    d = docs.select("doc_id", "text", F.when(F.col("doc_id") % 3 > 0, F.when(F.col("doc_id") % 3 == 1, "b").otherwise("a")).alias("lang"))
+    d = d.union(spark.createDataFrame([(20_000 + i, t, None) for i, t in enumerate(["Σας ΕΣΣ σς", "İi ß", "12 !", "bark\u2003 \nCOLM bark", "x" * 300])], d.schema))
+    texts = language_id.learn(d)
+    assert set(texts) == {"a", "b"}
+
+    def cost(known, text):
+        n, at = 0, 0
+        while at < len(text):
+            k = 1
+            while at + k < len(text) and text[at : at + k + 1] in known:
+                k += 1
+            n, at = n + 1, at + k
+        return n * math.log2(max(2, len(known)))
+
+    want = {}
+    for r in d.where("length(text) < 5000 or text is null").collect():
+        if not any(map(str.isalpha, r.text or "")):
+            want[r.doc_id, r.text] = "und", 0.0
+        else:
+            bits = {k: cost(v, " ".join(r.text.lower().split())) for k, v in texts.items()}
+            best = min(bits, key=lambda k: (bits[k], k))
+            want[r.doc_id, r.text] = best, pytest.approx(1 / sum(2.0 ** max(-1000.0, bits[best] - b) for b in bits.values()))
+    both = language_id.identify(d).collect(), d.collect()
+    # rows keep their order, so each result stands beside its text
+    got = {(t.doc_id, t.text): (r.lang_pred, r.score) for r, t in zip(*both, strict=True) if r.doc_id == t.doc_id and (t.doc_id, t.text) in want}
+    assert got == want
+
+
 def test_language_ties():
     """Of languages with the same phrases the first by name wins."""
     parser = language_id.Parser({"xx": " abc ", "aa": " abc ", "mm": " abc "})

@@ -9,8 +9,9 @@ All languages' automata are one table of next states and phrase ends, so that ma
 time as arrays; the few longest finish one by one. Where alphabets are so large that the table would have over
 ``TABLE`` cells, all documents are parsed one by one.
 
-Labelled text: of each language, at most ``EXCERPT`` characters of each of at most about ``SAMPLE`` documents, chosen by the
-hash of their ids, up to ``LENGTH`` characters in all. Documents are parsed whole.
+Labelled text, a bounded sample: of each language, about ``SAMPLE`` documents are chosen by the hash of their ids, of copies
+one. Each gives a passage of ``EXCERPT`` characters that begins at a hashed place of it, or all of it if it is shorter; as many
+as ``LENGTH`` characters have room for, by hash, and at least one. Documents are parsed whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without labelled
 rows every text is ``und``; ties go to the language that comes first by name; repeated rows repeat their result;
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.llm.quality import held_out
@@ -186,14 +187,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT, most: i
     chosen = F.lit(False)
     for name, n in counts.items():
         chosen |= (F.col("lang") == name) & (place < int(min(1.0, sample / n) * resolution))
-    # rows that repeat an id and a text say nothing new; the excerpts of each language are few, so they meet in the driver
-    rows = known.where(chosen).select("lang", place.alias("place"), F.substring("text", 1, excerpt).alias("text")).distinct()
-    first = rows.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set(F.struct("place", "text"))), 1, 4 * sample).alias("rows")).collect()
-    texts = {name: " " for name in counts}
-    for r in first:
-        texts[r.lang] = plain(" ".join(x.text for x in r.rows))[:most]
-        texts[r.lang] = f" {texts[r.lang]} "
-    return texts
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - excerpt + 1, F.lit(1))).cast("int") + 1
+    # copies say nothing new; the sample of a language is small, so it meets in one task and what fits in the driver
+    rows = known.where(chosen).select("lang", place.alias("place"), F.substr("text", start, F.lit(excerpt)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("place", "text")
+    rows = rows.groupBy("lang", "text").agg(F.min("place").alias("place")).select("lang", "text", "place", F.row_number().over(order).alias("nth"), F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("filled"))
+    texts: dict[str, list[str]] = {name: [] for name in counts}
+    for r in rows.where((F.col("filled") <= most) | (F.col("nth") == 1)).orderBy("lang", "nth").collect():
+        texts[r.lang].append(r.text)
+    return {name: f" {plain(' '.join(parts))} " for name, parts in texts.items()}
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
