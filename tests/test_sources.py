@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,37 @@ def test_states_file(spark, tmp_path):
     assert [(r.source, r.used, r.failures, r.daily_limit, r.remaining) for r in got] == [("gnews", 2, 0, 90, 88)]
 
 
+def test_states_restart(spark, tmp_path):
+    """A stream that starts anew from a saved file goes on as if it had never stopped, over several batches; other sources stay saved."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for _ in range(300):
+        at += rng.choice([1, 60, 700, 1801, 4000])
+        rows.append((at, rng.choice(["ok", "ok", "fail", "fail", "fail", "429", "exhausted"])))
+    whole = log(spark, rows)
+    schema, half = "source string, ts timestamp, seq long, outcome string", 150
+    old = log(spark, [(5, "ok")]).withColumn("source", F.lit("rss"))
+    whole.where(F.col("seq") < half).union(old).write.parquet(str(tmp_path / "a"))
+    for k, (start, end) in enumerate(((half, 200), (200, 300))):
+        whole.where(F.col("seq").between(start, end - 1)).coalesce(1).write.parquet(str(tmp_path / f"b/part={k}"))
+
+    def run(name, path, saved=None):
+        stream = track(spark.readStream.schema(schema).option("maxFilesPerTrigger", 100 if saved is None else 1).parquet(path), saved)
+        stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    save_states(run("before", str(tmp_path / "a")), str(tmp_path / "s"))
+    saved = load_states(spark, str(tmp_path / "s"))
+    after = run("after", str(tmp_path / "b" / "*"), saved)
+    keys = ["ts", "allowed", "used", "failures", "cooldown_until", "suppressed", "suppressions", "limited"]
+    of = lambda df: [tuple(r) for r in df.select(*keys).orderBy("ts").collect()]
+    want = of(state.replay(whole))
+    assert of(after) == want[half:] and len({r[5] for r in want[half:]}) == 2 and of(after) != of(state.replay(whole.where(F.col("seq") >= half)))
+    assert of(state.replay(whole.where(F.col("seq") >= half), saved)) == want[half:]
+    save_states(after, str(tmp_path / "t"), saved)
+    assert [(r.source, r.used) for r in load_states(spark, str(tmp_path / "t")).orderBy("source").collect()] == [("gnews", want[-1][2]), ("rss", 1)]
+
+
 def test_json_lines():
     import logging
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 # Requests a day, and least seconds between fetches, of each source.
 DAILY = {"rss": 10_000, "gdelt": 500, "newsapi": 90, "gnews": 90}
 INTERVAL = {"rss": 180, "gdelt": 900, "newsapi": 1800, "gnews": 1800}
-STATE = "source string, ts double, allowed boolean, used long, failures long, cooldown_until double, suppressed boolean, suppressions long, limited boolean"
+STATE = "source string, ts double, allowed boolean, used long, failures long, cooldown_until double, suppressed boolean, suppressions long, limited boolean, saved string"
 
 
 def rolling_requests(log: DataFrame) -> DataFrame:
@@ -35,6 +37,16 @@ class Source:
         self.failures = self.unhealthy = self.suppressions = self.limited = 0
         self.__dict__.update(state)
 
+    @classmethod
+    def load(cls, name: str, saved: str | None) -> Source:
+        """A source as it was when ``dump`` wrote it; a new one without."""
+        state = json.loads(saved) if saved else {}
+        state.pop("name", None)
+        return cls(name, **state)
+
+    def dump(self) -> str:
+        return json.dumps(self.__dict__)
+
     def allowed(self, now: float) -> bool:
         """Whether to fetch: no cooldown, quota left, and the interval over; unknown sources always may."""
         if self.name not in DAILY:
@@ -65,14 +77,27 @@ class Source:
         return self.name, now, may, len(self.requests), self.failures, self.until, suppressed, self.suppressions, limited
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """The state before and after each attempt: a fold over each source's log in order."""
+def attempts(log: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """``log`` with times in seconds, and what is ``saved`` (source, ts, saved) of its source from before it, the latest if it is there twice."""
+    seconds = log.select("source", (F.unix_micros("ts") / 1e6).alias("ts"), "seq", "outcome")
+    if saved is None:
+        return seconds.withColumn("saved", F.lit(None).cast("string"))
+    return seconds.join(saved.groupBy("source").agg(F.max_by("saved", "ts").alias("saved")), "source", "left")
+
+
+def take_all(source: Source, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of ``STATE`` of attempts taken in order; the last has all that goes on, as ``saved``."""
+    pdf = pdf.sort_values(["ts", "seq"])
+    rows = [(*source.take(t, o), None) for t, o in zip(pdf.ts, pdf.outcome, strict=True)]
+    rows[-1] = (*rows[-1][:-1], source.dump())
+    return pd.DataFrame(rows, columns=["source", "ts", "allowed", "used", "failures", "cooldown_until", "suppressed", "suppressions", "limited", "saved"])
+
+
+def replay(log: DataFrame, saved: DataFrame | None = None) -> DataFrame:
+    """The state before and after each attempt: a fold over each source's log in order, from what is ``saved`` on."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"])
-        source = Source(pdf.source.iloc[0])
-        rows = [source.take(t, o) for t, o in zip(pdf.ts, pdf.outcome, strict=True)]
-        return pd.DataFrame(rows, columns=["source", "ts", "allowed", "used", "failures", "cooldown_until", "suppressed", "suppressions", "limited"])
+        first = pdf.iloc[0]
+        return take_all(Source.load(first.source, first.saved), pdf)
 
-    seconds = log.select("source", (F.unix_micros("ts") / 1e6).alias("ts"), "seq", "outcome")
-    return seconds.groupBy("source").applyInPandas(fold, STATE)
+    return attempts(log, saved).groupBy("source").applyInPandas(fold, STATE)
