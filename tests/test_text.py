@@ -151,6 +151,33 @@ def test_incidents_brute_force(spark):
     assert {r.ord: r.cluster for r in clusters(df).collect()} == want and 8 < len(heads) < 120
 
 
+def test_incidents_of_many_reports(spark, monkeypatch):
+    """Reports of a few kinds aren't paired with each other, and stretches of the order give what the greedy pass gives."""
+    from wayrisk.operators import clusters as module
+
+    rng, start = random.Random(6), dt.datetime(2024, 1, 1)
+    texts = ["Port blockade halts cargo ships", "Cargo ships halted by port blockade", "Army moves to the border"]
+    rows = [(i, rng.choice(texts), rng.choice("ab"), rng.choice([10.0, 10.4, 40.0]), 20.0, start + dt.timedelta(seconds=rng.randint(0, 300_000))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "ord long, raw_text string, label string, lat double, lon double, published_at timestamp")
+    sim = {(a, b): max(similar(a, b), cosine(a, b)) for a in texts for b in texts}
+    want, heads = {}, []
+    for r in rows:
+        near = lambda h: abs(h[3] - r[3]) < 1 and abs(h[5] - r[5]) <= dt.timedelta(hours=24)  # noqa: B023, E731
+        head = next((h for h in heads if near(h) and (sim[h[1], r[1]] >= 0.45 or (sim[h[1], r[1]] >= 0.25 and h[2] == r[2]))), r)
+        heads += [r] * (head is r)
+        want[r[0]] = head[0]
+    sizes, keep = [], module.cut
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut", counted)
+    got = {r.ord: r.cluster for r in clusters(df, stretch=200).collect()}
+    assert got == want and 10 < len(heads) < 100 and max(sizes) <= len(rows)
+
+
 def test_names_found():
     """One pass over the words finds what each name's own pattern finds."""
     find = place_finder(PLACES)

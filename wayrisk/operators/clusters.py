@@ -12,54 +12,81 @@ from wayrisk.operators.cut import cut
 from wayrisk.operators.joins import _cells
 
 KM, HOURS, ALIKE, WEAK = 100.0, 24, 0.45, 0.25
-_DAY = 86_400_000_000
-#: Tasks that reports without place or time are dealt to, where they must meet all others.
+_HOUR, _DAY = 3_600_000_000, 86_400_000_000
+#: Tasks that kinds without place or time are dealt to, where they must meet all others.
 SALTS = 64
+#: Reports of the first stretch of the order that heads are found in; each later one is as long as all before it.
+STRETCH = 50_000
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """Pairs (a before b by ``ord``) of reports within 100 km and 24 hours: a, b, their texts' hashes, and whether their labels agree.
+def _marked(docs: DataFrame) -> DataFrame:
+    """Reports that can have links, with what their kinds have in common. A blank text is like none, and a place that is no number is near none."""
+    there = F.coalesce(haversine_km(F.col("lat"), F.col("lon"), F.col("lat"), F.col("lon")) <= KM, F.lit(True))
+    text = F.trim("raw_text")
+    return docs.where((text != "") & there).select("ord", "raw_text", "lat", "lon", F.xxhash64(F.lower(text)).alias("h"), F.nullif("label", F.lit("")).alias("label"), F.unix_micros("published_at").alias("t"))
 
-    Reports meet by equality of what they have: cell and day, the day alone where a report has no coordinates, the cell alone
-    where it has no time. What a report lacks can't part it from others, so one with neither meets all others, and
+
+def kinds_of(docs: DataFrame) -> DataFrame:
+    """(kind, lat, lon, h, label, text, n): the kinds of reports, which have place, text and label in common.
+
+    Reports of a kind have the same links but for their times.
+    """
+    texts = _marked(docs).groupBy("lat", "lon", "h", "label", "raw_text").count()
+    kinds = texts.groupBy("lat", "lon", "h", "label").agg(F.min("raw_text").alias("text"), F.sum("count").alias("n"))
+    return cut(kinds.withColumn("kind", F.monotonically_increasing_id()))
+
+
+def reports_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(ord, kind, t, day): the reports that have a kind."""
+    d = _marked(docs)
+    d = d.select("ord", "t", *(F.col(c).alias("d_" + c) for c in ("lat", "lon", "h", "label")))
+    same = F.col("d_h") == F.col("h")
+    for c in ("lat", "lon", "label"):
+        same = same & F.col("d_" + c).eqNullSafe(F.col(c))
+    return d.join(kinds, same).select("ord", "kind", "t", F.floor(F.col("t") / _DAY).cast("int").alias("day"))
+
+
+def candidates(kinds: DataFrame, days: DataFrame) -> DataFrame:
+    """Pairs (a before b) of kinds within 100 km that have reports (``days``: kind, day) on the same day or the next: a, b, their texts' hashes, and whether their labels agree.
+
+    Kinds meet by equality of what they have: cell and day, the day alone where they have no coordinates, the cell alone
+    where there is no time. What a report lacks can't part it from others, so one with neither meets all others, and
     one without coordinates all without a time; those few are dealt over ``SALTS``. Reports of an ingestion cycle have both.
     """
-    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    side = docs.select("ord", F.xxhash64(F.lower(F.trim("raw_text"))).alias("h"), F.when(~none("label"), F.col("label")).alias("label"), "lat", "lon", F.unix_micros("published_at").alias("t"))
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    side = side.withColumn("cell", F.when(placed, (F.floor("lat") * 360 + F.pmod(F.floor("lon"), F.lit(360))).cast("int"))).withColumn("day", F.floor(F.col("t") / _DAY).cast("int"))
-    side = side.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)).cast("int"))
+    side = days.join(kinds.select("kind", "h", "label", "lat", "lon"), "kind")
+    side = side.withColumn("cell", F.when(placed, (F.floor("lat") * 360 + F.pmod(F.floor("lon"), F.lit(360))).cast("int")))
+    side = side.withColumn("salt", F.pmod(F.xxhash64("kind", "day"), F.lit(SALTS)).cast("int"))
     left, right = (side.select(*(F.col(c).alias(p + c) for c in side.columns)) for p in ("l_", "r_"))
-    cells, days = F.explode(_cells(F.col("l_lat"), F.col("l_lon"), KM)).alias("cell"), F.explode(F.array(F.col("l_day") - 1, F.col("l_day"), F.col("l_day") + 1)).alias("day")
+    cells, near_days = F.explode(_cells(F.col("l_lat"), F.col("l_lon"), KM)).alias("cell"), F.explode(F.array(F.col("l_day") - 1, F.col("l_day"), F.col("l_day") + 1)).alias("day")
 
-    full = left.where("l_cell is not null and l_t is not null").select("*", cells).select("*", days).join(right, F.expr("cell = r_cell and day = r_day and l_ord < r_ord"))
-    no_place = left.where("l_cell is null and l_t is not null").select("*", days).join(right, F.expr("day = r_day and (r_cell is not null or l_ord < r_ord)"))
-    no_time = left.where("l_cell is not null and l_t is null").select("*", cells).join(right, F.expr("cell = r_cell and (r_t is not null or l_ord < r_ord)"))
+    full = left.where("l_cell is not null and l_day is not null").select("*", cells).select("*", near_days).join(right, F.expr("cell = r_cell and day = r_day and l_kind < r_kind"))
+    no_place = left.where("l_cell is null and l_day is not null").select("*", near_days).join(right, F.expr("day = r_day and (r_cell is not null or l_kind < r_kind)"))
+    no_time = left.where("l_cell is not null and l_day is null").select("*", cells).join(right, F.expr("cell = r_cell and l_kind <> r_kind"))
     dealt = left.where("l_cell is null").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    neither = dealt.where("l_t is null").join(right, F.expr("salt = r_salt and (r_cell is not null or r_t is not null or l_ord < r_ord)"))
-    crossed = dealt.where("l_t is not null").join(right.where("r_t is null and r_cell is not null"), F.expr("salt = r_salt"))
+    neither = dealt.where("l_day is null").join(right, F.expr("salt = r_salt and l_kind <> r_kind"))
+    crossed = dealt.where("l_day is not null").join(right.where("r_day is null and r_cell is not null"), F.expr("salt = r_salt"))
 
     near = F.col("l_cell").isNull() | F.col("r_cell").isNull() | (haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= KM)
-    soon = F.col("l_t").isNull() | F.col("r_t").isNull() | (F.abs(F.col("l_t") - F.col("r_t")) <= HOURS * 3_600_000_000)
     same = F.coalesce(F.col("l_label") == F.col("r_label"), F.lit(True))
-    first = F.col("l_ord") < F.col("r_ord")
+    first = F.col("l_kind") < F.col("r_kind")
     pick = lambda c, x, y: F.when(first, F.col(x + c)).otherwise(F.col(y + c))
     out = None
     for part in (full, no_place, no_time, neither, crossed):
-        part = part.where(near & soon).select(pick("ord", "l_", "r_").alias("a"), pick("ord", "r_", "l_").alias("b"), pick("h", "l_", "r_").alias("ha"), pick("h", "r_", "l_").alias("hb"), same.alias("same"))
+        part = part.where(near).select(pick("kind", "l_", "r_").alias("a"), pick("kind", "r_", "l_").alias("b"), pick("h", "l_", "r_").alias("ha"), pick("h", "r_", "l_").alias("hb"), same.alias("same"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.distinct()
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(a, b): the pairs that report one incident.
+def links(kinds: DataFrame, days: DataFrame) -> DataFrame:
+    """(kind, to): the later kinds whose reports are of one incident with an earlier one's if their times are near (J6); each to itself, too.
 
-    Each pair of different texts is scored once, however many reports have them; where the token cosine already
+    The sequence ratio depends on which text comes first, so links are one-way. Each pair of different texts is scored once each way, however many reports have them; where the token cosine already
     accepts, or lengths already reject, the sequence ratio isn't asked for.
     """
-    pairs = cut(candidates(docs))
-    text = F.lower(F.trim("raw_text"))
-    texts = docs.select(F.xxhash64(text).alias("h"), "raw_text").groupBy("h").agg(F.min("raw_text").alias("text"))
+    pairs = cut(candidates(kinds, days))
+    pairs = pairs.union(pairs.select("b", "a", "hb", "ha", "same"))
+    texts = kinds.groupBy("h").agg(F.min("text").alias("text"))
     of = lambda p: texts.select(F.col("h").alias("h" + p), F.col("text").alias("t" + p))
     scored = pairs.select("ha", "hb").distinct().join(of("a"), "ha").join(of("b"), "hb").withColumn("cosine", token_cosine(F.col("ta"), F.col("tb")))
     length = lambda c: F.least(F.length(F.trim(c)), F.lit(200))
@@ -68,26 +95,62 @@ def links(docs: DataFrame) -> DataFrame:
     scored = scored.select("ha", "hb", "cosine", F.when(~settled, F.col("ta")).alias("ta"), F.when(~settled, F.col("tb")).alias("tb"))
     scored = cut(scored.select("ha", "hb", "cosine", headline_similarity("ta", "tb").alias("ratio")))
     scored = scored.select("ha", "hb", F.greatest("cosine", "ratio").alias("sim")).where(F.col("sim") >= WEAK)
-    return pairs.join(scored, ["ha", "hb"]).where((F.col("sim") >= ALIKE) | F.col("same")).select("a", "b")
+    linked = pairs.join(scored, ["ha", "hb"]).where((F.col("sim") >= ALIKE) | F.col("same"))
+    return cut(linked.select("a", "b").union(kinds.select("kind", "kind")).toDF("kind", "to"))
+
+
+def _reach(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(kind, day, head, at): each of the rows (ord, kind, t, day) at all kinds that it is linked to, and at the days around its own if ``keys`` have the day."""
+    r = rows.join(edges, "kind").select(F.col("to").alias("kind"), F.col("ord").alias("head"), F.col("t").alias("at"), "day")
+    return r.withColumn("day", F.explode(F.array(F.col("day") - 1, F.col("day"), F.col("day") + 1))) if "day" in keys else r.drop("day")
+
+
+def _without(rows: DataFrame, reach: DataFrame, keys: list[str], when) -> DataFrame:
+    r = reach.select(*(F.col(c).alias("r_" + c) for c in reach.columns))
+    for k in keys:
+        when = when & (F.col(k) == F.col("r_" + k))
+    return rows.join(r, when, "left_anti")
 
 
-def clusters(docs: DataFrame) -> DataFrame:
+def clusters(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """``docs`` with ``cluster``, the ``ord`` of the first report of its incident.
 
-    Taken in order, a report joins the first cluster whose head it is linked to, else it is a head. So it is a head
-    unless an earlier neighbour is one. Each round settles all reports at once whose earlier neighbours are settled: what
-    has none is a head, and its neighbours are members, which are no heads for others.
+    Taken in order, a report joins the first cluster whose head it is linked to, else it is a head. Reports are never paired with
+    each other, only with heads: links are those of kinds, and heads of linked kinds are more than a day apart. The order is gone through in
+    stretches, each without the reports that earlier heads have. In a stretch, rounds find heads at all places at once: of
+    each kind and day the first live report, if no linked kind has an earlier one on a day around. What new heads are linked to goes.
     """
-    edges = cut(links(docs).distinct())
-    live, members = edges, docs.select(F.col("ord").alias("n")).limit(0)
-    while not live.isEmpty():
-        heads = live.select(F.col("a").alias("n")).distinct().join(live.select(F.col("b").alias("n")), "n", "left_anti")
-        new = cut(live.join(heads.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct())
-        members = members.union(new)
-        gone = lambda c: new.withColumnRenamed("n", c)  # noqa: B023, E731
-        live = live.join(heads.withColumnRenamed("n", "a"), "a", "left_anti").join(gone("a"), "a", "left_anti").join(gone("b"), "b", "left_anti")
-        live = cut(live.select("a", "b"))
-    of = edges.join(members.withColumnRenamed("n", "a"), "a", "left_anti").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("cluster"))
+    kinds = kinds_of(docs)
+    reports = reports_of(docs, kinds)
+    size = kinds.agg(F.sum("n")).first()[0] or 0
+    n = max(1, min(4096, size // stretch))
+    part = F.spark_partition_id()
+    reports = cut(reports.repartitionByRange(n, "ord").withColumn("stretch", F.when(part == 0, 0).otherwise(F.length(F.bin(part)))))
+    days = cut(reports.select("kind", "day").distinct())
+    edges = links(kinds, days)
+    # a report without a time is near all days
+    keys = ["kind"] if not days.where("day is null").isEmpty() else ["kind", "day"]
+    soon = F.coalesce(F.abs(F.col("t") - F.col("r_at")) <= HOURS * _HOUR, F.lit(True))
+    reach = None
+    for k in range((n - 1).bit_length() + 1):
+        live = reports.where(F.col("stretch") == k).drop("stretch")
+        live = cut(_without(live, reach, keys, soon) if reach is not None else live)
+        of = live.select("kind").distinct()
+        here = cut(edges.join(of, "kind", "left_semi").join(of.withColumnRenamed("kind", "to"), "to", "left_semi").select("kind", "to"))
+        heads = None
+        while not live.isEmpty():
+            first = live.groupBy("kind", "day").agg(F.min(F.struct("ord", "t")).alias("f")).select("f.ord", "kind", "f.t", "day")
+            new = cut(_without(first, _reach(first, here, keys), keys, F.col("r_head") < F.col("ord")))
+            heads = new if heads is None else heads.union(new)
+            live = cut(_without(live, _reach(new, here, keys), keys, soon & (F.col("r_head") <= F.col("ord"))))
+        if heads is not None:
+            reached = cut(_reach(heads, edges, keys))
+            reach = reached if reach is None else reach.union(reached)
+    if reach is None:
+        return docs.withColumn("cluster", F.col("ord"))
+    r = reach.select(*(F.col(c).alias("r_" + c) for c in reach.columns))
+    met = reports.join(r, soon & F.expr(" and ".join(f"{k} = r_{k}" for k in keys)))
+    of = cut(met.groupBy("ord").agg(F.min("r_head").alias("cluster")))
     return docs.join(of, "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
 
 
@@ -133,7 +196,7 @@ def merge(clustered: DataFrame, carried: list[str] | None = None) -> DataFrame:
 
 def cluster_incidents(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Incidents of reports (ord, raw_text, label, lat, lon, published_at, publisher, source_url, image_url, source, intensity_score, credibility_score)."""
-    return merge(cut(clusters(docs)), carried)
+    return merge(clusters(docs), carried)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
