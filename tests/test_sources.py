@@ -145,6 +145,18 @@ def test_wait(spark, tmp_path):
     assert pauses == [2.0, 4.0]
 
 
+def test_states_as_folded(spark):
+    """Sources in order, one of them without a quota, as attempts folded one by one; no source is a group of one Python task."""
+    rng, base = random.Random(3), dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    at = sorted(rng.choice([60, 700, 1801]) * rng.randint(0, 250) for _ in range(500))
+    rows = [(rng.choice(["rss", "gnews", "other"]), base + dt.timedelta(seconds=t), i, rng.choice(["ok", "fail", "fail", "429", "429", "exhausted"])) for i, t in enumerate(at)]
+    sources = {n: state.Source(n) for n in ("rss", "gnews", "other")}
+    want = sorted(sources[n].take(t.timestamp(), o) for n, t, _, o in rows)
+    got = state.states(spark.createDataFrame(rows, "source string, ts timestamp, seq long, outcome string")).select(*state.SHOWN)
+    assert sorted(map(tuple, got.collect())) == want and len({w[7] for w in want}) > 3
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+
+
 def test_rolling_requests_of_many(spark):
     """Counts by brute force, with equal times and none; no window's frame slides over a source's rows."""
     rng, base = random.Random(9), dt.datetime(2024, 1, 1)

@@ -299,7 +299,7 @@ def failure_runs(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def can_fetch_state(s: SparkSession, d: str) -> DataFrame:
-    return state.replay(domain.fetch_log(s, d)).drop("saved")
+    return state.states(domain.fetch_log(s, d)).select(*state.SHOWN)
 
 
 @query
