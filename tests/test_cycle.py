@@ -86,3 +86,21 @@ def test_failed_write_counts_errors(spark, raw, tmp_path):
 def test_nothing_fetched(spark, raw, tmp_path):
     got = ingest.store_cycle(raw.limit(0), str(tmp_path / "s"), now(), gazetteer(spark)).rows()
     assert not any(got.values())
+
+
+def test_many_reports_of_a_text(spark, monkeypatch):
+    """Copies of a text at one place become incidents without being paired; every one is counted."""
+    from wayrisk.operators import clusters as module
+
+    rows = [(f"k{i:04}", SHIP, "rss", f"https://example.org/{i}", "Reuters", None, None, DAY + dt.timedelta(seconds=i), None, None) for i in range(300)]
+    sizes, keep, counts = [], module.cut, ingest.Counts()
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut", counted)
+    got = ingest.cycle(spark.createDataFrame(rows, feeds.RAW_EVENT), now(), gazetteer(spark), counts=counts).collect()
+    assert [r.cluster_size for r in got] == [300] and max(sizes) <= 300
+    assert (counts.rows()["clustered_from"], counts.rows()["clustered_to"]) == (300, 1)
