@@ -104,3 +104,28 @@ def test_many_reports_of_a_text(spark, monkeypatch):
     got = ingest.cycle(spark.createDataFrame(rows, feeds.RAW_EVENT), now(), gazetteer(spark), counts=counts).collect()
     assert [r.cluster_size for r in got] == [300] and max(sizes) <= 300
     assert (counts.rows()["clustered_from"], counts.rows()["clustered_to"]) == (300, 1)
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """However many events have a text, it is annotated once; events that lie in one part of the input are dealt to several tasks."""
+    texts = [SHIP, RAW[3][1], "Troops clash with rebels near Khartoum", "Missile strike kills soldiers somewhere without a name", "Premier league match result surprises the fans again"]
+    rows = [(f"k{i % 90:04}", texts[i % 5], "rss", f"https://example.org/{i}", "Reuters", None, None, DAY + dt.timedelta(seconds=i), None, None) for i in range(400)]
+    read, parts, annotate, keep, counts = [], [], ingest.annotate, ingest.cut, ingest.Counts()
+
+    def read_by(events, *args):
+        read.append(events.count())
+        return annotate(events, *args)
+
+    def counted(df):
+        out = keep(df)
+        parts.append(max((r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()), default=0))
+        return out
+
+    monkeypatch.setattr(ingest, "annotate", read_by)
+    monkeypatch.setattr(ingest, "cut", counted)
+    e = ingest.enrich(spark.createDataFrame(rows, feeds.RAW_EVENT).coalesce(1), now(), gazetteer(spark), counts=counts).cache()
+    assert e.count() == 160 and read == [4] and max(parts) < 400
+    # ids that several texts share don't mix their places
+    assert sorted(r.text for r in e.select("text", "lat", "lon").distinct().collect()) == sorted([texts[0], texts[2]])
+    got = counts.rows()
+    assert (got["fetched"], got["skipped_irrelevant"], got["skipped_without_place"], got["source_rss"]) == (400, 80, 160, 400)

@@ -15,7 +15,7 @@ KM, HOURS, ALIKE, WEAK = 100.0, 24, 0.45, 0.25
 _HOUR, _DAY = 3_600_000_000, 86_400_000_000
 #: Tasks that kinds without place or time are dealt to, where they must meet all others.
 SALTS = 64
-#: Reports of the first stretch of the order that heads are found in; each later one is as long as all before it.
+#: Reports, for each task, of the first stretch of the order that heads are found in; each later one is as long as all before it.
 STRETCH = 50_000
 
 
@@ -57,6 +57,9 @@ def candidates(kinds: DataFrame, days: DataFrame) -> DataFrame:
     side = days.join(kinds.select("kind", "h", "label", "lat", "lon"), "kind")
     side = side.withColumn("cell", F.when(placed, (F.floor("lat") * 360 + F.pmod(F.floor("lon"), F.lit(360))).cast("int")))
     side = side.withColumn("salt", F.pmod(F.xxhash64("kind", "day"), F.lit(SALTS)).cast("int"))
+    # a small table becomes some thirty times as many rows, so it is dealt to all tasks before
+    side = cut(side.repartition(days.sparkSession.sparkContext.defaultParallelism, "kind", "day"))
+    lack = side.agg(*(F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(c) for c in ("cell", "day"))).first()
     left, right = (side.select(*(F.col(c).alias(p + c) for c in side.columns)) for p in ("l_", "r_"))
     cells, near_days = F.explode(_cells(F.col("l_lat"), F.col("l_lon"), KM)).alias("cell"), F.explode(F.array(F.col("l_day") - 1, F.col("l_day"), F.col("l_day") + 1)).alias("day")
 
@@ -72,7 +75,7 @@ def candidates(kinds: DataFrame, days: DataFrame) -> DataFrame:
     first = F.col("l_kind") < F.col("r_kind")
     pick = lambda c, x, y: F.when(first, F.col(x + c)).otherwise(F.col(y + c))
     out = None
-    for part in (full, no_place, no_time, neither, crossed):
+    for part in (full, *[no_place] * lack.cell, *[no_time, neither, crossed] * lack.day):
         part = part.where(near).select(pick("kind", "l_", "r_").alias("a"), pick("kind", "r_", "l_").alias("b"), pick("h", "l_", "r_").alias("ha"), pick("h", "r_", "l_").alias("hb"), same.alias("same"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
@@ -112,14 +115,16 @@ def _without(rows: DataFrame, reach: DataFrame, keys: list[str], when) -> DataFr
     return rows.join(r, when, "left_anti")
 
 
-def clusters(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def clusters(docs: DataFrame, stretch: int | None = None) -> DataFrame:
     """``docs`` with ``cluster``, the ``ord`` of the first report of its incident.
 
     Taken in order, a report joins the first cluster whose head it is linked to, else it is a head. Reports are never paired with
     each other, only with heads: links are those of kinds, and heads of linked kinds are more than a day apart. The order is gone through in
     stretches, each without the reports that earlier heads have. In a stretch, rounds find heads at all places at once: of
     each kind and day the first live report, if no linked kind has an earlier one on a day around. What new heads are linked to goes.
+    The first stretch has ``stretch`` reports, by default as many as all tasks together take.
     """
+    stretch = stretch or STRETCH * docs.sparkSession.sparkContext.defaultParallelism
     kinds = kinds_of(docs)
     reports = reports_of(docs, kinds)
     size = kinds.agg(F.sum("n")).first()[0] or 0
