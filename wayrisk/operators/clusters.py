@@ -63,7 +63,9 @@ def candidates(kinds: DataFrame, days: DataFrame) -> DataFrame:
     left, right = (side.select(*(F.col(c).alias(p + c) for c in side.columns)) for p in ("l_", "r_"))
     cells, near_days = F.explode(_cells(F.col("l_lat"), F.col("l_lon"), KM)).alias("cell"), F.explode(F.array(F.col("l_day") - 1, F.col("l_day"), F.col("l_day") + 1)).alias("day")
 
-    full = left.where("l_cell is not null and l_day is not null").select("*", cells).select("*", near_days).join(right, F.expr("cell = r_cell and day = r_day and l_kind < r_kind"))
+    # of two cells, the first one's kinds look for the other's
+    full = left.where("l_cell is not null and l_day is not null").select("*", cells).where("cell >= l_cell").select("*", near_days)
+    full = full.join(right, F.expr("cell = r_cell and day = r_day and (cell > l_cell or l_kind < r_kind)"))
     no_place = left.where("l_cell is null and l_day is not null").select("*", near_days).join(right, F.expr("day = r_day and (r_cell is not null or l_kind < r_kind)"))
     no_time = left.where("l_cell is not null and l_day is null").select("*", cells).join(right, F.expr("cell = r_cell and l_kind <> r_kind"))
     dealt = left.where("l_cell is null").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -165,7 +167,7 @@ def _firsts(clustered: DataFrame, column: str, out: str) -> DataFrame:
     A value's first report is found before values are collected, so that a list is as long as a cluster's distinct values, not its reports.
     """
     first = clustered.where(F.coalesce(column, F.lit("")) != "").groupBy("cluster", column).agg(F.min("ord").alias("first"))
-    return first.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", F.col(column).alias("v")))), lambda x: x["v"]).alias(out))
+    return first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("first", F.col(column).alias("v"))))["v"].alias(out))
 
 
 def merge(clustered: DataFrame, carried: list[str] | None = None) -> DataFrame:
@@ -186,7 +188,7 @@ def merge(clustered: DataFrame, carried: list[str] | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     for column, out in (("publisher", "publishers"), ("source_url", "source_urls"), ("image_url", "images")):
         g = g.join(_firsts(clustered, column, out), "cluster", "left").withColumn(out, F.coalesce(out, none))
-    urls = F.when(F.size("source_urls") > 0, F.array_sort("source_urls")).otherwise(F.col("heads"))
+    urls = F.when(F.size("source_urls") > 0, F.sort_array("source_urls")).otherwise(F.col("heads"))
     count = F.greatest(F.lit(1), F.when(F.size("publishers") > 0, F.size("publishers")).when(F.size("source_urls") > 0, F.size("source_urls")).otherwise(F.col("cluster_size")))
     credibility = F.coalesce("credibility", F.lit(0.0))
     image = F.coalesce(F.nullif("base.image_url", F.lit("")), F.get("images", F.lit(0)))
