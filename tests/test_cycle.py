@@ -129,3 +129,23 @@ def test_texts_are_read_once(spark, monkeypatch):
     assert sorted(r.text for r in e.select("text", "lat", "lon").distinct().collect()) == sorted([texts[0], texts[2]])
     got = counts.rows()
     assert (got["fetched"], got["skipped_irrelevant"], got["skipped_without_place"], got["source_rss"]) == (400, 80, 160, 400)
+
+
+def test_counts_of_tables(spark, monkeypatch):
+    """The query's cycle reads each text once, and its counts are those of all events that have it."""
+    from wayrisk.plans import domain
+    from wayrisk.plans.queries import QUERIES
+
+    path, read, annotate = "/root/testdata/sf0.001", [], ingest.annotate
+
+    def read_by(events, *args):
+        read.append(events.count())
+        return annotate(events, *args)
+
+    monkeypatch.setattr(ingest, "annotate", read_by)
+    got = {r.metric: r.n for r in QUERIES["cycle_counts"](spark, path).collect()}
+    valid = domain.events(spark, path).where(T.valid_event(F.col("raw_text"), F.col("source_url"), F.col("published_at"), domain.now()))
+    relevant = valid.where(T.relevant(F.col("raw_text")))
+    assert read == [relevant.select("raw_text").distinct().count()] and 0 < read[0] < relevant.count()
+    assert (got["fetched"], got["skipped_irrelevant"], got["source_rss"]) == (valid.count(), valid.count() - relevant.count(), valid.where("source = 'rss'").count())
+    assert got["enriched"] == got["clustered_from"] == got["clustered_to"] + got["duplicates_merged"] > 0
