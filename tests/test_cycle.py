@@ -149,3 +149,46 @@ def test_counts_of_tables(spark, monkeypatch):
     assert read == [relevant.select("raw_text").distinct().count()] and 0 < read[0] < relevant.count()
     assert (got["fetched"], got["skipped_irrelevant"], got["source_rss"]) == (valid.count(), valid.count() - relevant.count(), valid.where("source = 'rss'").count())
     assert got["enriched"] == got["clustered_from"] == got["clustered_to"] + got["duplicates_merged"] > 0
+
+
+def test_relevance_is_asked_once_for_a_text(spark, monkeypatch):
+    """Spark moves a filter before a distinct; a text's relevance must not be asked for every event that has it."""
+    rows = [(f"k{i:04}", RAW[0 if i % 2 else 3][1], "rss", f"https://example.org/{i}", "Reuters", None, None, DAY, 1.0, 2.0) for i in range(400)]
+    asked = spark.sparkContext.accumulator(0)
+
+    def may_matter(text):
+        asked.add(1)
+        return True
+
+    monkeypatch.setattr(ingest.T, "relevant", lambda text: F.udf(may_matter, "boolean")(text))
+    assert ingest.enrich(spark.createDataFrame(rows, feeds.RAW_EVENT), now(), gazetteer(spark)).count() == 400
+    assert asked.value == 2
+
+
+def test_pairs_of_kinds_on_near_days(spark):
+    """A kind with many days is sought by spans of days, not for each of them; pairs are those of the same day or the next, before 1970 too."""
+    from wayrisk.operators.clusters import _DAY, candidates, kinds_of, reports_of
+
+    days_of = {0: [-9], 1: [-8, 3], 2: [-5, -4], 3: [-3], 4: [-1], 5: [0, 7, 8], 6: [1], 7: [4, 5], 8: [6], 9: [12], 10: list(range(-40, -20)), 11: [-20]}
+    rows = [(i * 100 + k, f"report number {i} of it", "conflict", 10.0, 20.0, d * _DAY) for i, ds in days_of.items() for k, d in enumerate(ds)]
+    docs = spark.createDataFrame(rows, "ord long, raw_text string, label string, lat double, lon double, t long").withColumn("published_at", F.timestamp_micros("t"))
+    kinds = kinds_of(docs)
+    of = {r.kind: int(r.text.split()[2]) for r in kinds.collect()}
+    pairs = candidates(kinds, reports_of(docs, kinds).select("kind", "day").distinct())
+    got = sorted(tuple(sorted((of[r.a], of[r.b]))) for r in pairs.collect())
+    assert got == [(a, b) for a in days_of for b in days_of if a < b and any(abs(x - y) <= 1 for x in days_of[a] for y in days_of[b])]
+
+
+def test_heads_of_texts_stand_for_urls(spark):
+    """An incident's id comes from its urls, or from its texts' beginnings where no report has a url."""
+    import hashlib
+
+    from wayrisk.operators.clusters import merge
+
+    rows = [(0, 0, "Zulu text", "", ""), (1, 0, "alpha TEXT", None, ""), (2, 0, "Zulu text", "", "Post"), (3, 3, "Some text", "", ""), (4, 3, "Some text", "https://x.org/b", ""), (5, 3, "Some text", "https://x.org/a", "")]
+    docs = spark.createDataFrame(rows, "ord long, cluster long, raw_text string, source_url string, publisher string")
+    docs = docs.withColumns({"label": F.lit("safe"), "lat": F.lit(1.0), "lon": F.lit(1.0), "image_url": F.lit(None).cast("string"), "source": F.lit("rss"), "published_at": F.lit(DAY), "intensity_score": F.lit(0.5), "credibility_score": F.lit(0.5)})
+    got = {r.cluster: r for r in merge(docs).collect()}
+    of = lambda x: "incident-" + hashlib.sha1(x.encode()).hexdigest()[:16]
+    assert got[0].canonical_event_id == of("alpha text|zulu text") and got[0].publishers == ["Post"] and got[0].source_urls == []
+    assert got[3].canonical_event_id == of("https://x.org/a|https://x.org/b") and got[3].source_urls == ["https://x.org/b", "https://x.org/a"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayrisk.functions.geo import haversine_km
@@ -15,6 +15,8 @@ KM, HOURS, ALIKE, WEAK = 100.0, 24, 0.45, 0.25
 _HOUR, _DAY = 3_600_000_000, 86_400_000_000
 #: Tasks that kinds without place or time are dealt to, where they must meet all others.
 SALTS = 64
+#: Days that a kind is sought in at once; each is a bit of a mask.
+SPAN = 4
 #: Reports, for each task, of the first stretch of the order that heads are found in; each later one is as long as all before it.
 STRETCH = 50_000
 
@@ -49,35 +51,40 @@ def reports_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
 def candidates(kinds: DataFrame, days: DataFrame) -> DataFrame:
     """Pairs (a before b) of kinds within 100 km that have reports (``days``: kind, day) on the same day or the next: a, b, their texts' hashes, and whether their labels agree.
 
-    Kinds meet by equality of what they have: cell and day, the day alone where they have no coordinates, the cell alone
+    Kinds meet by equality of what they have: cell and span of days, the span alone where they have no coordinates, the cell alone
     where there is no time. What a report lacks can't part it from others, so one with neither meets all others, and
     one without coordinates all without a time; those few are dealt over ``SALTS``. Reports of an ingestion cycle have both.
     """
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    side = days.join(kinds.select("kind", "h", "label", "lat", "lon"), "kind")
+    side = days.groupBy("kind", F.floor(F.col("day") / SPAN).cast("int").alias("span")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(day, {SPAN}) as int))")).alias("mask"))
+    around_place = F.when(placed, _cells(F.col("lat"), F.col("lon"), KM)).alias("cells")
+    side = side.join(kinds.select("kind", "h", "label", "lat", "lon", around_place), "kind")
     side = side.withColumn("cell", F.when(placed, (F.floor("lat") * 360 + F.pmod(F.floor("lon"), F.lit(360))).cast("int")))
-    side = side.withColumn("salt", F.pmod(F.xxhash64("kind", "day"), F.lit(SALTS)).cast("int"))
-    # a small table becomes some thirty times as many rows, so it is dealt to all tasks before
-    side = cut(side.repartition(days.sparkSession.sparkContext.defaultParallelism, "kind", "day"))
-    lack = side.agg(*(F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(c) for c in ("cell", "day"))).first()
+    side = side.withColumn("salt", F.pmod(F.xxhash64("kind", "span"), F.lit(SALTS)).cast("int"))
+    # a small table becomes several times as many rows, so it is dealt to all tasks before
+    side = cut(side.repartition(days.sparkSession.sparkContext.defaultParallelism, "kind", "span"))
+    lack = side.agg(*(F.coalesce(F.bool_or(F.col(c).isNull()), F.lit(False)).alias(c) for c in ("cell", "span"))).first()
     left, right = (side.select(*(F.col(c).alias(p + c) for c in side.columns)) for p in ("l_", "r_"))
-    cells, near_days = F.explode(_cells(F.col("l_lat"), F.col("l_lon"), KM)).alias("cell"), F.explode(F.array(F.col("l_day") - 1, F.col("l_day"), F.col("l_day") + 1)).alias("day")
+    cells = F.explode("l_cells").alias("cell")
+    # the days around a kind's own, as masks of their spans
+    around = (("l_span - 1", f"(l_mask & 1) * {1 << SPAN - 1}"), ("l_span", f"(l_mask | l_mask * 2 | shiftright(l_mask, 1)) & {(1 << SPAN) - 1}"), ("l_span + 1", f"shiftright(l_mask, {SPAN - 1})"))
+    soon = lambda df: df.select("*", F.inline(F.array(*(F.struct(F.expr(s).alias("span"), F.expr(m).alias("near")) for s, m in around)))).where("near <> 0")
 
     # of two cells, the first one's kinds look for the other's
-    full = left.where("l_cell is not null and l_day is not null").select("*", cells).where("cell >= l_cell").select("*", near_days)
-    full = full.join(right, F.expr("cell = r_cell and day = r_day and (cell > l_cell or l_kind < r_kind)"))
-    no_place = left.where("l_cell is null and l_day is not null").select("*", near_days).join(right, F.expr("day = r_day and (r_cell is not null or l_kind < r_kind)"))
-    no_time = left.where("l_cell is not null and l_day is null").select("*", cells).join(right, F.expr("cell = r_cell and l_kind <> r_kind"))
+    full = soon(left.where("l_cell is not null and l_span is not null")).select("*", cells).where("cell >= l_cell")
+    full = full.join(right, F.expr("cell = r_cell and span = r_span and (near & r_mask) <> 0 and (cell > l_cell or l_kind < r_kind)"))
+    no_place = soon(left.where("l_cell is null and l_span is not null")).join(right, F.expr("span = r_span and (near & r_mask) <> 0 and (r_cell is not null or l_kind < r_kind)"))
+    no_time = left.where("l_cell is not null and l_span is null").select("*", cells).join(right, F.expr("cell = r_cell and l_kind <> r_kind"))
     dealt = left.where("l_cell is null").select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    neither = dealt.where("l_day is null").join(right, F.expr("salt = r_salt and l_kind <> r_kind"))
-    crossed = dealt.where("l_day is not null").join(right.where("r_day is null and r_cell is not null"), F.expr("salt = r_salt"))
+    neither = dealt.where("l_span is null").join(right, F.expr("salt = r_salt and l_kind <> r_kind"))
+    crossed = dealt.where("l_span is not null").join(right.where("r_span is null and r_cell is not null"), F.expr("salt = r_salt"))
 
     near = F.col("l_cell").isNull() | F.col("r_cell").isNull() | (haversine_km(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon")) <= KM)
     same = F.coalesce(F.col("l_label") == F.col("r_label"), F.lit(True))
     first = F.col("l_kind") < F.col("r_kind")
     pick = lambda c, x, y: F.when(first, F.col(x + c)).otherwise(F.col(y + c))
     out = None
-    for part in (full, *[no_place] * lack.cell, *[no_time, neither, crossed] * lack.day):
+    for part in (full, *[no_place] * lack.cell, *[no_time, neither, crossed] * lack.span):
         part = part.where(near).select(pick("kind", "l_", "r_").alias("a"), pick("kind", "r_", "l_").alias("b"), pick("h", "l_", "r_").alias("ha"), pick("h", "r_", "l_").alias("hb"), same.alias("same"))
         out = part if out is None else out.unionByName(part)
     return out.distinct()
@@ -131,8 +138,11 @@ def clusters(docs: DataFrame, stretch: int | None = None) -> DataFrame:
     reports = reports_of(docs, kinds)
     size = kinds.agg(F.sum("n")).first()[0] or 0
     n = max(1, min(4096, size // stretch))
-    part = F.spark_partition_id()
-    reports = cut(reports.repartitionByRange(n, "ord").withColumn("stretch", F.when(part == 0, 0).otherwise(F.length(F.bin(part)))))
+    if n == 1:
+        reports = cut(reports.withColumn("stretch", F.lit(0)))
+    else:
+        part = F.spark_partition_id()
+        reports = cut(reports.repartitionByRange(n, "ord").withColumn("stretch", F.when(part == 0, 0).otherwise(F.length(F.bin(part)))))
     days = cut(reports.select("kind", "day").distinct())
     edges = links(kinds, days)
     # a report without a time is near all days
@@ -142,11 +152,13 @@ def clusters(docs: DataFrame, stretch: int | None = None) -> DataFrame:
     for k in range((n - 1).bit_length() + 1):
         live = reports.where(F.col("stretch") == k).drop("stretch")
         live = cut(_without(live, reach, keys, soon) if reach is not None else live)
-        of = live.select("kind").distinct()
-        here = cut(edges.join(of, "kind", "left_semi").join(of.withColumnRenamed("kind", "to"), "to", "left_semi").select("kind", "to"))
+        here = edges
+        if n > 1:
+            of = live.select("kind").distinct()
+            here = cut(edges.join(of, "kind", "left_semi").join(of.withColumnRenamed("kind", "to"), "to", "left_semi").select("kind", "to"))
         heads = None
         while not live.isEmpty():
-            first = live.groupBy("kind", "day").agg(F.min(F.struct("ord", "t")).alias("f")).select("f.ord", "kind", "f.t", "day")
+            first = live.groupBy("kind", "day").agg(F.min_by("t", "ord").alias("t"), F.min("ord").alias("ord")).select("ord", "kind", "t", "day")
             new = cut(_without(first, _reach(first, here, keys), keys, F.col("r_head") < F.col("ord")))
             heads = new if heads is None else heads.union(new)
             live = cut(_without(live, _reach(new, here, keys), keys, soon & (F.col("r_head") <= F.col("ord"))))
@@ -161,13 +173,14 @@ def clusters(docs: DataFrame, stretch: int | None = None) -> DataFrame:
     return docs.join(of, "ord", "left").withColumn("cluster", F.coalesce("cluster", "ord"))
 
 
-def _firsts(clustered: DataFrame, column: str, out: str) -> DataFrame:
-    """(cluster, out): the distinct values of a column, in the order of the first report that has each; empty ones are none.
+def _firsts(clustered: DataFrame, lists: dict[str, Column]) -> DataFrame:
+    """(cluster, lists): for each list the distinct values of its text column, in the order of the first report that has each; empty ones are none.
 
     A value's first report is found before values are collected, so that a list is as long as a cluster's distinct values, not its reports.
     """
-    first = clustered.where(F.coalesce(column, F.lit("")) != "").groupBy("cluster", column).agg(F.min("ord").alias("first"))
-    return first.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("first", F.col(column).alias("v"))))["v"].alias(out))
+    values = F.array(*(F.struct(F.lit(out).alias("list"), value.cast("string").alias("v")) for out, value in lists.items()))
+    first = clustered.select("cluster", "ord", F.inline(values)).where(F.coalesce("v", F.lit("")) != "").groupBy("cluster", "list", "v").agg(F.min("ord").alias("first"))
+    return first.groupBy("cluster").agg(*(F.sort_array(F.collect_list(F.when(F.col("list") == out, F.struct("first", "v"))))["v"].alias(out) for out in lists))
 
 
 def merge(clustered: DataFrame, carried: list[str] | None = None) -> DataFrame:
@@ -180,15 +193,16 @@ def merge(clustered: DataFrame, carried: list[str] | None = None) -> DataFrame:
     g = clustered.groupBy("cluster").agg(
         longest,
         F.count(F.lit(1)).alias("cluster_size"),
-        F.sort_array(F.collect_set(F.lower(F.substring("raw_text", 1, 120)))).alias("heads"),
         F.max("published_at").alias("latest_source_at"),
         F.avg(F.when(F.col("intensity_score") > 0, F.col("intensity_score"))).alias("intensity"),
         F.avg(F.when(F.col("credibility_score") > 0, F.col("credibility_score"))).alias("credibility"),
     )
     none = F.array().cast("array<string>")
-    for column, out in (("publisher", "publishers"), ("source_url", "source_urls"), ("image_url", "images")):
-        g = g.join(_firsts(clustered, column, out), "cluster", "left").withColumn(out, F.coalesce(out, none))
-    urls = F.when(F.size("source_urls") > 0, F.sort_array("source_urls")).otherwise(F.col("heads"))
+    # beginnings of texts stand for urls where no report of a cluster has one
+    head = F.when(F.coalesce("source_url", F.lit("")) == "", F.lower(F.substring("raw_text", 1, 120)))
+    lists = {"publishers": F.col("publisher"), "source_urls": F.col("source_url"), "images": F.col("image_url"), "heads": head}
+    g = g.join(_firsts(clustered, lists), "cluster", "left").withColumns({out: F.coalesce(out, none) for out in lists})
+    urls = F.when(F.size("source_urls") > 0, F.sort_array("source_urls")).otherwise(F.sort_array("heads"))
     count = F.greatest(F.lit(1), F.when(F.size("publishers") > 0, F.size("publishers")).when(F.size("source_urls") > 0, F.size("source_urls")).otherwise(F.col("cluster_size")))
     credibility = F.coalesce("credibility", F.lit(0.0))
     image = F.coalesce(F.nullif("base.image_url", F.lit("")), F.get("images", F.lit(0)))
